@@ -45,7 +45,10 @@ def squash_spaces(c: Column) -> Column:
 def cell_test(name: str, cell: Column, semantics: str = "reference") -> Column:
     """Does the cell look like the standard field? A missing cell reads "undefined" as written."""
     missing = "" if check_semantics(semantics) else "undefined"
-    return F.coalesce(cell, F.lit(missing)).rlike(CELL_TESTS[name])
+    text = F.coalesce(cell, F.lit(missing))
+    needed = {"email_address": "@", "ip_address": "."}.get(name)  # cheap test before the pattern
+    hit = text.rlike(CELL_TESTS[name])
+    return F.when(text.contains(needed), hit).otherwise(F.lit(False)) if needed else hit
 
 
 def occurrences(text: Column, word: Column | str) -> Column:

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "BIGINT": T.LongType, "INT": T.IntegerType, "STRING": T.StringType,
+    "BOOLEAN": T.BooleanType, "TIMESTAMP": T.TimestampType,
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema from ``name TYPE, ...`` without needing a running session."""
+    return T.StructType([T.StructField(n, _TYPES[t]()) for n, t in (f.split() for f in spec.split(","))])
 
 
 TABLES: dict[str, T.StructType] = {
