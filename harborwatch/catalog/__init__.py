@@ -1,0 +1 @@
+"""The named queries of the engine."""

@@ -13,7 +13,13 @@ from harborwatch.operators import dom
 from harborwatch.operators.infer import explore_links
 from harborwatch.plans.skew import pick_top, spread_join
 
-nodes, texts = F.col("nodes"), F.col("texts")
+
+def _nodes() -> Column:
+    return F.col("nodes")
+
+
+def _texts() -> Column:
+    return F.col("texts")
 
 
 def links_until_seen(links: DataFrame, origin: DataFrame) -> DataFrame:
@@ -39,7 +45,7 @@ def next_last_url(links: DataFrame, offset: int = DEFAULTS.link_offset) -> DataF
 def next_page_urls(frame: DataFrame, paths: DataFrame) -> DataFrame:
     """The resolved next-page address of every list page that has one."""
     joined = spread_join(frame, paths.select("origin_id", "next_page_path"), ["origin_id"], ["page_no"])
-    href = dom.selected_attr(nodes, F.col("__steps"), "href")
+    href = dom.selected_attr(_nodes(), F.col("__steps"), "href")
     return (
         joined.withColumn("__steps", dom.selector_steps(F.col("next_page_path")))
         .withColumn("__href", href)
@@ -66,9 +72,9 @@ def read_threads(pages: DataFrame, paths: DataFrame) -> DataFrame:
         joined = joined.withColumn(f"__{short}", dom.selector_steps(F.col(name)))
     return joined.select(
         "origin_id", "url",
-        js_trim(dom.selected_text(nodes, texts, F.col("__t"))).alias("title"),
-        js_trim(dom.selected_text(nodes, texts, F.col("__d"))).alias("description"),
-        dom.selected_own_texts(nodes, texts, F.col("__p")).alias("__dates"),
+        js_trim(dom.selected_text(_nodes(), _texts(), F.col("__t"))).alias("title"),
+        js_trim(dom.selected_text(_nodes(), _texts(), F.col("__d"))).alias("description"),
+        dom.selected_own_texts(_nodes(), _texts(), F.col("__p")).alias("__dates"),
     ).withColumn("published_time", first_date(F.col("__dates"))).drop("__dates")
 
 

@@ -27,7 +27,13 @@ BODY_TAGS = ["p", "pre", "section"]
 ROLES = ["title", "description", "date"]
 ROW_MIN, ROW_MAX = 15, 40
 
-nodes, texts = F.col("nodes"), F.col("texts")
+
+def _nodes() -> Column:
+    return F.col("nodes")
+
+
+def _texts() -> Column:
+    return F.col("texts")
 
 
 def path_votes(winners: DataFrame, by: list[str], order: list[str], path: str = "path") -> DataFrame:
@@ -56,7 +62,7 @@ def node_argmax(scored: DataFrame, by: list[str], score: str = "score", order: s
 
 def _winner_path(picked: Column, path: Callable[[Column], Column] = dom.css_path) -> Column:
     """Path of the element a ``best_node`` struct points at; empty where there was no candidate."""
-    return F.coalesce(path(F.get(nodes, (-picked["first"]).cast("int"))), F.lit(""))
+    return F.coalesce(path(F.get(_nodes(), (-picked["first"]).cast("int"))), F.lit(""))
 
 
 def _steps_of(column: str) -> Column:
@@ -74,14 +80,14 @@ def table_page_paths(frame: DataFrame, settings: Settings = DEFAULTS, semantics:
     intended = check_semantics(semantics)
 
     def rows_of(n: Column) -> Column:
-        return F.when(n["tag"] == "tbody", F.filter(dom.below(nodes, n), lambda x: x["tag"] == "tr")).otherwise(
-            F.filter(dom.below(nodes, n), lambda x: (x["parent"] == n["no"]) & (x["tag"] == "div"))
+        return F.when(n["tag"] == "tbody", F.filter(dom.below(_nodes(), n), lambda x: x["tag"] == "tr")).otherwise(
+            F.filter(dom.below(_nodes(), n), lambda x: (x["parent"] == n["no"]) & (x["tag"] == "div"))
         )
 
     def row_blob(row: Column) -> Column:
-        kids = dom.children(nodes, row)
+        kids = dom.children(_nodes(), row)
         first = F.get(kids, F.lit(0))
-        text = F.array_join(F.transform(kids, lambda k: dom.node_text(texts, k)), "")
+        text = F.array_join(F.transform(kids, lambda k: dom.node_text(_texts(), k)), "")
         return F.concat(text, F.coalesce(dom.attr_text(first), F.lit("")))
 
     def score(n: Column) -> Column:
@@ -92,8 +98,8 @@ def table_page_paths(frame: DataFrame, settings: Settings = DEFAULTS, semantics:
             points = points + keyword_score(blob, settings.good_words, settings.bad_words, semantics=semantics)
         return F.when(n["last"] > n["no"], points).otherwise(-BIG)
 
-    bodies = F.filter(nodes, lambda n: n["tag"] == "tbody")
-    blocks = F.filter(nodes, lambda n: n["tag"] == "div")
+    bodies = F.filter(_nodes(), lambda n: n["tag"] == "tbody")
+    blocks = F.filter(_nodes(), lambda n: n["tag"] == "div")
     found = F.when(F.size(bodies) > 0, bodies).otherwise(blocks)
     picked = frame.withColumn("__best", dom.best_node(found, score))
     return picked.withColumn("path", _winner_path(F.col("__best"), lambda n: dom.css_path(n, settings.path_parents))).drop("__best")
@@ -114,7 +120,7 @@ def link_page_paths(frame: DataFrame, settings: Settings = DEFAULTS, semantics:
     intended = check_semantics(semantics)
 
     def score(n: Column) -> Column:
-        text = dom.node_text(texts, n)
+        text = dom.node_text(_texts(), n)
         points = F.when(F.length(text) < 15, -MID).otherwise(0)
         if intended:
             points = points + keyword_score(
@@ -123,17 +129,17 @@ def link_page_paths(frame: DataFrame, settings: Settings = DEFAULTS, semantics:
         return points
 
     def row_path(row: Column) -> Column:
-        links = F.filter(dom.below(nodes, row), lambda x: x["tag"] == "a")
+        links = F.filter(dom.below(_nodes(), row), lambda x: x["tag"] == "a")
         return _winner_path(dom.best_node(links, score), lambda n: dom.css_path_in_row(n, settings.path_parents))
 
     tables, rows = F.col("__tables"), F.col("__rows")
     in_table = F.col("table_body_path").contains("tbody")
     nested = F.filter(
-        nodes,
+        _nodes(),
         lambda x: (x["tag"] == "tr") & F.exists(tables, lambda t: (x["no"] > t["no"]) & (x["no"] <= t["last"])),
     )
     direct = F.filter(
-        nodes, lambda x: (x["tag"] == "div") & F.exists(tables, lambda t: x["parent"] == t["no"])
+        _nodes(), lambda x: (x["tag"] == "div") & F.exists(tables, lambda t: x["parent"] == t["no"])
     )
     paths = F.col("__paths")
     distinct = F.array_distinct(paths)
@@ -142,7 +148,7 @@ def link_page_paths(frame: DataFrame, settings: Settings = DEFAULTS, semantics:
     )
     return (
         frame.withColumn("__steps", _steps_of("table_body_path"))
-        .withColumn("__tables", dom.select_nodes(nodes, F.col("__steps")))
+        .withColumn("__tables", dom.select_nodes(_nodes(), F.col("__steps")))
         .withColumn("__rows", F.when(in_table, nested).otherwise(direct))
         .withColumn("__paths", F.filter(F.transform(rows, row_path), lambda p: p != ""))
         .withColumn("path", F.coalesce(F.array_max(ranked)["p"], F.lit("")))
@@ -169,16 +175,16 @@ def next_page(frame: DataFrame, keep: list[str], url: str = "url", settings: Set
     host = F.col("__host")
 
     def score(n: Column) -> Column:
-        around = F.array_join(F.transform(dom.siblings(nodes, n), lambda s: js_trim(dom.node_text(texts, s))), "")
+        around = F.array_join(F.transform(dom.siblings(_nodes(), n), lambda s: js_trim(dom.node_text(_texts(), s))), "")
         points = F.when(F.coalesce(ordered_numbers(around), F.lit(False)), SMALL).otherwise(0)
-        text = F.lower(dom.node_text(texts, n))
+        text = F.lower(dom.node_text(_texts(), n))
         for word in NEXT_PAGE_WORDS:
             points = points + F.when(text.contains(word), BIG).otherwise(-MID)
         href = F.coalesce(F.try_element_at(n["attrs"], F.lit("href")), F.lit(""))
         seen = resolve_url(href, F.col(url)) if intended else href
         return points + F.when((href != "") & ~seen.contains(host), -BIG).otherwise(0)
 
-    links = F.filter(nodes, lambda n: n["tag"] == "a")
+    links = F.filter(_nodes(), lambda n: n["tag"] == "a")
     return (
         frame.withColumn("__host", url_host(F.col(url)))
         .withColumn("__best", dom.best_node(links, score))
@@ -186,7 +192,7 @@ def next_page(frame: DataFrame, keep: list[str], url: str = "url", settings: Set
         .withColumn("__steps", _steps_of("path"))
         .select(
             *keep, "path",
-            F.coalesce(dom.selected_attr(nodes, F.col("__steps"), "href"), F.lit("")).alias("link"),
+            F.coalesce(dom.selected_attr(_nodes(), F.col("__steps"), "href"), F.lit("")).alias("link"),
         )
     )
 
@@ -196,13 +202,13 @@ def explore_links(frame: DataFrame, paths: DataFrame, by: list[str]) -> DataFram
     joined = spread_join(frame, paths.select(*by, "table_body_path", "thread_link_path"), by, ["page_no"])
     steps = dom.selector_steps(F.concat_ws(" ", "table_body_path", F.coalesce("thread_link_path", F.lit(""))))
     found = joined.withColumn("__steps", steps).select(
-        *by, "page_no", "url", "texts", F.posexplode(dom.select_nodes(nodes, F.col("__steps"))).alias("pos", "n")
+        *by, "page_no", "url", "texts", F.posexplode(dom.select_nodes(_nodes(), F.col("__steps"))).alias("pos", "n")
     )
     href = F.try_element_at(F.col("n.attrs"), F.lit("href"))
     return found.select(
         *by, "page_no", "pos",
         resolve_url(href, F.col("url")).alias("link"),
-        dom.node_text(texts, F.col("n")).alias("link_title"),
+        dom.node_text(_texts(), F.col("n")).alias("link_title"),
     )
 
 
@@ -213,22 +219,22 @@ def field_scores(n: Column, title: Column, as_of: Column, settings: Settings, se
     intended = check_semantics(semantics)
     tag = n["tag"]
     head, body = tag.isin("h1", "h2"), tag.isin(*BODY_TAGS)
-    body_kids = F.filter(dom.children(nodes, n), lambda k: k["tag"].isin(*BODY_TAGS))
+    body_kids = F.filter(dom.children(_nodes(), n), lambda k: k["tag"].isin(*BODY_TAGS))
     text = js_trim(
-        F.when(tag == "div", F.array_join(F.transform(body_kids, lambda k: dom.node_text(texts, k)), "")).otherwise(
-            dom.node_text(texts, n)
+        F.when(tag == "div", F.array_join(F.transform(body_kids, lambda k: dom.node_text(_texts(), k)), "")).otherwise(
+            dom.node_text(_texts(), n)
         )
     )
     short = F.when(F.length(text) < 60, MID).otherwise(0)
     good, bad = settings.good_words, settings.bad_words
-    about = dom.child_text(nodes, texts, n, 2, intended)
+    about = dom.child_text(_nodes(), _texts(), n, 2, intended)
     return F.struct(
         (F.when(head, BIG).when(tag == "span", MID).otherwise(0) + short
          + title_score(text, title, good, bad, 1, semantics)).alias("title"),
         (F.when(head, -BIG).when(tag == "span", -MID).when(body, MID).otherwise(0)
          + description_score(about, title, good, bad, semantics)).alias("description"),
         (F.when(head, -BIG).when(tag == "span", MID).when(tag == "abbr", BIG).otherwise(0) + short
-         + date_score(dom.own_text(texts, n), as_of)).alias("date"),
+         + date_score(dom.own_text(_texts(), n), as_of)).alias("date"),
     )
 
 
@@ -236,7 +242,7 @@ def thread_page_paths(
     frame: DataFrame, keep: list[str], as_of: Column, settings: Settings = DEFAULTS, semantics: str = "reference"
 ) -> DataFrame:
     """Per thread page and role the path of the best element: ``(*keep, role, path, score)``."""
-    found = F.filter(nodes, lambda n: n["tag"].isin(*CANDIDATES))
+    found = F.filter(_nodes(), lambda n: n["tag"].isin(*CANDIDATES))
     scored = F.transform(
         found,
         lambda n: F.struct(n["no"].alias("no"), field_scores(n, F.col("link_title"), as_of, settings, semantics).alias("s")),

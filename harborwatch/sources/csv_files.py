@@ -11,21 +11,25 @@ from harborwatch.plans.skew import spread_join
 _CELL = r'([^\S,]*"(?:[^"]|"")*"[^\S,]*|[^,]*),'
 
 
-def file_fingerprint(spark: SparkSession, path: str, as_of: Column, source_id: Column | None = None) -> DataFrame:
-    """MD5 of the raw bytes, base name and breach time of every file (files up to 2 GB)."""
-    files = spark.read.format("binaryFile").load(path)
+def fingerprint(files: DataFrame, as_of: Column, source_id: Column | None = None) -> DataFrame:
+    """Metadata rows of files given as ``path, content``: MD5 of the raw bytes, base name, breach time."""
     return files.select(
         F.col("path"),
         F.md5("content").alias("_og_hashmd5"),
         F.lit(None).cast("string").alias("name"),
         as_of.alias("breach_time"),
-        F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("og_filename"),
+        F.element_at(F.split("path", "/"), -1).alias("og_filename"),
         F.lit(None).cast("boolean").alias("is_hashed"),
         F.lit(None).cast("boolean").alias("is_salted"),
         (source_id if source_id is not None else F.lit(None)).cast("bigint").alias("_id_source"),
     )
 
 
+def file_fingerprint(spark: SparkSession, path: str, as_of: Column, source_id: Column | None = None) -> DataFrame:
+    """Metadata rows of every file of a folder or glob (files up to 2 GB)."""
+    return fingerprint(spark.read.format("binaryFile").load(path), as_of, source_id)
+
+
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of every file with the start of the file split each was read from."""
     return spark.read.text(path).select(

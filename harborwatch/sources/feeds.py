@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harborwatch.functions.text import supported_filetype
 from harborwatch.plans.skew import spread_join
@@ -37,3 +38,31 @@ def origins_by_category(origin: DataFrame, category: int | Column) -> DataFrame:
     return origin.filter(F.col("category") == category).select(
         F.col("domain").alias("url"), F.lit("THREAD_LIST").alias("label")
     )
+
+
+# The channel attributes kept, with where they stand in the raw information.
+_CHANNEL_FULL = {
+    "about": T.StringType(), "read_inbox_max_id": T.LongType(), "pts": T.LongType(),
+    "hidden_prehistory": T.BooleanType(), "participants_count": T.LongType(), "admins_count": T.LongType(),
+}
+_CHANNEL_SCHEMA = T.StructType([
+    T.StructField("full_chat", T.StructType([
+        T.StructField("id", T.LongType()), *[T.StructField(n, t) for n, t in _CHANNEL_FULL.items()],
+    ])),
+    T.StructField("chats", T.ArrayType(T.StructType([
+        T.StructField("date", T.StringType()), T.StructField("access_hash", T.LongType()),
+    ]))),
+])
+
+
+def parse_channel_info(raw: Column) -> Column:
+    """Nine attributes of a channel's raw JSON as a struct; null when the chat or its full form is missing."""
+    info = F.from_json(raw, _CHANNEL_SCHEMA)
+    chat = F.get(info["chats"], F.lit(0))
+    picked = F.struct(
+        info["full_chat"]["id"].alias("channel_id"),
+        *[info["full_chat"][n].alias(n) for n in _CHANNEL_FULL],
+        chat["date"].alias("date"),
+        chat["access_hash"].alias("access_hash"),
+    )
+    return F.when(info["full_chat"].isNotNull() & chat.isNotNull(), picked)

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from harborwatch.config import DEFAULTS, Settings
 from harborwatch.functions.text import supported_filetype
 from harborwatch.operators import extract, records, tables
-from harborwatch.plans.skew import pick_top
+from harborwatch.operators.origins import advance_checkpoint
+from harborwatch.plans.skew import spread_join
 from harborwatch.schemas import TABLES
 from harborwatch.sources import csv_files, feeds
 
@@ -35,6 +36,12 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("html", T.StringType()),
 ])
+PROGRESS_SCHEMA = T.StructType([
+    T.StructField("_id_origin", T.LongType()),
+    T.StructField("message_id", T.LongType()),
+])
+META_SCHEMA = T.StructType([T.StructField("path", T.StringType()), *TABLES["database_metadata"].fields])
+FILES_PER_BATCH = 1000
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("modificationTime", T.TimestampType()),
@@ -43,19 +50,17 @@ FILE_SCHEMA = T.StructType([
 ])
 
 
-def stored(spark: SparkSession, out_dir: str, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """What the stream wrote to a table so far, or in the batches before the given one."""
-    from_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    base = spark.createDataFrame([], from_batch)
-    path = f"{out_dir}/{table}"
-    if _exists(spark, path):
-        base = spark.read.schema(from_batch).option("basePath", path).parquet(path)
-    return (base if before is None else base.filter(F.col("batch") < before)).drop("batch")
+def prepare(spark: SparkSession, out_dir: str, schemas: dict[str, T.StructType]) -> None:
+    """Give every table a first, empty batch, so that reading one always works."""
+    for table, schema in schemas.items():
+        write_batch(spark.createDataFrame([], schema).coalesce(1), out_dir, table, -1)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hpath)
+def stored(spark: SparkSession, out_dir: str, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """What the stream wrote to a table so far, or in the batches before the given one."""
+    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(with_batch).parquet(f"{out_dir}/{table}")
+    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
 
 
 def write_batch(df: DataFrame, out_dir: str, table: str, batch: int) -> None:
@@ -79,6 +84,10 @@ def stream_messages(
     Writes ``source`` and ``source_telegram``, and to ``progress`` the highest id seen per origin in
     each batch, supported file or not.
     """
+    prepare(stream.sparkSession, out_dir, {
+        "source": TABLES["source"], "source_telegram": TABLES["source_telegram"], "progress": PROGRESS_SCHEMA,
+    })
+
     def each(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
         feed = feeds.message_feed(batch, origin)
@@ -95,14 +104,13 @@ def stream_messages(
 
 def published_checkpoint(spark: SparkSession, origin: DataFrame, out_dir: str) -> DataFrame:
     """Origins with ``last_checked`` as the message stream has moved it."""
-    from harborwatch.operators.origins import advance_checkpoint
-
-    schema = T.StructType([T.StructField("_id_origin", T.LongType()), T.StructField("message_id", T.LongType())])
-    return advance_checkpoint(origin, stored(spark, out_dir, "progress", schema))
+    return advance_checkpoint(origin, stored(spark, out_dir, "progress", PROGRESS_SCHEMA))
 
 
 def stream_pages(stream: DataFrame, paths: DataFrame, out_dir: str, checkpoint: str, as_of: Column) -> StreamingQuery:
     """Captured thread pages to ``source`` and ``source_thread``, one row per address."""
+    prepare(stream.sparkSession, out_dir, {"source": TABLES["source"], "source_thread": TABLES["source_thread"]})
+
     def each(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
         known = stored(spark, out_dir, "source_thread", TABLES["source_thread"], before=no)
@@ -119,7 +127,7 @@ def stream_pages(stream: DataFrame, paths: DataFrame, out_dir: str, checkpoint:
 
 def load_files(spark: SparkSession, meta: DataFrame, settings: Settings = DEFAULTS, semantics: str = "reference") -> tuple[DataFrame, DataFrame]:
     """Standard ``(ok, bad)`` data rows of the files listed in ``meta`` (``path, _og_hashmd5``)."""
-    names = [r.path for r in meta.select("path").collect()]  # file names of one batch, no contents
+    names = [r.path for r in meta.select("path").collect()]  # the names of one batch, at most FILES_PER_BATCH
     if not names:
         empty = spark.createDataFrame([], TABLES["data"])
         return empty, empty
@@ -127,8 +135,6 @@ def load_files(spark: SparkSession, meta: DataFrame, settings: Settings = DEFAUL
     plain = F.regexp_replace(F.url_decode("path"), "^file:/+", "/")
     by_path = meta.select(plain.alias("file"), F.col("_og_hashmd5"))
     cells = rows.withColumn("file", F.regexp_replace(F.url_decode("file"), "^file:/+", "/"))
-    from harborwatch.plans.skew import spread_join
-
     cells = spread_join(cells, by_path, ["file"], ["row_no"]).select("_og_hashmd5", "row_no", "cells")
     fixes = records.fixes_of(
         records.classify_fields(cells, "_og_hashmd5", settings.classifier_rows, semantics), "_og_hashmd5"
@@ -147,21 +153,19 @@ def stream_files(
     """
     if register not in ("after_load", "before_load"):
         raise ValueError("register must be after_load or before_load")
-    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(in_dir)
+    files = (
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+        .option("maxFilesPerTrigger", FILES_PER_BATCH).load(in_dir)
+    )
+    prepare(spark, out_dir, {"database_metadata": META_SCHEMA, "data": TABLES["data"], "rejected": TABLES["data"]})
 
     def each(batch: DataFrame, no: int) -> None:
         session = batch.sparkSession
         wanted = batch.filter(supported_filetype(F.col("path"), settings.filetypes))
-        meta_schema = T.StructType([T.StructField("path", T.StringType()), *TABLES["database_metadata"].fields])
-        meta = wanted.select(
-            "path", F.md5("content").alias("_og_hashmd5"), F.lit(None).cast("string").alias("name"),
-            as_of.alias("breach_time"), F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("og_filename"),
-            F.lit(None).cast("boolean").alias("is_hashed"), F.lit(None).cast("boolean").alias("is_salted"),
-            F.lit(None).cast("bigint").alias("_id_source"),
-        )
-        known = stored(session, out_dir, "database_metadata", meta_schema, before=no)
+        meta = csv_files.fingerprint(wanted, as_of)
+        known = stored(session, out_dir, "database_metadata", META_SCHEMA, before=no)
         write_batch(records.new_files(meta, known), out_dir, "staged_files", no)
-        fresh = session.read.schema(meta_schema).parquet(f"{out_dir}/staged_files/batch={no}")
+        fresh = session.read.schema(META_SCHEMA).parquet(f"{out_dir}/staged_files/batch={no}")
         if register == "before_load":
             write_batch(fresh, out_dir, "database_metadata", no)
         ok, bad = load_files(session, fresh, settings, semantics)
