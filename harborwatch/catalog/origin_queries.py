@@ -455,7 +455,8 @@ def stream_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     # The folder is written twice, so every content comes in two files.
     for copy in ("a", "b"):
-        rows.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.option("header", True).csv(f"{root}/in/{copy}")
+        even = rows.repartition(4, "c_mktsegment").sortWithinPartitions("c_custkey")
+        even.write.option("header", True).csv(f"{root}/in/{copy}")
     query = streams.stream_files(spark, f"{root}/in/*", f"{root}/out", f"{root}/state", as_of(), DEFAULTS)
     query.awaitTermination()
     return streams.stored(spark, f"{root}/out", "data", TABLES["data"]).groupBy("username").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harborwatch.config import BIG, MID, check_semantics
-from harborwatch.functions.text import digit_share_points
+from harborwatch.functions.text import digit_share_points, let
 
 # Month names.
 MONTHS = [
@@ -45,51 +45,56 @@ def rolled_timestamp(
     return F.timestamp_seconds(days * 86400 + hour * 3600 + minute * 60 + second)
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    """The group as a whole number; null where it is not there."""
-    got = F.regexp_extract(text, pattern, group)
-    return F.when(got != "", got).cast("int")
+def _number(part: Column) -> Column:
+    return F.nullif(part, F.lit("")).cast("int")
 
 
-def _month_number(name: Column) -> Column:
+def _parts(text: Column, forms: list[tuple[str, str]]) -> Column:
+    """The groups of the first form that fits, in the order its template gives, as an array."""
+    line = F.when(F.lit(False), F.lit(""))
+    for pattern, template in forms:
+        line = line.when(text.rlike(pattern), F.regexp_replace(text, pattern, template))
+    return F.split(line, r"\|", -1)
+
+
+def _month_number(part: Column) -> Column:
+    """Number of a month given as digits or by the first three letters of its name."""
     short = F.array(*[F.lit(m[:3].lower()) for m in MONTHS])
-    found = F.array_position(short, F.lower(F.left(name, F.lit(3)))).cast("int")
-    return F.when(found > 0, found)
-
-
-def _clock(text: Column, pattern: str, at: int) -> tuple[Column, Column]:
-    """Seconds of the day and of the zone; no time is midnight."""
-    hour, minute, second = (F.coalesce(_part(text, pattern, at + i), F.lit(0)) for i in range(3))
-    half = F.upper(F.regexp_extract(text, pattern, at + 3))
-    hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-    zone = F.regexp_extract(text, pattern, at + 4)
-    signed = F.regexp_extract(zone, r"([+-])(\d{2}):?(\d{2})", 1)
-    shift = (
-        F.coalesce(_part(zone, r"([+-])(\d{2}):?(\d{2})", 2), F.lit(0)) * 3600
-        + F.coalesce(_part(zone, r"([+-])(\d{2}):?(\d{2})", 3), F.lit(0)) * 60
-    )
-    ok = (hour <= 24) & (minute < 60) & (second < 60)
-    return F.when(ok, hour * 3600 + minute * 60 + second), F.when(signed == "-", -shift).otherwise(shift)
+    named = F.nullif(F.array_position(short, F.lower(F.left(part, F.lit(3)))), F.lit(0)).cast("int")
+    return F.coalesce(part.try_cast("int"), named)
 
 
-def _form(text: Column, pattern: str, year: int, month: int, day: int, named: bool) -> Column:
-    name = F.regexp_extract(text, pattern, month)
-    m = _month_number(name) if named else _part(text, pattern, month)
-    d = F.coalesce(_part(text, pattern, day), F.lit(1))
-    seconds, shift = _clock(text, pattern, 4)
-    ok = m.between(1, 12) & d.between(1, 31) & seconds.isNotNull()
-    stamp = rolled_timestamp(_part(text, pattern, year), m, d, F.lit(0), F.lit(0), seconds - shift)
-    return F.when(ok, stamp)
+def _shift_seconds(zone: Column) -> Column:
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    seconds = F.coalesce(_number(F.left(digits, F.lit(2))), F.lit(0)) * 3600 + F.coalesce(
+        _number(F.substr(digits, F.lit(3))), F.lit(0)
+    ) * 60
+    return F.when(zone.contains("-"), -seconds).otherwise(seconds)
+
+
+# Year, month, day, hour, minute, second, half of the day, zone.
+_NATIVE_FORMS = [
+    (_ISO, "$1|$2|$3|$4|$5|$6|$7|$8"),
+    (_US, "$3|$1|$2|$4|$5|$6|$7|$8"),
+    (_MONTH_FIRST, "$3|$1|$2|$4|$5|$6|$7|$8"),
+    (_DAY_FIRST, "$3|$2|$1|$4|$5|$6|$7|$8"),
+]
+
+
+def _native_stamp(p: Column) -> Column:
+    month, day = _month_number(p[1]), F.coalesce(_number(p[2]), F.lit(1))
+    hour, minute, second = (F.coalesce(_number(p[i]), F.lit(0)) for i in (3, 4, 5))
+    half = F.upper(p[6])
+    hour24 = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
+    ok = month.between(1, 12) & day.between(1, 31) & (hour <= 24) & (minute < 60) & (second < 60)
+    return F.when(
+        ok, rolled_timestamp(_number(p[0]), month, day, hour24, minute, second - _shift_seconds(p[7]))
+    )
 
 
 def native_date(text: Column) -> Column:
     """What a browser's date constructor makes of the text, for the forms listed above; else null."""
-    return (
-        F.when(text.rlike(_ISO), _form(text, _ISO, 1, 2, 3, named=False))
-        .when(text.rlike(_US), _form(text, _US, 3, 1, 2, named=False))
-        .when(text.rlike(_MONTH_FIRST), _form(text, _MONTH_FIRST, 3, 1, 2, named=True))
-        .when(text.rlike(_DAY_FIRST), _form(text, _DAY_FIRST, 3, 2, 1, named=True))
-    )
+    return let(_parts(text, _NATIVE_FORMS), _native_stamp)
 
 
 def custom_date(text: Column, semantics: str = "reference") -> Column:
@@ -97,23 +102,22 @@ def custom_date(text: Column, semantics: str = "reference") -> Column:
 
     As written, 12 AM stays hour 12; intended, it is hour 0.
     """
-    month = F.array_position(
-        F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(text, _CUSTOM_NAMED, 2)
-    ).cast("int")
-    hour = _part(text, _CUSTOM_NAMED, 4)
-    half = F.regexp_extract(text, _CUSTOM_NAMED, 6)
-    hour24 = F.when((half == "PM") & (hour != 12), hour + 12)
-    if check_semantics(semantics):
-        hour24 = hour24.when((half == "AM") & (hour == 12), 0)
-    named = rolled_timestamp(
-        _part(text, _CUSTOM_NAMED, 3), month, _part(text, _CUSTOM_NAMED, 1),
-        hour24.otherwise(hour), _part(text, _CUSTOM_NAMED, 5), F.lit(0),
-    )
-    d, m, y, h, mi = (_part(text, _CUSTOM_SLASH, i) for i in (1, 2, 3, 4, 5))
-    slash = rolled_timestamp(y, m, d, h, mi, F.lit(0))
-    return F.coalesce(
-        F.when(text.rlike(_CUSTOM_NAMED) & (month > 0), named), F.when(text.rlike(_CUSTOM_SLASH), slash)
-    )
+    intended = check_semantics(semantics)
+
+    def stamp(p: Column) -> Column:
+        hour, half = _number(p[3]), p[5]
+        hour24 = F.when((half == "PM") & (hour != 12), hour + 12)
+        if intended:
+            hour24 = hour24.when((half == "AM") & (hour == 12), 0)
+        full = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), p[1]), F.lit(0)).cast("int")
+        month = F.coalesce(p[1].try_cast("int"), full)
+        return rolled_timestamp(_number(p[2]), month, _number(p[0]), hour24.otherwise(hour), _number(p[4]), F.lit(0))
+
+    def found(pattern: str, template: str) -> Column:
+        whole = r"(?s)^.*?" + pattern + r".*\z"
+        return let(_parts(text, [(whole, template)]), stamp)
+
+    return F.coalesce(found(_CUSTOM_NAMED, "$1|$2|$3|$4|$5|$6"), found(_CUSTOM_SLASH, "$1|$2|$3|$4|$5|"))
 
 
 def parse_date(text: Column, semantics: str = "reference") -> Column:

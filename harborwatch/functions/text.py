@@ -34,6 +34,11 @@ CELL_TESTS = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 

@@ -74,6 +74,7 @@ def search_counts(hits: DataFrame) -> DataFrame:
 # ---- watch-list ----------------------------------------------------------------------------
 
 _GRAM = 4
+IN_PLAN_TERMS = 1000
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -86,14 +87,27 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(joined)
 
 
-def search_batch(df: DataFrame, key: list[str], text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+def search_batch(
+    df: DataFrame, key: list[str], text: str, terms: DataFrame, term: str = "term", in_plan: int = IN_PLAN_TERMS
+) -> DataFrame:
     """``(*key, term)`` for every row whose text holds the term, in any case; exact for any list size.
 
-    Every term is tied to one character run of its own (four long, or the term itself when shorter),
-    the rarest one in the texts. Texts meet terms on that run by an equi-join, and the pairs are then
-    checked in full. Runs that tie no term are dropped before any shuffle of text keys.
+    A list of at most ``in_plan`` terms goes into the plan as a literal: one pass over the texts, no
+    join. Beyond that, every term is tied to one character run of its own (four long, or the term
+    itself when shorter), the rarest one in the texts. Texts meet terms on that run by an equi-join,
+    and the pairs are then checked in full; runs that tie no term go before any shuffle.
     """
     listed = terms.select(F.col(term).alias("term"), F.lower(term).alias("low")).filter(F.col("low") != "").distinct()
+    few = listed.limit(in_plan + 1).collect()
+    if not few or len(few) > in_plan:
+        return _search_by_runs(df, key, text, listed)
+    words = F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.low).alias("low")) for r in few])
+    lowered = df.select(*key, F.lower(F.col(text)).alias("__text"))
+    found = F.filter(words, lambda w: F.contains(F.col("__text"), w["low"]))
+    return lowered.select(*key, F.explode(found).alias("w")).select(*key, "w.term")
+
+
+def _search_by_runs(df: DataFrame, key: list[str], text: str, listed: DataFrame) -> DataFrame:
     lengths = listed.select(F.least(F.length("low"), F.lit(_GRAM)).alias("n")).distinct()
     sizes = sorted(r.n for r in lengths.collect())  # at most _GRAM numbers
     if not sizes:

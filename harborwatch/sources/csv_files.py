@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.functions.text import js_trim
 from harborwatch.plans.skew import spread_join
+from harborwatch.session import staged
 
 _CELL = r'([^\S,]*"(?:[^"]|"")*"[^\S,]*|[^,]*),'
 
@@ -57,15 +58,19 @@ def number_records(lines: DataFrame) -> DataFrame:
     solid = lines.filter(js_trim(F.col("line")) != "").withColumn("at", F.monotonically_increasing_id())
 
     per_file = Window.partitionBy("file")
-    quotes = (
+    # One row per split: a small table, written so that the lines are read for it only once.
+    quotes = staged(
         every.groupBy("file", "block").agg(F.sum("odd").alias("odd_lines"))
         .withColumn("file_odd", F.sum("odd_lines").over(per_file))
         .withColumn("odd_before", F.coalesce(F.sum("odd_lines").over(_before("file", "block")), F.lit(0)))
-        .drop("odd_lines")
+        .drop("odd_lines"),
+        "csv-quotes",
     )
-    plain_files = quotes.filter(F.col("file_odd") == 0).select("file").distinct()
-    plain = _number(solid, dense=True).join(plain_files, "file", "left_semi")
-    broken = quotes.filter((F.col("file_odd") > 0) & (F.col("file_odd") % 2 == 0))
+    quoted = quotes.filter(F.col("file_odd") > 0)
+    if not quoted.take(1):
+        return _number(solid, dense=True)
+    plain = _number(solid.join(quoted.select("file").distinct(), "file", "left_anti"), dense=True)
+    broken = quoted.filter(F.col("file_odd") % 2 == 0)
     return plain.unionByName(_number(_join_quoted(every.join(broken, ["file", "block"])), dense=False))
 
 

@@ -20,6 +20,7 @@ from harborwatch.operators import extract, records, tables
 from harborwatch.operators.origins import advance_checkpoint
 from harborwatch.plans.skew import spread_join
 from harborwatch.schemas import TABLES
+from harborwatch.session import staged
 from harborwatch.sources import csv_files, feeds
 
 MESSAGE_SCHEMA = T.StructType([
@@ -126,7 +127,10 @@ def stream_pages(stream: DataFrame, paths: DataFrame, out_dir: str, checkpoint:
 
 
 def load_files(spark: SparkSession, meta: DataFrame, settings: Settings = DEFAULTS, semantics: str = "reference") -> tuple[DataFrame, DataFrame]:
-    """Standard ``(ok, bad)`` data rows of the files listed in ``meta`` (``path, _og_hashmd5``)."""
+    """Standard ``(ok, bad)`` data rows of the files listed in ``meta`` (``path, _og_hashmd5``).
+
+    The cells are parsed once and written to the shared folder: classifier, decision and load read them.
+    """
     names = [r.path for r in meta.select("path").collect()]  # the names of one batch, at most FILES_PER_BATCH
     if not names:
         empty = spark.createDataFrame([], TABLES["data"])
@@ -135,7 +139,9 @@ def load_files(spark: SparkSession, meta: DataFrame, settings: Settings = DEFAUL
     plain = F.regexp_replace(F.url_decode("path"), "^file:/+", "/")
     by_path = meta.select(plain.alias("file"), F.col("_og_hashmd5"))
     cells = rows.withColumn("file", F.regexp_replace(F.url_decode("file"), "^file:/+", "/"))
-    cells = spread_join(cells, by_path, ["file"], ["row_no"]).select("_og_hashmd5", "row_no", "cells")
+    cells = staged(
+        spread_join(cells, by_path, ["file"], ["row_no"]).select("_og_hashmd5", "row_no", "cells"), "cells"
+    )
     fixes = records.fixes_of(
         records.classify_fields(cells, "_og_hashmd5", settings.classifier_rows, semantics), "_og_hashmd5"
     )
