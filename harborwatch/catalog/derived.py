@@ -138,7 +138,7 @@ CTES["source_thread"] = """
 
 def source_thread(spark: SparkSession, sf: str) -> DataFrame:
     d, none = F.col("doc_id"), F.lit(None).cast("int")
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         d.alias("_id_source_thread"),
         F.concat(F.lit("https://forum.example/t/"), (d % 900).cast("string")).alias("url"),
         F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("description"),

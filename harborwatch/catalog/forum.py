@@ -40,7 +40,7 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
     index = F.floor(k / ORIGINS)
     origin = _s(k % ORIGINS)
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         k, (k % ORIGINS).alias("origin_id"), F.floor(index / PER_PAGE).alias("page_no"),
         (index % PER_PAGE).alias("pos"),
         F.when(k % 7 == 0, F.concat(F.lit("T"), _s(k)))

@@ -25,7 +25,7 @@ with_ctes, stamp, stamp_sql, as_of = d.with_ctes, d.stamp, d.stamp_sql, d.as_of
     SELECT page_id, lower(url) LIKE '%.html' OR lower(url) LIKE '%.csv' AS supported FROM pages""")
 def filetype_filter(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(F.col("page_id") % 2 == 0, F.upper("url")).otherwise(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", tx.supported_filetype(name, ["html", "csv"]).alias("supported"))
+    return table(spark, sf, "pages", "page_id").select("page_id", tx.supported_filetype(name, ["html", "csv"]).alias("supported"))
 
 
 @register("message_feed", with_ctes(["messages", "channel"], """
@@ -39,7 +39,7 @@ def message_feed(spark: SparkSession, sf: str) -> DataFrame:
     SELECT page_id, url FROM pages WHERE url LIKE '%?%'""")
 def page_table(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(F.col("url").contains("?"), "THREAD_LIST").otherwise("THREAD")
-    pages = table(spark, sf, "pages").withColumn("label", label)
+    pages = table(spark, sf, "pages", "page_id").withColumn("label", label)
     return feeds.pages_of(pages, "THREAD_LIST").select("page_id", "url")
 
 
@@ -55,7 +55,7 @@ def origin_category(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("page_id")
     dark = F.regexp_replace("url", r"^([a-z]+://[^/]*)\.[a-z]+(/|$)", "$1.Onion:80$2")
     url = F.when(p % 3 == 0, dark).otherwise(F.concat(F.col("url"), F.lit("?to=x.onion")))
-    return table(spark, sf, "pages").select("page_id", urls.origin_category(url, p % 5 == 0).alias("category"))
+    return table(spark, sf, "pages", "page_id").select("page_id", urls.origin_category(url, p % 5 == 0).alias("category"))
 
 
 @register("channel_key", """
@@ -77,7 +77,7 @@ def channel_key(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT doc_id, repeat(text, 20) AS t FROM documents)""")
 def truncate_description(spark: SparkSession, sf: str) -> DataFrame:
     long = tx.truncate_description(F.repeat("text", F.lit(20)))
-    return table(spark, sf, "documents").select("doc_id", F.length(long).alias("n"), F.md5(long).alias("digest"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", F.length(long).alias("n"), F.md5(long).alias("digest"))
 
 
 @register("parse_channel_info", """
@@ -200,7 +200,7 @@ def thread_unseen(spark: SparkSession, sf: str) -> DataFrame:
     from harborwatch.operators.extract import unseen_threads
 
     url = F.concat(F.lit("https://forum.example/t/"), (F.col("page_id") * 7).cast("string"))
-    threads = table(spark, sf, "pages").select("page_id", url.alias("url"))
+    threads = table(spark, sf, "pages", "page_id").select("page_id", url.alias("url"))
     return unseen_threads(threads, d.source_thread(spark, sf))
 
 
@@ -421,7 +421,7 @@ def orphan_rows(spark: SparkSession, sf: str) -> DataFrame:
 def length_violations(spark: SparkSession, sf: str) -> DataFrame:
     every = _all_tables(spark, sf)
     every["source_telegram"] = d.messages(spark, sf).select(F.col("text").alias("message_text"))
-    every["author"] = table(spark, sf, "documents").select(F.col("text").alias("tag"))
+    every["author"] = table(spark, sf, "documents", "doc_id").select(F.col("text").alias("tag"))
     return audit.length_violations(every)
 
 

@@ -43,7 +43,7 @@ def csv_records(spark: SparkSession, sf: str) -> DataFrame:
     SELECT 'dump/' || doc_id || '.csv' AS path, md5(text) AS _og_hashmd5, doc_id || '.csv' AS og_filename FROM documents""")
 def file_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("dump/"), F.col("doc_id").cast("string"), F.lit(".csv"))
-    files = table(spark, sf, "documents").select(name.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    files = table(spark, sf, "documents", "doc_id").select(name.alias("path"), F.encode("text", "UTF-8").alias("content"))
     return csv_files.fingerprint(files, d.as_of()).select("path", "_og_hashmd5", "og_filename")
 
 
@@ -72,7 +72,7 @@ _TESTS_SQL = {
     f"count(*) FILTER (regexp_matches(cell, '{p}')) AS {n}" for n, p in _TESTS_SQL.items()
 ) + " FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]')) AS cell FROM documents) GROUP BY doc_id")
 def cell_tests(spark: SparkSession, sf: str) -> DataFrame:
-    cells = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "[ \n]", -1)).alias("cell"))
+    cells = table(spark, sf, "documents", "doc_id").select("doc_id", F.explode(F.split("text", "[ \n]", -1)).alias("cell"))
     return cells.groupBy("doc_id").agg(*[F.count_if(tx.cell_test(n, F.col("cell"))).alias(n) for n in tx.CELL_TESTS])
 
 
@@ -167,7 +167,7 @@ def records_search_flow(spark: SparkSession, sf: str) -> DataFrame:
     SELECT min(doc_id) AS doc_id, md5(text) AS _og_hashmd5 FROM documents
     WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) GROUP BY md5(text)""")
 def register_file(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.md5("text").alias("_og_hashmd5")
     )
     known = docs.filter(F.col("doc_id") % 10 == 0)
@@ -178,7 +178,7 @@ _LONG_SQL = """SELECT doc_id AS row_no, source AS _og_hashmd5, left(text, 200) A
 
 
 def _long_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("row_no"), F.col("source").alias("_og_hashmd5"), F.left("text", F.lit(200)).alias("username")
     )
 
@@ -257,4 +257,4 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
         .union(table(spark, sf, "region").select("r_name"))
         .union(table(spark, sf, "nation").select(F.left("n_name", F.lit(3))))
     )
-    return search.search_batch(table(spark, sf, "documents"), ["doc_id"], "text", terms)
+    return search.search_batch(table(spark, sf, "documents", "doc_id"), ["doc_id"], "text", terms)

@@ -12,7 +12,6 @@ from harborwatch.config import BAD_WORDS, DEFAULTS, DESCRIPTION_WORDS, GOOD_WORD
 from harborwatch.functions import dates, urls
 from harborwatch.functions import text as tx
 from harborwatch.operators import dom, extract, infer
-from harborwatch.plans.skew import spread_join
 
 THREADS = forum.THREADS_CTE
 
@@ -31,7 +30,7 @@ def _sql_list(words: list[str]) -> str:
         || replace(replace(url_encode(replace(replace(href, '&quot;', '"'), '&amp;', '&')), '%2F', '/'), '%2C', ','), '^$', '') AS link
     FROM cut""")
 def resolve_url(spark: SparkSession, sf: str) -> DataFrame:
-    frame = dom.page_frame(table(spark, sf, "pages"), ["page_id", "url"], clean=False)
+    frame = dom.page_frame(table(spark, sf, "pages", "page_id"), ["page_id", "url"], clean=False)
     links = dom.select_by_path(frame, ["page_id", "url"], F.lit("nav a"))
     href = F.col("attrs")["href"]
     # The SQL side sees the raw attribute.
@@ -46,7 +45,7 @@ _DATE_ROWS = f"WITH {THREADS}"
     SELECT doc_id, CAST(CASE WHEN doc_id % 3 <> 1 THEN epoch({forum.DATE_SQL}) END AS BIGINT) AS seconds FROM threads""")
 def parse_custom_date(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("posted "), forum.date_text(), F.lit(" by"))
-    return table(spark, sf, "documents").select("doc_id", F.unix_seconds(dates.custom_date(text)).alias("seconds"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", F.unix_seconds(dates.custom_date(text)).alias("seconds"))
 
 
 @register("parse_custom_date_rollover", """
@@ -64,7 +63,7 @@ def parse_custom_date_rollover(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, CAST(epoch({forum.DATE_SQL}) AS BIGINT) AS seconds FROM threads""")
 def first_date(spark: SparkSession, sf: str) -> DataFrame:
     pieces = F.array(F.lit(""), F.left("text", F.lit(40)), forum.date_text(), F.lit("1 January 2001"))
-    return table(spark, sf, "documents").select("doc_id", F.unix_seconds(dates.first_date(pieces)).alias("seconds"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", F.unix_seconds(dates.first_date(pieces)).alias("seconds"))
 
 
 @register("native_date", """
@@ -100,7 +99,7 @@ def date_score(spark: SparkSession, sf: str) -> DataFrame:
 
     late = F.concat(ymd(2050 + k % 4), F.lit(" "), day[2], F.lit(":"), day[3])
     texts = F.array(F.left(tx.squash_spaces(F.col("text")), F.lit(30)), ymd(2020 + k % 4), late)
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(texts).alias("pos", "t"))
+    rows = table(spark, sf, "documents", "doc_id").select("doc_id", F.posexplode(texts).alias("pos", "t"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("kind"), dates.date_score(F.col("t"), as_of()).alias("score"))
 
 
@@ -135,7 +134,7 @@ def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
     empty = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("x"), text))
     full = tx.keyword_score(text, GOOD_WORDS + ["en", "tion"], BAD_WORDS, semantics="intended")
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         "doc_id", full.cast("bigint").alias("intended"),
         tx.keyword_score(F.concat(F.lit("x"), text), GOOD_WORDS, BAD_WORDS).cast("bigint").alias("written"),
         tx.keyword_score(empty, ["", "", "view"], BAD_WORDS).cast("bigint").alias("written_empty"),
@@ -152,7 +151,7 @@ def title_score(spark: SparkSession, sf: str) -> DataFrame:
         name: tx.title_score(F.col("text"), title, GOOD_WORDS, BAD_WORDS, 1, semantics).cast("bigint").alias(name)
         for name, semantics in (("written", "reference"), ("intended", "intended"))
     }
-    return table(spark, sf, "documents").select("doc_id", scores["written"], scores["intended"])
+    return table(spark, sf, "documents", "doc_id").select("doc_id", scores["written"], scores["intended"])
 
 
 _LONG_SQL = "CASE WHEN length(text) > 300 THEN 100 ELSE -100 END"
@@ -169,7 +168,7 @@ def description_score(spark: SparkSession, sf: str) -> DataFrame:
         name: tx.description_score(F.col("text"), title, GOOD_WORDS, BAD_WORDS, semantics).cast("bigint").alias(name)
         for name, semantics in (("written", "reference"), ("intended", "intended"))
     }
-    return table(spark, sf, "documents").select("doc_id", scores["written"], scores["intended"])
+    return table(spark, sf, "documents", "doc_id").select("doc_id", scores["written"], scores["intended"])
 
 
 # ---- tokens and elements -------------------------------------------------------------------
@@ -186,7 +185,7 @@ _RE2_TOKEN = dom.TOKEN_PATTERN.replace("++", "+").replace("*+", "*").replace("'"
              WHEN regexp_matches(token, '^<[!?]') THEN 'declaration' ELSE 'text' END AS kind,
         lower(regexp_extract(token, '^</?([a-zA-Z][^\\s/>]*)', 1)) AS tag FROM r""")
 def html_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return dom.html_tokens(table(spark, sf, "pages"), ["page_id"])
+    return dom.html_tokens(table(spark, sf, "pages", "page_id"), ["page_id"])
 
 
 # The content of every page between menu and footer, one row per token. ``nb``: bold tags opened up to
@@ -200,7 +199,7 @@ _BODY_SQL = r"""
             FROM tok WINDOW w AS (PARTITION BY page_id ORDER BY i)),
     st AS (SELECT *, first_value(nb) OVER (PARTITION BY page_id, p_no ORDER BY i) AS nb0,
             CASE WHEN left(t, 1) = '<' THEN t ELSE
-                regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '\s+', ' ', 'g') END AS piece
+                regexp_replace(replace(regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;?', '&', 'g'), '&', '&amp;'), '\s+', ' ', 'g') END AS piece
             FROM cnt),
     body AS (SELECT *, least(nb0, 3) + nb - nb0 AS k,
             lag(p_open, 1, FALSE) OVER o AS was_open, lag(least(nb0, 3) + nb - nb0, 1, 0) OVER o AS was_k
@@ -208,7 +207,7 @@ _BODY_SQL = r"""
 
 
 def _page_frame(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    return dom.page_frame(table(spark, sf, "pages"), ["page_id"], **kw)
+    return dom.page_frame(table(spark, sf, "pages", "page_id"), ["page_id"], **kw)
 
 
 @register("dom_nodes", f"""WITH {_BODY_SQL}
@@ -239,7 +238,7 @@ def smallize_html(spark: SparkSession, sf: str) -> DataFrame:
     SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, CAST(sum(before) AS BIGINT) AS chars_before,
            CAST(sum(length(clean_html)) AS BIGINT) AS chars_after FROM ({_CLEAN_SQL}) c JOIN pages USING (page_id) GROUP BY 1""")
 def html_size_report(spark: SparkSession, sf: str) -> DataFrame:
-    return dom.size_report(table(spark, sf, "pages").withColumn("host", urls.url_host(F.col("url"))), ["host"])
+    return dom.size_report(table(spark, sf, "pages", "page_id").withColumn("host", urls.url_host(F.col("url"))), ["host"])
 
 
 @register("css_path", f"""WITH {_BODY_SQL}
@@ -458,9 +457,13 @@ def infer_site(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- extraction ----------------------------------------------------------------------------
 
+def _known_list_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return infer.list_frame(forum.list_pages(spark, sf), forum.known_paths(spark, sf), ["origin_id"])
+
+
 @register("explore_links", f"WITH {THREADS} SELECT origin_id, page_no, CAST(pos AS INTEGER) AS pos, link, title AS link_title FROM threads")
 def explore_links(spark: SparkSession, sf: str) -> DataFrame:
-    return infer.explore_links(_list_frame(spark, sf), forum.known_paths(spark, sf), ["origin_id"])
+    return infer.explore_links(_known_list_frame(spark, sf), ["origin_id"])
 
 
 _LAST_SEEN = f"""last_seen AS (SELECT origin_id, max(CASE WHEN origin_id % 4 = 1 THEN page_no * 100 + pos END) AS place
@@ -478,13 +481,13 @@ def _last_urls(spark: SparkSession, sf: str) -> DataFrame:
     SELECT origin_id, page_no, CAST(pos AS INTEGER) AS pos, link FROM threads JOIN last_seen USING (origin_id)
     WHERE place IS NULL OR page_no * 100 + pos < place""")
 def links_until_seen(spark: SparkSession, sf: str) -> DataFrame:
-    links = infer.explore_links(_list_frame(spark, sf), forum.known_paths(spark, sf), ["origin_id"])
+    links = infer.explore_links(_known_list_frame(spark, sf), ["origin_id"])
     return extract.links_until_seen(links, _last_urls(spark, sf)).select("origin_id", "page_no", "pos", "link")
 
 
 @register("next_last_url", f"WITH {THREADS} SELECT origin_id, link AS last_url FROM threads WHERE page_no = 0 AND pos = 5")
 def next_last_url(spark: SparkSession, sf: str) -> DataFrame:
-    links = infer.explore_links(_list_frame(spark, sf), forum.known_paths(spark, sf), ["origin_id"])
+    links = infer.explore_links(_known_list_frame(spark, sf), ["origin_id"])
     return extract.next_last_url(links)
 
 
@@ -538,7 +541,7 @@ def insert_source_thread(spark: SparkSession, sf: str) -> DataFrame:
 @register("non_empty_threads", """
     SELECT doc_id FROM documents WHERE trim(regexp_replace(left(text, 2), '\\s+', '', 'g')) <> ''""")
 def non_empty_threads(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.col("source").alias("title"), tx.js_trim(F.left("text", F.lit(2))).alias("description")
     )
     return extract.non_empty_threads(rows).select("doc_id")

@@ -132,9 +132,11 @@ def first_date(texts: Column, semantics: str = "reference") -> Column:
 
 def date_score(text: Column, as_of: Column, semantics: str = "reference") -> Column:
     """Length, a parsed date before ``as_of`` and the share of digits, 50 to 100 points each."""
-    found = parse_date(text, semantics)
-    return (
-        F.when(F.length(text) < 15, -MID).otherwise(MID)
-        + F.when(F.coalesce(found < as_of, F.lit(False)), MID).otherwise(-BIG)
-        + digit_share_points(text)
-    )
+    def points(t: Column) -> Column:
+        return (
+            F.when(F.length(t) < 15, -MID).otherwise(MID)
+            + F.when(F.coalesce(parse_date(t, semantics) < as_of, F.lit(False)), MID).otherwise(-BIG)
+            + digit_share_points(t)
+        )
+
+    return let(text, points)

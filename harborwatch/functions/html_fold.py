@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from html.entities import html5
 
 # Tag classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +37,7 @@ DROP_ATTRS = {"id", "on", "style"}
 SPACE_RUN = re.compile("[\t\n\x0b\x0c\r \u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 _NAME = re.compile(r"</?([^\s/>]+)")
 _ATTR = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
 _COMMENT, _RAW = "!", "#raw"
 
 
@@ -46,11 +48,24 @@ class Element:
         self.tag, self.attrs, self.kids, self.parent = tag, attrs or {}, [], parent
 
 
+def _decode_attr(value: str) -> str:
+    """Character references of an attribute: unlike in text, ``&copy=`` and ``&section`` stay as they are."""
+    def one(m: re.Match) -> str:
+        ref = m.group()
+        if ref[1] == "#":
+            return html.unescape(ref)
+        if not ref.endswith(";") and value[m.end():m.end() + 1] == "=":
+            return ref
+        return html5.get(ref[1:], ref)
+
+    return _REFERENCE.sub(one, value)
+
+
 def read_attrs(token: str, start: int) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(token, start, len(token) - 1):
         value = a or b or c
-        out.setdefault(name.lower(), html.unescape(value) if "&" in value else value)
+        out.setdefault(name.lower(), _decode_attr(value) if "&" in value else value)
     return out
 
 

@@ -59,7 +59,8 @@ def cell_test(name: str, cell: Column, semantics: str = "reference") -> Column:
 def occurrences(text: Column, word: Column | str) -> Column:
     """Non-overlapping occurrences of a non-empty literal word."""
     w = F.lit(word) if isinstance(word, str) else word
-    return ((F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w)).cast("int")
+    left = F.octet_length(F.replace(text, w, F.lit("")))
+    return ((F.octet_length(text) - left) / F.octet_length(w)).cast("int")
 
 
 def _points(matches: Column, points: int, cap: int | None) -> Column:
@@ -83,23 +84,22 @@ def keyword_score(
     only below the cap. Intended: lower-case text, literal words, at most ``cap`` matches per word.
     """
     if check_semantics(semantics):
-        low = F.lower(text)
-        score = F.lit(0)
-        for word in good:
-            if word:
-                score = score + _points(occurrences(low, word), good_points, cap)
-        for word in bad:
-            if word:
-                score = score + occurrences(low, word) * F.lit(bad_points)
-        if extra is not None:
-            score = score + F.aggregate(
-                extra,
-                F.lit(0),
-                lambda a, w: a + F.when(w == "", 0).otherwise(
-                    _points(occurrences(low, F.when(w == "", "-").otherwise(w)), good_points, cap)
-                ),
-            )
-        return score
+        def intended(low: Column) -> Column:
+            score = F.lit(0)
+            for word in good:
+                if word:
+                    score = score + _points(occurrences(low, word), good_points, cap)
+            for word in bad:
+                if word:
+                    score = score + occurrences(low, word) * F.lit(bad_points)
+            if extra is not None:
+                words = F.filter(extra, lambda w: w != "")
+                score = score + F.aggregate(
+                    words, F.lit(0), lambda a, w: a + _points(occurrences(low, w), good_points, cap)
+                )
+            return score
+
+        return let(F.lower(text), intended)
     per_empty = good_points if not cap or cap > 1 else 0
     fixed = good.count("") * per_empty + sum(len(re.findall(p, "")) for p in bad) * bad_points
     score = F.lit(fixed)

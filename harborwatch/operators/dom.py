@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborwatch.functions.html_fold import fold_page
+from harborwatch.functions.text import let
 
 # Comments, script and style whole, then tags (quoted values may hold ">"), text, and a lone "<".
 TOKEN_PATTERN = (
@@ -157,12 +158,13 @@ def css_path(n: Column, parents: int = 3) -> Column:
 
 def css_path_in_row(n: Column, parents: int = 3) -> Column:
     """Like :func:`css_path`, but starting below the nearest enclosing table row."""
-    path = n["path"]
-    above = F.transform(F.slice(path, F.lit(1), F.size(path) - 1), lambda s: F.substring_index(s, ".", 1))
-    last_row = F.size(above) + 1 - F.array_position(F.reverse(above), "tr")
-    has_row = F.array_contains(above, "tr")
-    inner = F.when(has_row, F.slice(path, last_row.cast("int") + 1, F.size(path))).otherwise(path)
-    return F.array_join(tail_path(inner, parents), " ")
+    def in_row(path: Column) -> Column:
+        above = F.slice(path, F.lit(1), F.size(path) - 1)
+        row_at = F.transform(above, lambda s, i: F.when(s.rlike(r"^tr(\.|$)"), i + 1).otherwise(0))
+        start = F.greatest(F.coalesce(F.array_max(row_at), F.lit(0)) + 1, F.size(path) - parents + 1)
+        return F.array_join(F.slice(path, start, F.lit(parents)), " ")
+
+    return let(n["path"], in_row)
 
 
 def selector_steps(selector: Column) -> Column:
@@ -173,24 +175,23 @@ def selector_steps(selector: Column) -> Column:
 
 def _fits(step: Column, element: Column) -> Column:
     """Does an element step (``tag.class...``) carry the tag and all classes of a selector step?"""
-    have = F.split(element, r"\.")
-    return (F.get(step, F.lit(0)) == F.get(have, F.lit(0))) & (F.size(F.array_except(step, have)) == 0)
+    return let(
+        F.split(element, r"\."),
+        lambda have: (F.get(step, F.lit(0)) == F.get(have, F.lit(0))) & (F.size(F.array_except(step, have)) == 0),
+    )
 
 
 def matches(steps: Column, n: Column) -> Column:
     """Descendant selector: last step on the node, the others on its ancestors in order."""
-    path = n["path"]
-    want = F.size(steps) - 1
-    above = F.slice(path, F.lit(1), F.size(path) - 1)
+    path, want = n["path"], F.size(steps) - 1
     done = F.aggregate(
-        above,
+        F.slice(path, F.lit(1), F.size(path) - 1),
         F.lit(0),
         lambda i, e: F.when((i < want) & F.coalesce(_fits(F.get(steps, i), e), F.lit(False)), i + 1).otherwise(i),
     )
-    tag = F.get(F.get(steps, want), F.lit(0))
-    return F.when((F.size(steps) > 0) & (n["tag"] == tag), _fits(F.get(steps, want), F.element_at(path, -1)) & (done == want)).otherwise(
-        F.lit(False)
-    )
+    last = F.get(steps, want)
+    same_tag = (F.size(steps) > 0) & (n["tag"] == F.get(last, F.lit(0)))
+    return F.when(same_tag, F.when(_fits(last, F.element_at(path, -1)), done == want)).otherwise(F.lit(False))
 
 
 def select_nodes(nodes: Column, steps: Column) -> Column:

@@ -10,8 +10,9 @@ from harborwatch.functions.dates import first_date
 from harborwatch.functions.text import js_trim, truncate_description
 from harborwatch.functions.urls import resolve_url
 from harborwatch.operators import dom
-from harborwatch.operators.infer import explore_links
+from harborwatch.operators.infer import list_frame
 from harborwatch.plans.skew import pick_top, spread_join
+from harborwatch.session import staged
 
 
 def _nodes() -> Column:
@@ -42,32 +43,49 @@ def next_last_url(links: DataFrame, offset: int = DEFAULTS.link_offset) -> DataF
     return links.filter(at).select("origin_id", F.col("link").alias("last_url"))
 
 
-def next_page_urls(frame: DataFrame, paths: DataFrame) -> DataFrame:
-    """The resolved next-page address of every list page that has one."""
-    joined = spread_join(frame, paths.select("origin_id", "next_page_path"), ["origin_id"], ["page_no"])
-    href = dom.selected_attr(_nodes(), F.col("__steps"), "href")
-    return (
-        joined.withColumn("__steps", dom.selector_steps(F.col("next_page_path")))
-        .withColumn("__href", href)
-        .filter(F.coalesce(F.col("__href"), F.lit("")) != "")
-        .select("origin_id", "page_no", resolve_url(F.col("__href"), F.col("url")).alias("next_url"))
-    )
+def next_page_url() -> Column:
+    """The resolved next-page address of a ``list_frame`` row with ``__next_steps``; null without one."""
+    href = dom.selected_attr(_nodes(), F.col("__next_steps"), "href")
+    return dom.let(href, lambda h: F.when(h != "", resolve_url(h, F.col("url"))))
+
+
+def next_page_urls(frame: DataFrame) -> DataFrame:
+    steps = frame.withColumn("__next_steps", dom.selector_steps(F.col("next_page_path")))
+    found = steps.select("origin_id", "page_no", next_page_url().alias("next_url"))
+    return found.filter(F.col("next_url").isNotNull())
 
 
 def thread_list_scrape(
     pages: DataFrame, paths: DataFrame, origin: DataFrame, offset: int = DEFAULTS.link_offset
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New thread links, next-page addresses and new ``last_url`` values of captured list pages."""
-    frame = dom.page_frame(pages, ["origin_id", "page_no", "url"])
-    links = explore_links(frame, paths, ["origin_id"])
-    return links_until_seen(links, origin), next_page_urls(frame, paths), next_last_url(links, offset)
+    """New thread links, next-page addresses and new ``last_url`` values of captured list pages.
+
+    The pages are parsed once; their links, a small part of them, are written to the shared folder
+    and read for the three answers.
+    """
+    frame = list_frame(pages, paths, ["origin_id"])
+    link_steps = dom.selector_steps(F.concat_ws(" ", "table_body_path", F.coalesce("thread_link_path", F.lit(""))))
+    marked = frame.withColumn("__steps", link_steps).withColumn(
+        "__next_steps", dom.selector_steps(F.col("next_page_path"))
+    )
+
+    def address(n: Column) -> Column:
+        return resolve_url(F.try_element_at(n["attrs"], F.lit("href")), F.col("url"))
+
+    found = F.transform(dom.select_nodes(_nodes(), F.col("__steps")), address)
+    rows = staged(
+        marked.select("origin_id", "page_no", found.alias("links"), next_page_url().alias("next_url")), "list-links"
+    )
+    links = rows.select("origin_id", "page_no", F.posexplode("links").alias("pos", "link"))
+    forward = rows.filter(F.col("next_url").isNotNull()).select("origin_id", "page_no", "next_url")
+    return links_until_seen(links, origin), forward, next_last_url(links, offset)
 
 
 def read_threads(pages: DataFrame, paths: DataFrame) -> DataFrame:
     """Title, description and first readable date of every captured thread page."""
-    frame = dom.page_frame(pages, ["origin_id", "url"])
     names = ["thread_title_path", "thread_description_path", "thread_pubblication_date_path"]
-    joined = spread_join(frame, paths.select("origin_id", *names), ["origin_id"], ["url"])
+    with_paths = spread_join(pages, paths.select("origin_id", *names), ["origin_id"], ["url"])
+    joined = dom.page_frame(with_paths, ["origin_id", "url", *names])
     for short, name in zip(("t", "d", "p"), names):
         joined = joined.withColumn(f"__{short}", dom.selector_steps(F.col(name)))
     return joined.select(
@@ -91,10 +109,10 @@ def thread_extract(
 ) -> DataFrame:
     """Thread rows that are complete, not stored yet, and one per address.
 
-    The anti-join runs on the captured pages, so stored addresses are never parsed.
+    Pages are parsed where they are read and only the extracted rows are shuffled, by address, once
+    for the comparison with the stored addresses and the pick.
     """
-    fresh = unseen_threads(pages, source_thread)
-    found = non_empty_threads(read_threads(fresh, paths))
+    found = unseen_threads(non_empty_threads(read_threads(pages, paths)), source_thread)
     once = pick_top(found, ["url"], [F.col("origin_id"), F.xxhash64("title", "description")])
     return once.withColumn("crawled_time", as_of).withColumn("updated_time", as_of)
 

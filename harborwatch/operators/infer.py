@@ -62,7 +62,7 @@ def node_argmax(scored: DataFrame, by: list[str], score: str = "score", order: s
 
 def _winner_path(picked: Column, path: Callable[[Column], Column] = dom.css_path) -> Column:
     """Path of the element a ``best_node`` struct points at; empty where there was no candidate."""
-    return F.coalesce(path(F.get(_nodes(), (-picked["first"]).cast("int"))), F.lit(""))
+    return F.coalesce(dom.let(F.get(_nodes(), (-picked["first"]).cast("int")), path), F.lit(""))
 
 
 def _steps_of(column: str) -> Column:
@@ -197,11 +197,18 @@ def next_page(frame: DataFrame, keep: list[str], url: str = "url", settings: Set
     )
 
 
-def explore_links(frame: DataFrame, paths: DataFrame, by: list[str]) -> DataFrame:
-    """Every thread link of the pages with its position, resolved address and text."""
-    joined = spread_join(frame, paths.select(*by, "table_body_path", "thread_link_path"), by, ["page_no"])
+def list_frame(pages: DataFrame, paths: DataFrame, by: list[str]) -> DataFrame:
+    """Parsed list pages with their origin's paths. The paths meet the raw page, which is far
+    smaller than its elements; below the broadcast threshold no page is shuffled at all."""
+    names = ["table_body_path", "thread_link_path", "next_page_path"]
+    joined = spread_join(pages, paths.select(*by, *names), by, ["page_no"])
+    return dom.page_frame(joined, [*by, "page_no", "url", *names])
+
+
+def explore_links(frame: DataFrame, by: list[str]) -> DataFrame:
+    """Every thread link of a ``list_frame`` with its position, resolved address and text."""
     steps = dom.selector_steps(F.concat_ws(" ", "table_body_path", F.coalesce("thread_link_path", F.lit(""))))
-    found = joined.withColumn("__steps", steps).select(
+    found = frame.withColumn("__steps", steps).select(
         *by, "page_no", "url", "texts", F.posexplode(dom.select_nodes(_nodes(), F.col("__steps"))).alias("pos", "n")
     )
     href = F.try_element_at(F.col("n.attrs"), F.lit("href"))
@@ -220,22 +227,25 @@ def field_scores(n: Column, title: Column, as_of: Column, settings: Settings, se
     tag = n["tag"]
     head, body = tag.isin("h1", "h2"), tag.isin(*BODY_TAGS)
     body_kids = F.filter(dom.children(_nodes(), n), lambda k: k["tag"].isin(*BODY_TAGS))
-    text = js_trim(
-        F.when(tag == "div", F.array_join(F.transform(body_kids, lambda k: dom.node_text(_texts(), k)), "")).otherwise(
-            dom.node_text(_texts(), n)
-        )
-    )
-    short = F.when(F.length(text) < 60, MID).otherwise(0)
+    kids_text = F.array_join(F.transform(body_kids, lambda k: dom.node_text(_texts(), k)), "")
     good, bad = settings.good_words, settings.bad_words
-    about = dom.child_text(_nodes(), _texts(), n, 2, intended)
-    return F.struct(
-        (F.when(head, BIG).when(tag == "span", MID).otherwise(0) + short
-         + title_score(text, title, good, bad, 1, semantics)).alias("title"),
-        (F.when(head, -BIG).when(tag == "span", -MID).when(body, MID).otherwise(0)
-         + description_score(about, title, good, bad, semantics)).alias("description"),
-        (F.when(head, -BIG).when(tag == "span", MID).when(tag == "abbr", BIG).otherwise(0) + short
-         + date_score(dom.own_text(_texts(), n), as_of)).alias("date"),
-    )
+
+    def title_and_short(text: Column) -> Column:
+        short = F.when(F.length(text) < 60, MID).otherwise(0)
+        return F.struct(short.alias("short"), title_score(text, title, good, bad, 1, semantics).alias("words"))
+
+    def scores(t: Column) -> Column:
+        about = dom.child_text(_nodes(), _texts(), n, 2, intended)
+        return F.struct(
+            (F.when(head, BIG).when(tag == "span", MID).otherwise(0) + t["short"] + t["words"]).alias("title"),
+            (F.when(head, -BIG).when(tag == "span", -MID).when(body, MID).otherwise(0)
+             + dom.let(about, lambda a: description_score(a, title, good, bad, semantics))).alias("description"),
+            (F.when(head, -BIG).when(tag == "span", MID).when(tag == "abbr", BIG).otherwise(0) + t["short"]
+             + date_score(dom.own_text(_texts(), n), as_of)).alias("date"),
+        )
+
+    text = js_trim(F.when(tag == "div", kids_text).otherwise(dom.node_text(_texts(), n)))
+    return dom.let(dom.let(text, title_and_short), scores)
 
 
 def thread_page_paths(
