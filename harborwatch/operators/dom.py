@@ -237,8 +237,8 @@ def node_rows(frame: DataFrame, key: list[str]) -> DataFrame:
 def select_by_path(frame: DataFrame, key: list[str], selector: Column) -> DataFrame:
     """One row per matched element: number, text and attributes."""
     found = frame.withColumn("__steps", selector_steps(selector)).select(
-        *key, "texts", F.explode(select_nodes(F.col("nodes"), F.col("__steps"))).alias("n")
-    )
+        *key, "texts", F.explode_outer(select_nodes(F.col("nodes"), F.col("__steps"))).alias("n")
+    ).filter(F.col("n").isNotNull())
     n = F.col("n")
     return found.select(
         *key, n["no"].alias("node_no"), n["tag"].alias("tag"),

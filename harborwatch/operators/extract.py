@@ -11,7 +11,7 @@ from harborwatch.functions.text import js_trim, truncate_description
 from harborwatch.functions.urls import resolve_url
 from harborwatch.operators import dom
 from harborwatch.operators.infer import list_frame
-from harborwatch.plans.skew import pick_top, spread_join
+from harborwatch.plans.skew import fence, pick_top, spread_join
 from harborwatch.session import staged
 
 
@@ -52,7 +52,7 @@ def next_page_url() -> Column:
 def next_page_urls(frame: DataFrame) -> DataFrame:
     steps = frame.withColumn("__next_steps", dom.selector_steps(F.col("next_page_path")))
     found = steps.select("origin_id", "page_no", next_page_url().alias("next_url"))
-    return found.filter(F.col("next_url").isNotNull())
+    return fence(found).filter(F.col("next_url").isNotNull())
 
 
 def thread_list_scrape(
@@ -88,12 +88,13 @@ def read_threads(pages: DataFrame, paths: DataFrame) -> DataFrame:
     joined = dom.page_frame(with_paths, ["origin_id", "url", *names])
     for short, name in zip(("t", "d", "p"), names):
         joined = joined.withColumn(f"__{short}", dom.selector_steps(F.col(name)))
-    return joined.select(
+    rows = joined.select(
         "origin_id", "url",
         js_trim(dom.selected_text(_nodes(), _texts(), F.col("__t"))).alias("title"),
         js_trim(dom.selected_text(_nodes(), _texts(), F.col("__d"))).alias("description"),
         dom.selected_own_texts(_nodes(), _texts(), F.col("__p")).alias("__dates"),
-    ).withColumn("published_time", first_date(F.col("__dates"))).drop("__dates")
+    )
+    return fence(rows.withColumn("published_time", first_date(F.col("__dates"))).drop("__dates"))
 
 
 def non_empty_threads(threads: DataFrame) -> DataFrame:

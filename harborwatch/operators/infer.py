@@ -19,7 +19,7 @@ from harborwatch.functions.text import (
 from harborwatch.functions.dates import date_score
 from harborwatch.functions.urls import resolve_url, url_host
 from harborwatch.operators import dom
-from harborwatch.plans.skew import spread_join
+from harborwatch.plans.skew import fence, spread_join
 from harborwatch.session import staged
 
 CANDIDATES = ["h1", "h2", "p", "pre", "span", "abbr", "section", "div", "article"]
@@ -38,9 +38,10 @@ def _texts() -> Column:
 
 def path_votes(winners: DataFrame, by: list[str], order: list[str], path: str = "path") -> DataFrame:
     """Votes per path with the place of the first vote; empty paths do not vote."""
+    named = fence(winners.select(*by, *order, F.col(path).alias("path")))
     return (
-        winners.filter(F.col(path) != "")
-        .groupBy(*by, F.col(path).alias("path"))
+        named.filter(F.col("path") != "")
+        .groupBy(*by, "path")
         .agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first_seen"))
     )
 
@@ -209,8 +210,8 @@ def explore_links(frame: DataFrame, by: list[str]) -> DataFrame:
     """Every thread link of a ``list_frame`` with its position, resolved address and text."""
     steps = dom.selector_steps(F.concat_ws(" ", "table_body_path", F.coalesce("thread_link_path", F.lit(""))))
     found = frame.withColumn("__steps", steps).select(
-        *by, "page_no", "url", "texts", F.posexplode(dom.select_nodes(_nodes(), F.col("__steps"))).alias("pos", "n")
-    )
+        *by, "page_no", "url", "texts", F.posexplode_outer(dom.select_nodes(_nodes(), F.col("__steps"))).alias("pos", "n")
+    ).filter(F.col("pos").isNotNull())
     href = F.try_element_at(F.col("n.attrs"), F.lit("href"))
     return found.select(
         *by, "page_no", "pos",
