@@ -12,6 +12,9 @@ from harborwatch.config import BAD_WORDS, DEFAULTS, DESCRIPTION_WORDS, GOOD_WORD
 from harborwatch.functions import dates, urls
 from harborwatch.functions import text as tx
 from harborwatch.operators import dom, extract, infer
+from harborwatch.schemas import TABLES
+from harborwatch.session import scratch_path, staged
+from harborwatch.streaming import streams
 
 THREADS = forum.THREADS_CTE
 
@@ -545,3 +548,25 @@ def non_empty_threads(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.col("source").alias("title"), tx.js_trim(F.left("text", F.lit(2))).alias("description")
     )
     return extract.non_empty_threads(rows).select("doc_id")
+
+
+@register("stream_pages", f"""
+    SELECT origin_id AS _id_origin, url, title, left(description, 65535) AS description, seconds
+    FROM ({_EXTRACT_SQL.replace(" AND doc_id % 5 <> 0", "")})""")
+def stream_pages(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "pages")
+    pages = forum.thread_pages(spark, sf).select("origin_id", "url", "html")
+    pages.write.parquet(f"{root}/in/first")
+    # Some pages are captured twice.
+    pages.filter(F.col("origin_id") % 4 == 0).write.parquet(f"{root}/in/second")
+    stream = (
+        spark.readStream.schema(streams.PAGE_SCHEMA).option("maxFilesPerTrigger", 8)
+        .option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    )
+    paths = staged(forum.known_paths(spark, sf), "paths")
+    streams.stream_pages(stream, paths, f"{root}/out", f"{root}/state", as_of()).awaitTermination()
+    source = streams.stored(spark, f"{root}/out", "source", TABLES["source"])
+    thread = streams.stored(spark, f"{root}/out", "source_thread", TABLES["source_thread"])
+    return source.join(thread, "_id_source").select(
+        "_id_origin", "url", "title", "description", F.unix_seconds("published_time").alias("seconds")
+    )

@@ -59,9 +59,9 @@ def _parts(text: Column, forms: list[tuple[str, str]]) -> Column:
 
 def _month_number(part: Column) -> Column:
     """Number of a month given as digits or by the first three letters of its name."""
-    short = F.array(*[F.lit(m[:3].lower()) for m in MONTHS])
+    short = F.lit([m[:3].lower() for m in MONTHS])
     named = F.nullif(F.array_position(short, F.lower(F.left(part, F.lit(3)))), F.lit(0)).cast("int")
-    return F.coalesce(part.try_cast("int"), named)
+    return F.when(part.rlike(r"^[0-9]+\z"), part.cast("int")).otherwise(named)
 
 
 def _shift_seconds(zone: Column) -> Column:
@@ -82,15 +82,23 @@ _NATIVE_FORMS = [
 
 
 def _native_stamp(p: Column) -> Column:
-    month, day = _month_number(p[1]), F.coalesce(_number(p[2]), F.lit(1))
-    hour, minute, second = (F.coalesce(_number(p[i]), F.lit(0)) for i in (3, 4, 5))
-    half = F.upper(p[6])
-    hour24 = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-    ok = month.between(1, 12) & day.between(1, 31) & (hour <= 24) & (minute < 60) & (second < 60)
-    return F.when(
-        ok, rolled_timestamp(_number(p[0]), month, day, hour24, minute, second - _shift_seconds(p[7]))
+    hour, half = F.coalesce(_number(p[3]), F.lit(0)), F.upper(p[6])
+    parts = F.struct(
+        _month_number(p[1]).alias("month"), F.coalesce(_number(p[2]), F.lit(1)).alias("day"),
+        F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour).alias("hour"),
+        F.coalesce(_number(p[4]), F.lit(0)).alias("minute"), F.coalesce(_number(p[5]), F.lit(0)).alias("second"),
     )
 
+    def stamp(d: Column) -> Column:
+        ok = (
+            d["month"].between(1, 12) & d["day"].between(1, 31)
+            & (d["hour"] <= 24) & (d["minute"] < 60) & (d["second"] < 60)
+        )
+        second = d["second"] - _shift_seconds(p[7])
+        return F.when(ok, rolled_timestamp(_number(p[0]), d["month"], d["day"], d["hour"], d["minute"], second))
+
+    return let(parts, stamp)
+
 
 def native_date(text: Column) -> Column:
     """What a browser's date constructor makes of the text, for the forms listed above; else null."""
@@ -109,8 +117,8 @@ def custom_date(text: Column, semantics: str = "reference") -> Column:
         hour24 = F.when((half == "PM") & (hour != 12), hour + 12)
         if intended:
             hour24 = hour24.when((half == "AM") & (hour == 12), 0)
-        full = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), p[1]), F.lit(0)).cast("int")
-        month = F.coalesce(p[1].try_cast("int"), full)
+        full = F.nullif(F.array_position(F.lit(MONTHS), p[1]), F.lit(0)).cast("int")
+        month = F.when(p[1].rlike(r"^[0-9]+\z"), p[1].cast("int")).otherwise(full)
         return rolled_timestamp(_number(p[2]), month, _number(p[0]), hour24.otherwise(hour), _number(p[4]), F.lit(0))
 
     def found(pattern: str, template: str) -> Column:
