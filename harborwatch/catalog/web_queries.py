@@ -484,7 +484,7 @@ def _last_urls(spark: SparkSession, sf: str) -> DataFrame:
     SELECT origin_id, page_no, CAST(pos AS INTEGER) AS pos, link FROM threads JOIN last_seen USING (origin_id)
     WHERE place IS NULL OR page_no * 100 + pos < place""")
 def links_until_seen(spark: SparkSession, sf: str) -> DataFrame:
-    links = infer.explore_links(_known_list_frame(spark, sf), ["origin_id"])
+    links = staged(infer.explore_links(_known_list_frame(spark, sf), ["origin_id"]), "links")
     return extract.links_until_seen(links, _last_urls(spark, sf)).select("origin_id", "page_no", "pos", "link")
 
 

@@ -27,7 +27,8 @@ def links_until_seen(links: DataFrame, origin: DataFrame) -> DataFrame:
     """Links in page order up to, not including, the one seen last time.
 
     ``links``: ``origin_id, page_no, pos, link``; ``origin``: ``origin_id, last_url``. The place of
-    the first hit is a small aggregate per origin, so no origin is sorted in one task.
+    the first hit is a small aggregate per origin, so no origin is sorted in one task. ``links`` is
+    read twice: hand in a written table, not a plan that parses pages.
     """
     known = origin.filter(F.col("last_url").isNotNull()).select("origin_id", F.col("last_url").alias("link"))
     hits = links.join(known.distinct(), ["origin_id", "link"], "left_semi")
