@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from html.entities import html5
 
 # Tag classes of the HTML standard.
@@ -26,6 +27,11 @@ TABLE_CONTEXT = SECTIONS | {"table", "tr"}
 TABLE_PARTS = SECTIONS | {"tr", "td", "th", "caption", "colgroup", "col"}
 CELLS = {"td", "th", "caption"}
 SCOPE_WALL = CELLS | {"html", "table", "applet", "marquee", "object", "template"}
+P_WALL = SCOPE_WALL | {"button"}
+LIST_WALL = SCOPE_WALL | {"ul", "ol"}
+TABLE_WALL = {"table", "html"}
+STOPS = {"tr": SECTIONS | {"table"}, "td": SECTIONS | {"table", "tr"}, "col": {"table", "colgroup"}}
+STOPS["th"] = STOPS["td"]
 SPECIAL = CLOSES_P | TABLE_PARTS | SCOPE_WALL | VOID | set(
     "body button frame frameset head iframe noembed noframes noscript script select style textarea title".split()
 )
@@ -38,6 +44,7 @@ SPACE_RUN = re.compile("[\t\n\x0b\x0c\r \u1680\u2000-\u200a\u2028\u2029\u202f\u2
 _NAME = re.compile(r"</?([^\s/>]+)")
 _ATTR = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
+_RAW_TOKEN = re.compile(r"(?is)<(?:script|style)\b.*</(?:script|style)\s*>")
 _COMMENT, _RAW = "!", "#raw"
 
 
@@ -69,6 +76,14 @@ def read_attrs(token: str, start: int) -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=8192)
+def read_tag(token: str) -> tuple[str, dict[str, str], bool]:
+    """Name, attributes (not to be changed: tags recur) and whether it closes itself."""
+    name = _NAME.match(token)
+    attrs = {} if token[1] == "/" else read_attrs(token, name.end())
+    return name.group(1).lower(), attrs, token.endswith("/>")
+
+
 class Tree:
     """Open-element stack over a growing element tree."""
 
@@ -100,7 +115,7 @@ class Tree:
         return 0
 
     def close_p(self) -> None:
-        at = self.find({"p"}, SCOPE_WALL | {"button"})
+        at = self.find(("p",), P_WALL)
         if at:
             self.close_to(at)
 
@@ -228,17 +243,9 @@ class Tree:
                 return
 
     def _table_part(self, tag: str, attrs: dict) -> None:
-        table = self.find({"table"}, ())
-        if not table:
+        if not self.find(("table",), ()):
             return  # a table part outside any table is dropped
-        stop = {"table"}
-        if tag in ("tr", "td", "th"):
-            stop |= SECTIONS
-        if tag in ("td", "th"):
-            stop.add("tr")
-        if tag == "col":
-            stop.add("colgroup")
-        self.close_to(max(table, max(i for i in range(table, len(self.stack)) if self.stack[i].tag in stop)) + 1)
+        self.close_to(self.find(STOPS.get(tag, TABLE_WALL), ()) + 1)
         here = self.stack[-1].tag
         if tag in ("tr", "td", "th") and here == "table":
             self.open("tbody")
@@ -277,17 +284,17 @@ class Tree:
             if only_if_active:
                 return
         if tag == "p":
-            self.close_p() if self.find({"p"}, SCOPE_WALL | {"button"}) else self.add(Element("p"))
+            self.close_p() if self.find(("p",), P_WALL) else self.add(Element("p"))
         elif tag == "br":
             self.start("br", {}, False)
         elif tag in HEADINGS:
             at = self.find(HEADINGS)
             self.close_to(at) if at else None
         elif tag in TABLE_PARTS or tag == "table":
-            at = self.find({tag}, {"table", "html"})
+            at = self.find((tag,), TABLE_WALL)
             self.close_to(at) if at else None
         elif tag in SPECIAL:
-            at = self.find({tag}, SCOPE_WALL | ({"ul", "ol"} if tag == "li" else set()))
+            at = self.find((tag,), LIST_WALL if tag == "li" else SCOPE_WALL)
             self.close_to(at) if at else None
         else:
             for i in range(len(self.stack) - 1, 1, -1):
@@ -307,17 +314,16 @@ def build_tree(tokens: list[str]) -> Tree:
             if not tree.in_head:
                 tree.add((_COMMENT, token))
         elif token[1] == "/":
-            tree.end(_NAME.match(token).group(1).lower())
+            tree.end(read_tag(token)[0])
         elif token[1].isalpha():
-            name = _NAME.match(token)
-            tag = name.group(1).lower()
-            if tag in ("script", "style"):
+            if token[1] in "sS" and _RAW_TOKEN.fullmatch(token):
                 cut = token.find(">") + 1
-                el = Element(tag, read_attrs(token[:cut], name.end()))
+                tag, attrs, _ = read_tag(token[:cut])
+                el = Element(tag, attrs)
                 el.kids = [(_RAW, token[cut:token.rfind("</")])]
                 tree.head.kids.append(el) if tree.in_head else tree.add(el)
             else:
-                tree.start(tag, read_attrs(token, name.end()), token.endswith("/>"))
+                tree.start(*read_tag(token))
     return tree
 
 
@@ -326,18 +332,20 @@ def _clean(el: Element) -> None:
     todo = [el]
     while todo:
         here = todo.pop()
-        here.attrs = {k: SPACE_RUN.sub(" ", v) for k, v in here.attrs.items() if k not in DROP_ATTRS}
+        if here.attrs:
+            here.attrs = {k: SPACE_RUN.sub(" ", v) for k, v in here.attrs.items() if k not in DROP_ATTRS}
         kept: list = []
         for kid in here.kids:
             if isinstance(kid, Element):
                 if kid.tag in DROP_TAGS or "mobile" in kid.attrs.get("class", ""):
                     continue
                 todo.append(kid)
-            elif isinstance(kid, str) and kept and isinstance(kept[-1], str):
-                kept[-1] += kid
-                continue
+            elif isinstance(kid, str):
+                if kept and isinstance(kept[-1], str):
+                    kid = kept.pop() + kid
+                kid = SPACE_RUN.sub(" ", kid)
             kept.append(kid)
-        here.kids = [SPACE_RUN.sub(" ", k) if isinstance(k, str) else k for k in kept]
+        here.kids = kept
 
 
 def _escape(text: str) -> str:
@@ -368,13 +376,13 @@ def _serialize(el: Element) -> str:
     return "".join(out).strip()
 
 
-def _step(el: Element) -> str:
-    cls = el.attrs.get("class", "")
-    return f"{el.tag}.{'.'.join(cls.split())}" if cls else el.tag
+@lru_cache(maxsize=8192)
+def _step(tag: str, cls: str) -> str:
+    return f"{tag}.{'.'.join(cls.split())}" if cls else tag
 
 
-def fold_page(tokens: list[str], clean: bool) -> tuple[list[dict], list[str], str | None]:
-    """Elements in document order, the page's text pieces, and (when cleaning) the cleaned HTML."""
+def fold_page(tokens: list[str], clean: bool, with_html: bool = False) -> tuple[list[dict], list[str], str | None]:
+    """Elements in document order, the page's text pieces, and, if asked for, the cleaned HTML."""
     tree = build_tree(tokens)
     cleaned = None
     root = tree.root
@@ -384,7 +392,7 @@ def fold_page(tokens: list[str], clean: bool) -> tuple[list[dict], list[str], st
             cleaned = ""
         else:
             _clean(tree.body)
-            cleaned = _serialize(tree.body)
+            cleaned = _serialize(tree.body) if with_html else None
         root.attrs, root.kids = {}, [Element("head", parent=root), tree.body]
     nodes: list[dict] = []
     texts: list[str] = []
@@ -393,20 +401,21 @@ def fold_page(tokens: list[str], clean: bool) -> tuple[list[dict], list[str], st
         item, parent, path = todo.pop()
         if isinstance(item, Element):
             no = len(nodes)
-            path = [*path, _step(item)]
-            nodes.append({
+            path = [*path, _step(item.tag, item.attrs.get("class", ""))]
+            node = {
                 "no": no, "parent": parent, "last": no, "tag": item.tag, "attrs": list(item.attrs.items()),
-                "path": path, "t0": len(texts), "t1": 0, "own": [],
-            })
-            todo.append((None, no, path))
-            todo.extend((kid, no, path) for kid in reversed(item.kids))
-        elif isinstance(item, str):
-            nodes[parent]["own"].append(len(texts))
-            texts.append(item)
+                "path": path, "t0": len(texts), "t1": len(texts), "own": [],
+            }
+            nodes.append(node)
+            if item.kids:
+                todo.append((None, no, path))
+                for kid in reversed(item.kids):
+                    todo.append((kid, no, path))
         elif item is None:
             nodes[parent]["last"] = len(nodes) - 1
             nodes[parent]["t1"] = len(texts)
-        elif item[0] == _RAW:
-            nodes[parent]["own"].append(len(texts))
-            texts.append(item[1])
+        else:
+            if isinstance(item, str) or item[0] == _RAW:
+                nodes[parent]["own"].append(len(texts))
+                texts.append(item if isinstance(item, str) else item[1])
     return nodes, texts, cleaned

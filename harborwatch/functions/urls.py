@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harborwatch.config import CHANNEL, DARK, WEB
+from harborwatch.functions.text import let
 
 _AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#\\]*)"
 
@@ -21,72 +22,89 @@ def origin_category(url: Column, is_channel: Column | None = None) -> Column:
     return web if is_channel is None else F.when(is_channel, CHANNEL).otherwise(web)
 
 
-def _encode(part: Column, keep: str) -> Column:
-    """Percent-encode every character outside printable ASCII and the given exclusions."""
+def _encode(part: Column, odd: str) -> Column:
+    """Percent-encode every character of the class ``odd``."""
     def one(ch: Column) -> Column:
-        return F.when(ch.rlike(keep), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))).otherwise(ch)
+        return F.when(ch.rlike(odd), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))).otherwise(ch)
 
-    return F.when(part.rlike(keep), F.array_join(F.transform(F.split(part, ""), one), "")).otherwise(part)
+    def whole(text: Column) -> Column:
+        return F.when(text.rlike(odd), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+    return let(part, whole)
 
 
 def _tidy_path(path: Column) -> Column:
     """Remove ``.`` and ``..`` steps; the path starts with a slash."""
-    steps = F.split(F.substr(path, F.lit(2)), "/", -1)
+    up, stay = ("..", ".%2e", "%2e.", "%2e%2e"), (".", "%2e")
 
     def fold(done: Column, step: Column) -> Column:
-        up = F.lower(step).isin("..", ".%2e", "%2e.", "%2e%2e")
-        stay = F.lower(step).isin(".", "%2e")
         parent = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(up, parent).when(stay, done).otherwise(F.concat(done, F.array(step)))
+        low = F.lower(step)
+        return F.when(low.isin(*up), parent).when(low.isin(*stay), done).otherwise(F.concat(done, F.array(step)))
+
+    def walk(steps: Column) -> Column:
+        kept = F.aggregate(steps, F.array().cast("array<string>"), fold)
+        open_end = F.when(F.lower(F.element_at(steps, -1)).isin(*up, *stay), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>")
+        )
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, open_end), "/"))
 
-    kept = F.aggregate(steps, F.array().cast("array<string>"), fold)
-    open_end = F.lower(F.element_at(steps, -1)).isin(".", "..", "%2e", ".%2e", "%2e.", "%2e%2e")
-    joined = F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
-    dotted = path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|\z)")
-    return F.when(dotted, F.concat(F.lit("/"), joined)).otherwise(path)
+    def tidy(p: Column) -> Column:
+        dotted = p.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|\z)")
+        return F.when(dotted, let(F.split(F.substr(p, F.lit(2)), "/", -1), walk)).otherwise(p)
+
+    return let(path, tidy)
 
 
 def normalize_url(url: Column) -> Column:
     """Lower-case scheme and host, no default port, tidy path, percent-encoding; http(s) only."""
-    scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    authority = F.regexp_extract(url, _AUTHORITY, 1)
-    user = F.regexp_extract(authority, r"^(.*@)", 1)
-    host = F.lower(F.regexp_extract(authority, r"([^@]*)\z", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, r":(80)?\z", "")).otherwise(
-        F.regexp_replace(host, r":(443)?\z", "")
-    )
-    rest = F.regexp_extract(url, _AUTHORITY + r"(.*)\z", 2)
-    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
-    query = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
-    fragment = F.regexp_extract(rest, r"(#.*)\z", 1)
-    path = F.when(path == "", "/").otherwise(_tidy_path(F.translate(path, "\\", "/")))
-    built = F.concat(
-        scheme, F.lit("://"), user, host,
-        _encode(path, r"[^!-~]|[\"<>`{}^]"),
-        _encode(query, r"[^!-~]|[\"<>']"),
-        _encode(fragment, r"[^!-~]|[\"<>`]"),
-    )
-    return F.when(scheme.isin("http", "https"), built).otherwise(url)
+    def parts(u: Column) -> Column:
+        return F.struct(
+            u.alias("url"),
+            F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)).alias("scheme"),
+            F.regexp_extract(u, _AUTHORITY, 1).alias("authority"),
+            F.regexp_extract(u, _AUTHORITY + r"(.*)\z", 2).alias("rest"),
+        )
+
+    def build(p: Column) -> Column:
+        host = F.lower(F.regexp_extract(p["authority"], r"([^@]*)\z", 1))
+        port = F.when(p["scheme"] == "http", r":(80)?\z").otherwise(r":(443)?\z")
+        path = F.translate(F.regexp_extract(p["rest"], r"^([^?#]*)", 1), "\\", "/")
+        built = F.concat(
+            p["scheme"], F.lit("://"),
+            F.regexp_extract(p["authority"], r"^(.*@)", 1),
+            F.regexp_replace(host, port, F.lit("")),
+            _encode(let(path, lambda x: F.when(x == "", "/").otherwise(_tidy_path(x))), r"[^!-~]|[\"<>`{}^]"),
+            _encode(F.regexp_extract(p["rest"], r"^[^?#]*(\?[^#]*)", 1), r"[^!-~]|[\"<>']"),
+            _encode(F.regexp_extract(p["rest"], r"(#.*)\z", 1), r"[^!-~]|[\"<>`]"),
+        )
+        return F.when(p["scheme"].isin("http", "https"), built).otherwise(p["url"])
+
+    return let(let(url, parts), build)
 
 
 def resolve_url(href: Column, base: Column) -> Column:
     """The link as seen from its page; a missing link is the page itself (without its fragment)."""
-    h = F.regexp_replace(F.btrim(F.coalesce(href, F.lit("")), F.lit("".join(map(chr, range(33))))), r"[\t\n\r]", "")
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    root = F.concat(scheme, F.lit("://"), F.regexp_extract(base, _AUTHORITY, 1))
-    path = F.regexp_extract(base, _AUTHORITY + r"([^?#]*)", 2)
-    path = F.when(path == "", "/").otherwise(path)
-    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    folder = F.regexp_extract(path, r"^(.*/)", 1)
-    # http:page is relative to a base of the same scheme; http://host is absolute.
-    absolute = h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
-    full = (
-        F.when(absolute, h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(root, h))
-        .when(h.startswith("?"), F.concat(root, path, h))
-        .when(h.startswith("#"), F.concat(root, path, query, h))
-        .when(h == "", F.concat(root, path, query))
-        .otherwise(F.concat(root, folder, h))
+    controls = F.lit("".join(map(chr, range(33))))
+    parts = F.struct(
+        F.regexp_replace(F.btrim(F.coalesce(href, F.lit("")), controls), r"[\t\n\r]", "").alias("h"),
+        F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1).alias("scheme"),
+        F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\\]*)", 1).alias("root"),
+        F.regexp_extract(base, _AUTHORITY + r"([^?#]*)", 2).alias("path"),
+        F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
     )
-    return normalize_url(full)
+
+    def full(p: Column) -> Column:
+        h, root = p["h"], p["root"]
+        path = F.when(p["path"] == "", "/").otherwise(p["path"])
+        return (
+            F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(p["scheme"], F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(root, h))
+            .when(h.startswith("?"), F.concat(root, path, h))
+            .when(h.startswith("#"), F.concat(root, path, p["query"], h))
+            .when(h == "", F.concat(root, path, p["query"]))
+            .otherwise(F.concat(root, F.regexp_extract(path, r"^(.*/)", 1), h))
+        )
+
+    return normalize_url(let(parts, full))

@@ -86,7 +86,7 @@ def page_frame(
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS_PER_BATCH):
                 part = batch.slice(at, _ROWS_PER_BATCH)
-                folded = [fold_page(tokens, clean) for tokens in part.column("__tokens").to_pylist()]
+                folded = [fold_page(tokens, clean, with_html) for tokens in part.column("__tokens").to_pylist()]
                 arrays = [part.column(f.name) for f in fields]
                 arrays.append(pa.array([f[0] for f in folded], pa.list_(_ARROW_NODE)))
                 arrays.append(pa.array([f[1] for f in folded], pa.list_(pa.string())))

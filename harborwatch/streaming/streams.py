@@ -129,7 +129,8 @@ def stream_pages(stream: DataFrame, paths: DataFrame, out_dir: str, checkpoint:
 def load_files(spark: SparkSession, meta: DataFrame, settings: Settings = DEFAULTS, semantics: str = "reference") -> tuple[DataFrame, DataFrame]:
     """Standard ``(ok, bad)`` data rows of the files listed in ``meta`` (``path, _og_hashmd5``).
 
-    The cells are parsed once and written to the shared folder: classifier, decision and load read them.
+    Cells and standard rows are each worked out once and written to the shared folder, since the
+    classifier and the length check read them before the load does.
     """
     names = [r.path for r in meta.select("path").collect()]  # the names of one batch, at most FILES_PER_BATCH
     if not names:
@@ -145,7 +146,8 @@ def load_files(spark: SparkSession, meta: DataFrame, settings: Settings = DEFAUL
     fixes = records.fixes_of(
         records.classify_fields(cells, "_og_hashmd5", settings.classifier_rows, semantics), "_og_hashmd5"
     )
-    ok, bad = records.quarantine(records.standardize_records(cells, fixes, "_og_hashmd5"), semantics=semantics)
+    rows = staged(records.standardize_records(cells, fixes, "_og_hashmd5"), "records")
+    ok, bad = records.quarantine(rows, semantics=semantics)
     return records.data_rows(ok), records.data_rows(bad)
 
 
