@@ -9,9 +9,10 @@ from harborwatch.catalog import derived as d
 from harborwatch.catalog.registry import register, table
 from harborwatch.functions import text as tx
 from harborwatch.operators import records, search
+from harborwatch.plans import ingest
+from harborwatch.schemas import TABLES
 from harborwatch.session import scratch_path
 from harborwatch.sources import csv_files
-from harborwatch.streaming import streams
 
 
 def _customer_csv(spark: SparkSession, sf: str, columns: list) -> str:
@@ -58,8 +59,8 @@ _STANDARD_SQL = f"""
 @register("ingest_directory", _STANDARD_SQL)
 def ingest_directory(spark: SparkSession, sf: str) -> DataFrame:
     path = _customer_csv(spark, sf, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
-    meta = csv_files.file_fingerprint(spark, f"{path}/*.csv", d.as_of())
-    ok, _ = streams.load_files(spark, meta)
+    none = spark.createDataFrame([], TABLES["database_metadata"])
+    _, ok, _ = ingest.ingest_directory(spark, f"{path}/*.csv", none, d.as_of())
     return ok.select("email_address", "phone_number", "ip_address", "username", "misc")
 
 

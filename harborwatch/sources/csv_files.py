@@ -31,7 +31,7 @@ def file_fingerprint(spark: SparkSession, path: str, as_of: Column, source_id: C
     return fingerprint(spark.read.format("binaryFile").load(path), as_of, source_id)
 
 
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
+def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of every file with the start of the file split each was read from."""
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -47,7 +47,7 @@ def _before(*by: str) -> Window:
 def number_records(lines: DataFrame) -> DataFrame:
     """``file, row_no, line``: non-blank records in file order from 0 (row 0 is the header).
 
-    Lines of one split follow each other in one task, so a running id orders them there, and only
+    ``lines`` comes straight from the scan: lines of one split follow each other in one task, so a running id orders them there, and only
     counts per split are ordered across a file; a plain file's lines are neither sorted nor
     gathered. In a file with line breaks inside quotes, lines are sorted within their split to find
     open quotes, and only the lines of such a record are put together. A file that ends inside
@@ -157,6 +157,6 @@ def parse_records(numbered: DataFrame, key: str = "file") -> DataFrame:
     )
 
 
-def csv_records(spark: SparkSession, path: str) -> DataFrame:
+def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, row_no, cells`` of every CSV file of a folder or glob."""
     return parse_records(number_records(file_lines(spark, path)))

@@ -7,6 +7,7 @@ neither loses nor doubles rows. The anti-join against what is stored drops what
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,8 @@ from harborwatch.config import DEFAULTS, Settings
 from harborwatch.functions.text import supported_filetype
 from harborwatch.operators import extract, records, tables
 from harborwatch.operators.origins import advance_checkpoint
-from harborwatch.plans.skew import spread_join
+from harborwatch.plans.ingest import load_files
 from harborwatch.schemas import TABLES
-from harborwatch.session import staged
 from harborwatch.sources import csv_files, feeds
 
 MESSAGE_SCHEMA = T.StructType([
@@ -126,31 +126,6 @@ def stream_pages(stream: DataFrame, paths: DataFrame, out_dir: str, checkpoint:
     return _run(stream, checkpoint, each)
 
 
-def load_files(spark: SparkSession, meta: DataFrame, settings: Settings = DEFAULTS, semantics: str = "reference") -> tuple[DataFrame, DataFrame]:
-    """Standard ``(ok, bad)`` data rows of the files listed in ``meta`` (``path, _og_hashmd5``).
-
-    Cells and standard rows are each worked out once and written to the shared folder, since the
-    classifier and the length check read them before the load does.
-    """
-    names = [r.path for r in meta.select("path").collect()]  # the names of one batch, at most FILES_PER_BATCH
-    if not names:
-        empty = spark.createDataFrame([], TABLES["data"])
-        return empty, empty
-    rows = csv_files.parse_records(csv_files.number_records(csv_files.file_lines(spark, names)))
-    plain = F.regexp_replace(F.url_decode("path"), "^file:/+", "/")
-    by_path = meta.select(plain.alias("file"), F.col("_og_hashmd5"))
-    cells = rows.withColumn("file", F.regexp_replace(F.url_decode("file"), "^file:/+", "/"))
-    cells = staged(
-        spread_join(cells, by_path, ["file"], ["row_no"]).select("_og_hashmd5", "row_no", "cells"), "cells"
-    )
-    fixes = records.fixes_of(
-        records.classify_fields(cells, "_og_hashmd5", settings.classifier_rows, semantics), "_og_hashmd5"
-    )
-    rows = staged(records.standardize_records(cells, fixes, "_og_hashmd5"), "records")
-    ok, bad = records.quarantine(rows, semantics=semantics)
-    return records.data_rows(ok), records.data_rows(bad)
-
-
 def stream_files(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, as_of: Column, settings: Settings = DEFAULTS,
     semantics: str = "reference", register: str = "after_load",
@@ -176,7 +151,9 @@ def stream_files(
         fresh = session.read.schema(META_SCHEMA).parquet(f"{out_dir}/staged_files/batch={no}")
         if register == "before_load":
             write_batch(fresh, out_dir, "database_metadata", no)
-        ok, bad = load_files(session, fresh, settings, semantics)
+        # At most FILES_PER_BATCH names; signs that a path pattern would read are escaped.
+        names = [re.sub(r"([\\[\]{}*?])", r"\\\1", r.path) for r in fresh.select("path").collect()]
+        ok, bad = load_files(session, fresh, names, settings, semantics)
         write_batch(ok, out_dir, "data", no)
         write_batch(bad, out_dir, "rejected", no)
         if register == "after_load":

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborwatch.operators import records
+from harborwatch.plans import ingest
 from harborwatch.sources import csv_files
-from harborwatch.streaming import streams
 
 def as_of():
     return F.to_timestamp(F.lit("2024-01-01 00:00:00"))
@@ -137,10 +137,18 @@ def test_new_files_skip_known_and_repeated_content(spark):
 
 def test_fingerprint_and_load_of_a_folder(spark, tmp_path):
     (tmp_path / "x y.csv").write_text("mail;nick\na@example.com;neo\nb@example.com;trinity\n")
-    meta = csv_files.file_fingerprint(spark, str(tmp_path), as_of(), F.lit(7))
+    (tmp_path / "z+1.csv").write_text("mail;nick\na@example.com;neo\nb@example.com;trinity\n")
+    (tmp_path / "known.csv").write_text("mail\nc@example.com\n")
+    known = csv_files.file_fingerprint(spark, f"{tmp_path}/known.csv", as_of())
+    meta, ok, bad = ingest.ingest_directory(spark, str(tmp_path), known, as_of(), F.lit(7))
     row = meta.collect()[0]
-    assert row["og_filename"] == "x y.csv" and len(row["_og_hashmd5"]) == 32 and row["_id_source"] == 7
-    ok, bad = streams.load_files(spark, meta)
+    assert meta.count() == 1 and row["og_filename"] == "x y.csv" and row["_id_source"] == 7
     got = sorted((r["email_address"], r["username"], r["misc"], r["_og_hashmd5"]) for r in ok.collect())
     assert got == [("a@example.com", "neo", "{}", row["_og_hashmd5"]), ("b@example.com", "trinity", "{}", row["_og_hashmd5"])]
     assert bad.count() == 0
+
+
+def test_names_with_signs_are_joined(spark, tmp_path):
+    (tmp_path / "z+1 %41.csv").write_text("nick\nneo\n")
+    _, ok, _ = ingest.ingest_directory(spark, str(tmp_path), spark.createDataFrame([], "_og_hashmd5 string"), as_of())
+    assert [r["username"] for r in ok.collect()] == ["neo"]

@@ -81,5 +81,5 @@ def test_files(spark, tmp_path):
     (src / "c.txt").write_text("m,u\nc@example.com,ann\n")
     assert run() == ([("a@example.com", "neo")], ["a.csv"])
     (src / "d.csv").write_text("m,u\na@example.com,neo\n")
-    (src / "e f.csv").write_text("u;m\ntrinity;b@example.com\n")
-    assert run() == ([("a@example.com", "neo"), ("b@example.com", "trinity")], ["a.csv", "e f.csv"])
+    (src / "e [f]{1}.csv").write_text("u;m\ntrinity;b@example.com\n")
+    assert run() == ([("a@example.com", "neo"), ("b@example.com", "trinity")], ["a.csv", "e [f]{1}.csv"])
