@@ -11,7 +11,7 @@ from harborwatch.functions import text as tx
 from harborwatch.operators import records, search
 from harborwatch.plans import ingest
 from harborwatch.schemas import TABLES
-from harborwatch.session import scratch_path
+from harborwatch.session import scratch_path, staged
 from harborwatch.sources import csv_files
 
 
@@ -30,7 +30,7 @@ def _customer_csv(spark: SparkSession, sf: str, columns: list) -> str:
 def csv_records(spark: SparkSession, sf: str) -> DataFrame:
     note = F.concat("c_mktsegment", F.lit(';"x",\n\non '), F.col("c_nationkey").cast("string"))
     path = _customer_csv(spark, sf, ["c_custkey", "c_name", note.alias("note")])
-    rows = csv_files.csv_records(spark, path)
+    rows = staged(csv_files.csv_records(spark, path), "rows")
     key = F.col("cells.c_custkey")
     # Keys are dense, so the first key of a file plus the row number must give the key.
     first = rows.groupBy("file").agg(F.min(key.cast("bigint")).alias("first"))

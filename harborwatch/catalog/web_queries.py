@@ -183,7 +183,7 @@ _RE2_TOKEN = dom.TOKEN_PATTERN.replace("++", "+").replace("*+", "*").replace("'"
     WITH t AS (SELECT page_id, regexp_extract_all(html, '{_RE2_TOKEN}', 0) AS tokens FROM pages),
     r AS (SELECT page_id, unnest(generate_series(0, len(tokens) - 1)) AS token_no, unnest(tokens) AS token FROM t)
     SELECT page_id, CAST(token_no AS INTEGER) AS token_no, token,
-        CASE WHEN token LIKE '<!--%' THEN 'comment' WHEN regexp_matches(token, '(?i)^<(script|style)\\b') THEN 'raw'
+        CASE WHEN token LIKE '<!--%' THEN 'comment' WHEN regexp_matches(token, '(?i)^<(script|style)[\\s/>]') THEN 'raw'
              WHEN regexp_matches(token, '^</[a-zA-Z]') THEN 'close' WHEN regexp_matches(token, '^<[a-zA-Z]') THEN 'open'
              WHEN regexp_matches(token, '^<[!?]') THEN 'declaration' ELSE 'text' END AS kind,
         lower(regexp_extract(token, '^</?([a-zA-Z][^\\s/>]*)', 1)) AS tag FROM r""")

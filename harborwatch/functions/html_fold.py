@@ -44,7 +44,7 @@ SPACE_RUN = re.compile("[\t\n\x0b\x0c\r \u1680\u2000-\u200a\u2028\u2029\u202f\u2
 _NAME = re.compile(r"</?([^\s/>]+)")
 _ATTR = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
-_RAW_TOKEN = re.compile(r"(?is)<(?:script|style)\b.*</(?:script|style)\s*>")
+_RAW_TOKEN = re.compile(r"(?is)(<(script|style)(?:[\s/][^>]*)?>)(.*?)(?:</\2\s*>)?")
 _COMMENT, _RAW = "!", "#raw"
 
 
@@ -313,15 +313,16 @@ def build_tree(tokens: list[str]) -> Tree:
         elif token.startswith("<!--"):
             if not tree.in_head:
                 tree.add((_COMMENT, token))
-        elif token[1] == "/":
+        elif token[1] == "/" and token[-1] == ">":
             tree.end(read_tag(token)[0])
         elif token[1].isalpha():
-            if token[1] in "sS" and _RAW_TOKEN.fullmatch(token):
-                cut = token.find(">") + 1
-                tag, attrs, _ = read_tag(token[:cut])
+            if token[1] in "sS" and (raw := _RAW_TOKEN.fullmatch(token)):
+                tag, attrs, _ = read_tag(raw.group(1))
                 el = Element(tag, attrs)
-                el.kids = [(_RAW, token[cut:token.rfind("</")])]
+                el.kids = [(_RAW, raw.group(3))]
                 tree.head.kids.append(el) if tree.in_head else tree.add(el)
+            elif token[-1] != ">":
+                break  # a tag cut off by the end of the page
             else:
                 tree.start(*read_tag(token))
     return tree
@@ -372,7 +373,7 @@ def _serialize(el: Element) -> str:
         elif item[0] == "</":
             out.append(f"</{item[1]}>")
         else:
-            out.append(SPACE_RUN.sub(" ", item[1]))
+            out.append(SPACE_RUN.sub(" ", item[1] if item[1].endswith("-->") else item[1] + "-->"))
     return "".join(out).strip()
 
 

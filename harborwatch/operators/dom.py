@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 from harborwatch.functions.html_fold import fold_page
 from harborwatch.functions.text import let
 
-# Comments, script and style whole, then tags (quoted values may hold ">"), text, and a lone "<".
+# Comments, script and style whole (to the end of the page when not closed), then tags (quoted values
+# may hold ">"), a tag cut off by the end of the page, text, and a lone "<". Possessive loops keep long
+# tokens off the stack.
 TOKEN_PATTERN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"|</?[a-z](?:[^>\"'=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+>|<[!?][^>]*>|[^<]+|<"
+    r"(?is)<!--.*?(?:-->|\z)|<script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)|<style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)"
+    r"|</?[a-z](?:[^=>\"']++|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+>|</?[a-z][^>]*\z|<[!?][^>]*>|[^<]+|<"
 )
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -54,7 +56,7 @@ def html_tokens(pages: DataFrame, key: list[str], html: str = "html") -> DataFra
     t = F.col("token")
     kind = (
         F.when(t.startswith("<!--"), "comment")
-        .when(t.rlike(r"(?i)^<(script|style)\b"), "raw")
+        .when(t.rlike(r"(?i)^<(script|style)[\s/>]"), "raw")
         .when(t.rlike(r"^</[a-zA-Z]"), "close")
         .when(t.rlike(r"^<[a-zA-Z]"), "open")
         .when(t.rlike(r"^<[!?]"), "declaration")

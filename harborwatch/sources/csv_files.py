@@ -9,7 +9,8 @@ from harborwatch.functions.text import js_trim
 from harborwatch.plans.skew import spread_join
 from harborwatch.session import staged
 
-_CELL = r'([^\S,]*"(?:[^"]|"")*"[^\S,]*|[^,]*),'
+# A quoted cell or a plain one, with its comma; possessive loops keep long cells off the stack.
+_CELL = r'([^\S,]*+"[^"]*+(?:""[^"]*+)*+"[^\S,]*+|[^,]*+),'
 
 
 def fingerprint(files: DataFrame, as_of: Column, source_id: Column | None = None) -> DataFrame:
@@ -71,7 +72,8 @@ def number_records(lines: DataFrame) -> DataFrame:
         return _number(solid, dense=True)
     plain = _number(solid.join(quoted.select("file").distinct(), "file", "left_anti"), dense=True)
     broken = quoted.filter(F.col("file_odd") % 2 == 0)
-    return plain.unionByName(_number(_join_quoted(every.join(broken, ["file", "block"])), dense=False))
+    joined = staged(_join_quoted(every.join(broken, ["file", "block"])), "csv-quoted")  # counted, then numbered
+    return plain.unionByName(_number(joined, dense=False))
 
 
 def _join_quoted(known: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -17,8 +18,7 @@ def spark():
 def value(spark):
     """Evaluate one column expression over named values."""
     def run(expr, **cols):
-        schema = ", ".join(f"{k} {t}" for k, (t, _) in cols.items()) or "one int"
-        row = tuple(v for _, v in cols.values()) or (1,)
-        return spark.createDataFrame([row], schema).select(expr.alias("x")).collect()[0]["x"]
+        row = spark.range(1).select(*[F.lit(v).cast(t).alias(k) for k, (t, v) in cols.items()])
+        return row.select(expr.alias("x")).collect()[0]["x"]
 
     return run

@@ -40,10 +40,19 @@ def cleaned(page):
     ("a\n\t b", "a b"),
     ("<div title='a>b'>x</div>", '<div title="a&gt;b">x</div>'.replace("&gt;", ">")),
     ('<a href="?a=1&copy=2&amp;b=3&section=4">x</a>', '<a href="?a=1&amp;copy=2&amp;b=3&amp;section=4">x</a>'),
+    ("a<script>b</i>", "a"),
+    ("a<!-- b <p>c", "a<!-- b <p>c</body>-->"),
+    ("a<div title='" + "x" * 50_000 + "'>b", "a<div title='" + "x" * 50_000 + "'>b</div>"),
     ("x<!-- c -->y", "x<!-- c -->y"),
 ])
 def test_tree_rules(cleaned, html, want):
-    assert cleaned(f"<body>{html}</body>") == f"<body>{want}</body>"
+    assert cleaned(f"<body>{html}</body>") == f"<body>{want.replace(chr(39), chr(34))}</body>"
+
+
+def test_tag_cut_off_by_the_end_is_dropped(cleaned):
+    assert cleaned('<p>a</p><div class="x') == "<body><p>a</p></body>"
+    assert cleaned("<p>a</p") == "<body><p>a</p></body>"
+    assert cleaned("a < ") == "<body>a &lt; </body>"
 
 
 @pytest.mark.parametrize("html,want", [

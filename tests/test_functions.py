@@ -12,6 +12,10 @@ from harborwatch.functions import dates, text, urls
     ("email_address", "a.b@example.com", True),
     ("email_address", "A.B@EXAMPLE.COM", False),
     ("email_address", "see x@example.com now", True),
+    ("email_address", "@" + "a" * 300_000 + " x.y@a-b.c", True),
+    ("email_address", "a@" + "b." * 0 + "c", False),
+    ("email_address", "a@-b.c", False),
+    ("email_address", "a@b-.c d@e.", False),
     ("phone_number", "+1 (555) 010-1234", True),
     ("phone_number", "555-0100-1234", True),
     ("phone_number", "15550101234", True),

@@ -53,6 +53,12 @@ def test_quoted_line_breaks(dump):
     }
 
 
+def test_very_long_cells(dump):
+    long = "x" * 200_000
+    quoted = 'y""' * 60_000
+    assert dump(a=f'h,i\n{long},"{quoted}"\n')["a"] == [(0, {"h": long, "i": 'y"' * 60_000})]
+
+
 def test_file_ending_inside_quotes_gives_nothing(dump):
     assert dump(a='h\n"open\n1\n', b="h\n1\n") == {"b": [(0, {"h": "1"})]}
 
