@@ -175,12 +175,13 @@ def register_file(spark: SparkSession, sf: str) -> DataFrame:
     return records.new_files(docs, known).select("doc_id", "_og_hashmd5")
 
 
-_LONG_SQL = """SELECT doc_id AS row_no, source AS _og_hashmd5, left(text, 200) AS username FROM documents"""
+_LONG_SQL = """SELECT p_partkey AS row_no, p_brand || p_type AS _og_hashmd5, repeat(p_name, p_size) AS username FROM part"""
 
 
 def _long_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents", "doc_id").select(
-        F.col("doc_id").alias("row_no"), F.col("source").alias("_og_hashmd5"), F.left("text", F.lit(200)).alias("username")
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_no"), F.concat("p_brand", "p_type").alias("_og_hashmd5"),
+        F.repeat("p_name", F.col("p_size")).alias("username"),
     )
 
 
@@ -247,15 +248,28 @@ def search_counts(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_counts(_all_hits(spark, sf))
 
 
-# The watch-list: the first 12 characters of every benchmark text, region names, and short terms.
+# The watch-list: every benchmark text, region names, nation names and event kinds.
 @register("search_batch", """
-    WITH terms AS (SELECT DISTINCT left(text, 12) AS term FROM benchmark
-                   UNION SELECT r_name FROM region UNION SELECT left(n_name, 3) FROM nation)
+    WITH terms AS (SELECT text AS term FROM benchmark UNION SELECT r_name FROM region
+                   UNION SELECT n_name FROM nation UNION SELECT event_type FROM events)
     SELECT doc_id, term FROM documents, terms WHERE contains(lower(text), lower(term))""")
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     terms = (
-        table(spark, sf, "benchmark").select(F.left("text", F.lit(12)).alias("term"))
+        table(spark, sf, "benchmark").select(F.col("text").alias("term"))
         .union(table(spark, sf, "region").select("r_name"))
-        .union(table(spark, sf, "nation").select(F.left("n_name", F.lit(3))))
+        .union(table(spark, sf, "nation").select("n_name"))
+        .union(table(spark, sf, "events").select("event_type").distinct())
     )
     return search.search_batch(table(spark, sf, "documents", "doc_id"), ["doc_id"], "text", terms)
+
+
+# The join that serves lists too long for a plan: the openings of all words of the benchmark texts.
+@register("search_batch_long_list", """
+    SELECT DISTINCT conv_id, turn, term FROM conversations, (SELECT DISTINCT left(word, 4) AS term FROM (
+        SELECT unnest(string_split(lower(text), ' ')) AS word FROM benchmark) WHERE length(word) >= 4)
+    WHERE contains(lower(text), term)""")
+def search_batch_long_list(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ", -1)).alias("word"))
+    terms = words.filter(F.length("word") >= 4).select(F.left("word", F.lit(4)).alias("term"))
+    rows = table(spark, sf, "conversations", "conv_id")
+    return search.search_batch(rows, ["conv_id", "turn"], "text", terms, in_plan=0)

@@ -65,7 +65,7 @@ def parse_custom_date_rollover(spark: SparkSession, sf: str) -> DataFrame:
 @register("first_date", f"""{_DATE_ROWS}
     SELECT doc_id, CAST(epoch({forum.DATE_SQL}) AS BIGINT) AS seconds FROM threads""")
 def first_date(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = F.array(F.lit(""), F.left("text", F.lit(40)), forum.date_text(), F.lit("1 January 2001"))
+    pieces = F.array(F.lit(""), F.col("text"), forum.date_text(), F.lit("1 January 2001"))
     return table(spark, sf, "documents", "doc_id").select("doc_id", F.unix_seconds(dates.first_date(pieces)).alias("seconds"))
 
 
@@ -88,7 +88,7 @@ _DIGITS_SQL = "length(regexp_replace(t, '[^0-9]', '', 'g'))"
 
 
 @register("date_score", f"""{_DATE_ROWS}, t AS (
-        SELECT doc_id, 1 AS kind, left(flat, 30) AS t, FALSE AS past FROM threads
+        SELECT doc_id, 1 AS kind, flat AS t, FALSE AS past FROM threads
         UNION ALL SELECT doc_id, 2, strftime(ts, '%Y-%m-%d'), TRUE FROM threads
         UNION ALL SELECT doc_id, 3, strftime(ts + INTERVAL 30 YEAR, '%Y-%m-%d %H:%M'), FALSE FROM threads)
     SELECT doc_id, kind, CASE WHEN length(t) < 15 THEN -50 ELSE 50 END + CASE WHEN past THEN 50 ELSE -100 END
@@ -101,7 +101,7 @@ def date_score(spark: SparkSession, sf: str) -> DataFrame:
         return F.concat_ws("-", year.cast("string"), day[0], day[1])
 
     late = F.concat(ymd(2050 + k % 4), F.lit(" "), day[2], F.lit(":"), day[3])
-    texts = F.array(F.left(tx.squash_spaces(F.col("text")), F.lit(30)), ymd(2020 + k % 4), late)
+    texts = F.array(tx.squash_spaces(F.col("text")), ymd(2020 + k % 4), late)
     rows = table(spark, sf, "documents", "doc_id").select("doc_id", F.posexplode(texts).alias("pos", "t"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("kind"), dates.date_score(F.col("t"), as_of()).alias("score"))
 
@@ -126,7 +126,12 @@ def _words_sql(words: str, text: str, points: int, cap: int | None = None) -> st
     return f"coalesce(list_sum(list_transform(list_filter({words}, lambda w: w <> ''), lambda w: {hits} * {points})), 0)"
 
 
-_TITLE = "regexp_split_to_array(trim(left(text, 25), E' \\n\\t\\r'), ' ')"
+_TITLE = "string_split(source || '  ' || lang || ' en tion', ' ')"
+
+
+def _title() -> Column:
+    return F.concat(F.lit(" "), "source", F.lit("  "), "lang", F.lit(" en tion "))
+
 
 
 @register("keyword_score", f"""
@@ -149,7 +154,7 @@ def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
         + {_words_sql(_TITLE, 'lower(text)', 5, 1)} + {_words_sql(_sql_list(BAD_WORDS), 'lower(text)', -5)} AS BIGINT) AS intended
     FROM documents""")
 def title_score(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.left("text", F.lit(25))
+    title = _title()
     scores = {
         name: tx.title_score(F.col("text"), title, GOOD_WORDS, BAD_WORDS, 1, semantics).cast("bigint").alias(name)
         for name, semantics in (("written", "reference"), ("intended", "intended"))
@@ -166,7 +171,7 @@ _LONG_SQL = "CASE WHEN length(text) > 300 THEN 100 ELSE -100 END"
         + {_words_sql(_TITLE, 'lower(text)', 5)} + {_words_sql(_sql_list(BAD_WORDS), 'lower(text)', -5)} AS BIGINT) AS intended
     FROM documents""")
 def description_score(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.left("text", F.lit(25))
+    title = _title()
     scores = {
         name: tx.description_score(F.col("text"), title, GOOD_WORDS, BAD_WORDS, semantics).cast("bigint").alias(name)
         for name, semantics in (("written", "reference"), ("intended", "intended"))
@@ -542,12 +547,13 @@ def insert_source_thread(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("non_empty_threads", """
-    SELECT doc_id FROM documents WHERE trim(regexp_replace(left(text, 2), '\\s+', '', 'g')) <> ''""")
+    SELECT p_partkey FROM part WHERE p_name <> '' AND trim(regexp_replace(p_type, '[A-N]', '', 'g')) <> ''""")
 def non_empty_threads(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents", "doc_id").select(
-        "doc_id", F.col("source").alias("title"), tx.js_trim(F.left("text", F.lit(2))).alias("description")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.col("p_name").alias("title"),
+        tx.js_trim(F.regexp_replace("p_type", "[A-N]", "")).alias("description"),
     )
-    return extract.non_empty_threads(rows).select("doc_id")
+    return extract.non_empty_threads(rows).select("p_partkey")
 
 
 @register("stream_pages", f"""
