@@ -285,6 +285,16 @@ def advance_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     return origins.advance_checkpoint(channel, seen).select("_id_origin", "last_checked")
 
 
+@register("advance_last_url", with_ctes(["origin"], """
+    SELECT _id_origin, coalesce('https://forum.example/t/' || first_order, last_url) AS last_url FROM origin LEFT JOIN (
+        SELECT o_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY 1) ON o_custkey = _id_origin"""))
+def advance_last_url(spark: SparkSession, sf: str) -> DataFrame:
+    first = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("origin_id")).agg(F.min("o_orderkey").alias("k"))
+    url = F.concat(F.lit("https://forum.example/t/"), F.col("k").cast("string"))
+    last = first.select("origin_id", url.alias("last_url"))
+    return origins.advance_last_url(d.origin(spark, sf), last).select("_id_origin", "last_url")
+
+
 # ---- table maintenance ---------------------------------------------------------------------
 
 @register("upsert_author", with_ctes(["author"], """

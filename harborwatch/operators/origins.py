@@ -158,3 +158,11 @@ def advance_checkpoint(origin: DataFrame, seen: DataFrame) -> DataFrame:
             for c in origin.columns
         ]
     )
+
+
+def advance_last_url(origin: DataFrame, last: DataFrame) -> DataFrame:
+    """Origins with the new ``last_url`` (``origin_id, last_url``); unchanged where there is none."""
+    new = last.select(F.col("origin_id").alias("_id_origin"), F.col("last_url").alias("__url"))
+    return origin.join(new, "_id_origin", "left").select(
+        *[F.coalesce("__url", "last_url").alias(c) if c == "last_url" else F.col(c) for c in origin.columns]
+    )

@@ -74,7 +74,7 @@ def search_counts(hits: DataFrame) -> DataFrame:
 # ---- watch-list ----------------------------------------------------------------------------
 
 _GRAM = 4
-IN_PLAN_TERMS = 1000
+IN_PLAN_TERMS = 500
 
 
 def _grams(text: Column, size: int) -> Column:

@@ -120,3 +120,20 @@ def test_size_report(spark):
     df = spark.createDataFrame([("o", "<p>a   b</p>"), ("o", "<nav>x</nav>")], "origin string, html string")
     row = dom.size_report(df, ["origin"]).collect()[0]
     assert (row["chars_before"], row["chars_after"]) == (12 + 12, len("<body><p>a b</p></body>") + len("<body></body>"))
+
+
+def test_tokens_put_together_give_the_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    joined = pages.select("html", F.array_join(dom.page_tokens(F.col("html")), "").alias("again"))
+    assert joined.filter("html <> again").count() == 0
+
+
+def test_scores_are_not_repeated_by_filters(spark):
+    """The vote drops empty paths above the score, not below it."""
+    from harborwatch.operators import infer
+
+    df = spark.createDataFrame([(1, 0, "u", "<p>x</p>")], "origin_id long, page_no long, url string, html string")
+    frame = dom.page_frame(df, ["origin_id", "page_no", "url"])
+    plan = infer.thread_table(frame, ["origin_id"])._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter (" in line and "tbody" in line]
+    assert "MapInArrow" in plan and not filters

@@ -83,3 +83,10 @@ def test_files(spark, tmp_path):
     (src / "d.csv").write_text("m,u\na@example.com,neo\n")
     (src / "e [f]{1}.csv").write_text("u;m\ntrinity;b@example.com\n")
     assert run() == ([("a@example.com", "neo"), ("b@example.com", "trinity")], ["a.csv", "e [f]{1}.csv"])
+
+
+def test_register_order_is_checked(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(ValueError):
+        streams.stream_files(spark, str(tmp_path), "o", "s", as_of(), register="never")
