@@ -173,23 +173,63 @@ def next_page(frame: DataFrame, keep: list[str], url: str = "url", settings: Set
     -100 when the address lacks the host (intended: after resolving it).
     """
     intended = check_semantics(semantics)
-    host = F.col("__host")
 
-    def score(n: Column) -> Column:
-        around = F.array_join(F.transform(dom.siblings(_nodes(), n), lambda s: js_trim(dom.node_text(_texts(), s))), "")
-        points = F.when(F.coalesce(ordered_numbers(around), F.lit(False)), SMALL).otherwise(0)
+    def numbered(n: Column) -> Column:
+        around = F.array_join(
+            F.transform(dom.siblings(_nodes(), n), lambda s: js_trim(dom.node_text(_texts(), s))), ""
+        )
+        return ordered_numbers(around)
+
+    def base(n: Column, host: Column) -> Column:
         text = F.lower(dom.node_text(_texts(), n))
+        points = F.lit(0)
         for word in NEXT_PAGE_WORDS:
             points = points + F.when(text.contains(word), BIG).otherwise(-MID)
         href = F.coalesce(F.try_element_at(n["attrs"], F.lit("href")), F.lit(""))
         seen = resolve_url(href, F.col(url)) if intended else href
         return points + F.when((href != "") & ~seen.contains(host), -BIG).otherwise(0)
 
+    def winner(best: Column) -> Column:
+        """The numbers' points are smaller than any other step, so they only decide between links of
+        the best other score, in page order up to the first that has them. Siblings are read only
+        below parents with two digits in their text."""
+        parents = F.array_distinct(F.transform(best, lambda n: n["parent"]))
+        counted = F.filter(
+            parents, lambda p: dom.node_text(_texts(), F.get(_nodes(), p)).rlike("[0-9][^0-9]*[0-9]")
+        )
+
+        def first_numbered(ids: Column) -> Column:
+            return F.aggregate(
+                best, F.lit(-1),
+                lambda found, n: F.when(found >= 0, found).when(
+                    F.array_contains(ids, n["parent"]), F.when(numbered(n), n["no"]).otherwise(-1)
+                ).otherwise(-1),
+            )
+
+        return dom.let(
+            dom.let(counted, first_numbered), lambda no: F.when(no >= 0, no).otherwise(F.get(best, F.lit(0))["no"])
+        )
+
+    def pick(links: Column) -> Column:
+        scored = dom.let(
+            url_host(F.col(url)),
+            lambda host: F.transform(
+                links, lambda n: F.struct(n["no"].alias("no"), n["parent"].alias("parent"), base(n, host).alias("base"))
+            ),
+        )
+
+        def keep_best(all_: Column) -> Column:
+            top = F.array_max(F.transform(all_, lambda n: n["base"]))
+            return dom.let(top, lambda t: F.filter(all_, lambda n: n["base"] == t))
+
+        return dom.let(dom.let(scored, keep_best), winner)
+
     links = F.filter(_nodes(), lambda n: n["tag"] == "a")
     return (
-        frame.withColumn("__host", url_host(F.col(url)))
-        .withColumn("__best", dom.best_node(links, score))
-        .withColumn("path", _winner_path(F.col("__best"), lambda n: dom.css_path(n, settings.path_parents)))
+        frame.withColumn("__best", dom.let(links, pick))
+        .withColumn("path", F.coalesce(
+            dom.let(F.get(_nodes(), F.col("__best")), lambda n: dom.css_path(n, settings.path_parents)), F.lit("")
+        ))
         .withColumn("__steps", _steps_of("path"))
         .select(
             *keep, "path",
