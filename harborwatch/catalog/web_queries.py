@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborwatch.catalog import forum
-from harborwatch.catalog.derived import AS_OF_SQL, as_of
+from harborwatch.catalog.derived import as_of
 from harborwatch.catalog.registry import register, table
 from harborwatch.config import BAD_WORDS, DEFAULTS, DESCRIPTION_WORDS, GOOD_WORDS
 from harborwatch.functions import dates, urls

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborwatch.config import BIG, DEFAULTS, MID, NEXT_PAGE_WORDS, SMALL, Settings, check_semantics
+from harborwatch.config import BIG, DEFAULTS, MID, NEXT_PAGE_WORDS, Settings, check_semantics
 from harborwatch.functions.text import (
     description_score, js_trim, keyword_score, ordered_numbers, title_score,
 )
