@@ -395,7 +395,7 @@ def thread_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("thread_link", f"WITH {THREADS}, {_LINK_PAGES} {_vote_sql('link_pages', 'origin_id', 'page_no')}")
 def thread_link(spark: SparkSession, sf: str) -> DataFrame:
-    frame = _list_frame(spark, sf)
+    frame = staged(_list_frame(spark, sf), "list-pages")
     return infer.thread_link(frame, infer.thread_table(frame, ["origin_id"]), ["origin_id"])
 
 
