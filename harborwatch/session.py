@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folder: str | None = None
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "harborwatch") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     spark = (
@@ -28,9 +31,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in a bare local test session, a temporary folder is made.
+    Where that setting is missing, a session whose executors are threads of this process gets a temporary folder;
+    on a cluster its absence is an error, since executors don't share a machine's folders.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="harborwatch-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        global _own_folder
+        _own_folder = _own_folder or tempfile.mkdtemp(prefix="harborwatch-")
+        root = _own_folder
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
