@@ -262,12 +262,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def near_fingerprints(prints: DataFrame, least: float = 0.8, band: int = 16) -> DataFrame:
+def near_fingerprints(prints: DataFrame, least: float = 0.8, band: int = 8) -> DataFrame:
     """(doc_id, near_id, likeness): bit-sampled banding and verification. Fingerprints that share ``band`` sampled
     bytes meet in a bucket and are compared with the bucket's fingerprint of least id, so a bucket of any size gives
     as many pairs as members; equal fingerprints are one class, by its least doc_id."""
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    bands = F.array(*[F.concat_ws(":", F.lit(k), *[F.substring("fingerprint", 1 + 2 * ((k * 37 + j * 29) % SLOTS), 2) for j in range(band)]) for k in range(8)])
+    bands = F.array(*[F.concat_ws(":", F.lit(k), *[F.substring("fingerprint", 1 + 2 * ((k * 37 + j * 29) % SLOTS), 2) for j in range(band)]) for k in range(16)])
     rows = classes.withColumn("bucket", F.explode(bands))
     heads = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n")).filter("n > 1")
     pairs = rows.join(heads, "bucket").filter(F.col("doc_id") != F.col("head.doc_id")).select("doc_id", "fingerprint", F.col("head.doc_id").alias("near_id"), F.col("head.fingerprint").alias("near")).distinct()
