@@ -263,13 +263,13 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_batch(table(spark, sf, "documents", "doc_id"), ["doc_id"], "text", terms)
 
 
-# The join that serves lists too long for a plan: the openings of all words of the benchmark texts.
+# A long list with short terms: whole words of the benchmark texts, and the texts themselves.
 @register("search_batch_long_list", """
-    SELECT DISTINCT conv_id, turn, term FROM conversations, (SELECT DISTINCT left(word, 4) AS term FROM (
-        SELECT unnest(string_split(lower(text), ' ')) AS word FROM benchmark) WHERE length(word) >= 4)
+    SELECT DISTINCT conv_id, turn, term FROM conversations, (SELECT DISTINCT word AS term FROM (
+        SELECT unnest(string_split(lower(text), ' ')) AS word FROM benchmark UNION ALL SELECT lower(text) FROM benchmark) WHERE word <> '')
     WHERE contains(lower(text), term)""")
 def search_batch_long_list(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ", -1)).alias("word"))
-    terms = words.filter(F.length("word") >= 4).select(F.left("word", F.lit(4)).alias("term"))
+    texts = table(spark, sf, "benchmark").select(F.lower("text").alias("text"))
+    terms = texts.select(F.explode(F.split("text", " ", -1)).alias("term")).union(texts)
     rows = table(spark, sf, "conversations", "conv_id")
-    return search.search_batch(rows, ["conv_id", "turn"], "text", terms, in_plan=0)
+    return search.search_batch(rows, ["conv_id", "turn"], "text", terms).distinct()

@@ -50,11 +50,18 @@ def origin_profile(origin: DataFrame, history: DataFrame, paths: DataFrame, keys
 
 
 def message_status(messages: DataFrame, origin: DataFrame, source: DataFrame, source_telegram: DataFrame) -> DataFrame:
-    """``(domain, message_id, n, status)``: new, seen once, or stored several times."""
+    """``(domain, message_id, n, status)``: new, seen once, or stored several times.
+
+    The probes' origins and message ids cut the stored tables down before these are joined.
+    """
+    asked = origin.select("_id_origin", "domain").join(messages.select("domain").distinct(), "domain", "left_semi")
+    ids = source_telegram.select("_id_source", F.col("_id_source_telegram").alias("message_id")).join(
+        messages.select("message_id").distinct(), "message_id", "left_semi"
+    )
     stored = (
-        spread_join(source, origin.select("_id_origin", "domain"), ["_id_origin"], ["_id_source"])
+        spread_join(source.select("_id_source", "_id_origin"), asked, ["_id_origin"], ["_id_source"])
         .select("domain", "_id_source")
-        .join(source_telegram.select("_id_source", F.col("_id_source_telegram").alias("message_id")), "_id_source")
+        .join(ids, "_id_source")
         .groupBy("domain", "message_id")
         .agg(F.count("*").alias("n"))
     )
@@ -67,9 +74,10 @@ def message_status(messages: DataFrame, origin: DataFrame, source: DataFrame, so
 
 def author_lookup(author: DataFrame, source: DataFrame, probes: DataFrame) -> DataFrame:
     """The author of an origin and tag if there is exactly one, else null: ``(_id_origin, tag, _id_author)``."""
-    tagged = author.select("_id_author", "tag")
+    tagged = author.select("_id_author", "tag").join(probes.select("tag").distinct(), "tag", "left_semi")
+    asked = source.select("_id_source", "_id_origin", "_id_author").join(probes.select("_id_origin").distinct(), "_id_origin", "left_semi")
     known = (
-        spread_join(source.select("_id_source", "_id_origin", "_id_author"), tagged, ["_id_author"], ["_id_source"])
+        spread_join(asked, tagged, ["_id_author"], ["_id_source"])
         .groupBy("_id_origin", "tag")
         .agg(F.min("_id_author").alias("lo"), F.max("_id_author").alias("hi"))
     )

@@ -74,7 +74,6 @@ def search_counts(hits: DataFrame) -> DataFrame:
 # ---- watch-list ----------------------------------------------------------------------------
 
 _GRAM = 4
-IN_PLAN_TERMS = 500
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -87,27 +86,15 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(joined)
 
 
-def search_batch(
-    df: DataFrame, key: list[str], text: str, terms: DataFrame, term: str = "term", in_plan: int = IN_PLAN_TERMS
-) -> DataFrame:
-    """``(*key, term)`` for every row whose text holds the term, in any case; exact for any list size.
+def search_batch(df: DataFrame, key: list[str], text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+    """``(*key, term)`` once for every row whose text holds the term, in any case.
 
-    A list of at most ``in_plan`` terms goes into the plan as a literal: one pass over the texts, no
-    join. Beyond that, every term is tied to one character run of its own (four long, or the term
-    itself when shorter), the rarest one in the texts. Texts meet terms on that run by an equi-join,
-    and the pairs are then checked in full; runs that tie no term go before any shuffle.
+    One way for a list of any size: every term is tied to one character run of its own (four long, or the
+    term itself when shorter), the rarest one in the texts. Texts meet terms on that run by an equi-join,
+    and the pairs are then checked in full; runs that tie no term go before any shuffle. Rows are numbered
+    in a written table, so rows of equal key stay rows of their own.
     """
     listed = terms.select(F.col(term).alias("term"), F.lower(term).alias("low")).filter(F.col("low") != "").distinct()
-    few = listed.limit(in_plan + 1).collect()
-    if not few or len(few) > in_plan:
-        return _search_by_runs(df, key, text, listed)
-    words = F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.low).alias("low")) for r in few])
-    lowered = df.select(*key, F.lower(F.col(text)).alias("__text"))
-    found = F.filter(words, lambda w: F.contains(F.col("__text"), w["low"]))
-    return lowered.select(*key, F.explode(found).alias("w")).select(*key, "w.term")
-
-
-def _search_by_runs(df: DataFrame, key: list[str], text: str, listed: DataFrame) -> DataFrame:
     lengths = listed.select(F.least(F.length("low"), F.lit(_GRAM)).alias("n")).distinct()
     sizes = sorted(r.n for r in lengths.collect())  # at most _GRAM numbers
     if not sizes:
@@ -115,9 +102,11 @@ def _search_by_runs(df: DataFrame, key: list[str], text: str, listed: DataFrame)
     run = F.when(F.length("low") >= _GRAM, _grams(F.col("low"), _GRAM)).otherwise(F.array("low"))
     term_runs = listed.select("term", "low", F.explode(run).alias("run"))
 
-    low = F.lower(F.col(text))
+    texts = staged(
+        df.select(*key, F.lower(F.col(text)).alias("__text")).withColumn("__row", F.monotonically_increasing_id()), "texts"
+    )
     text_runs = staged(
-        df.select(*key, F.explode(F.concat(*[_grams(low, n) for n in sizes])).alias("run")).join(
+        texts.select("__row", F.explode(F.concat(*[_grams(F.col("__text"), n) for n in sizes])).alias("run")).join(
             term_runs.select("run").distinct(), "run", "left_semi"
         ),
         "text-runs",
@@ -130,10 +119,5 @@ def _search_by_runs(df: DataFrame, key: list[str], text: str, listed: DataFrame)
         .filter(F.col("rarest.texts") > 0)
         .select("term", "low", F.col("rarest.run").alias("run"))
     )
-    pairs = spread_join(text_runs, tied, ["run"], key).select(*key, "term", "low")
-    return (
-        df.select(*key, low.alias("__text"))
-        .join(pairs, key)
-        .filter(F.col("__text").contains(F.col("low")))
-        .select(*key, "term")
-    )
+    pairs = spread_join(text_runs, tied, ["run"], ["__row"]).select("__row", "term", "low")
+    return texts.join(pairs, "__row").filter(F.col("__text").contains(F.col("low"))).select(*key, "term")

@@ -25,8 +25,9 @@ def _plain(path: Column) -> Column:
 def load_files(
     spark: SparkSession, meta: DataFrame, files: str | list[str], settings: Settings = DEFAULTS,
     semantics: str = "reference",
-) -> tuple[DataFrame, DataFrame]:
-    """Standard ``(ok, bad)`` data rows of the files in ``meta`` (``path, _og_hashmd5``).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Standard ``(ok, bad)`` data rows of the files in ``meta`` (``path, _og_hashmd5``), and the metadata rows of the
+    files that cannot be read, each with a row in ``bad`` that names its path.
 
     ``files`` is the folder, glob or short list that is scanned; files of it that ``meta`` lacks give
     nothing. Cells and standard rows are each worked out once and written to the shared folder, since
@@ -34,8 +35,10 @@ def load_files(
     """
     if not files:
         empty = spark.createDataFrame([], TABLES["data"])
-        return empty, empty
-    rows = csv_files.csv_records(spark, files).withColumn("file", _plain(F.col("file")))
+        return empty, empty, meta.limit(0)
+    rows, broken = csv_files.read_records(spark, files)
+    rows = rows.withColumn("file", _plain(F.col("file")))
+    unreadable = meta.join(broken.select(_plain(F.col("file")).alias("__file")), _no_scheme(F.col("path")) == F.col("__file"), "left_semi")
     by_path = meta.select(_no_scheme(F.col("path")).alias("file"), "_og_hashmd5")
     cells = staged(
         spread_join(rows, by_path, ["file"], ["row_no"]).select("_og_hashmd5", "row_no", "cells"), "cells"
@@ -44,15 +47,21 @@ def load_files(
     fixes = records.fixes_of(decisions, "_og_hashmd5")
     standard = staged(records.standardize_records(cells, fixes, "_og_hashmd5"), "records")
     ok, bad = records.quarantine(standard, semantics=semantics)
-    return records.data_rows(ok), records.data_rows(bad)
+    named = unreadable.select(
+        "_og_hashmd5", F.lit(-1).cast("bigint").alias("row_no"), F.to_json(F.struct(F.col("path").alias("unreadable"))).alias("misc")
+    )
+    return records.data_rows(ok), records.data_rows(bad.unionByName(named, allowMissingColumns=True)), unreadable
 
 
 def ingest_directory(
     spark: SparkSession, path: str, registered: DataFrame, as_of: Column, source_id: Column | None = None,
     settings: Settings = DEFAULTS, semantics: str = "reference",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New metadata rows, ``data`` rows and rejected rows of a folder or glob, all files in one job."""
+    """New metadata rows, ``data`` rows and rejected rows of a folder or glob, all files in one job.
+
+    A file that cannot be read is rejected by its path and isn't registered, so it is tried again.
+    """
     found = csv_files.file_fingerprint(spark, path, as_of, source_id)
     fresh = staged(records.new_files(found, registered), "files")
-    ok, bad = load_files(spark, fresh, path, settings, semantics)
-    return fresh, ok, bad
+    ok, bad, unreadable = load_files(spark, fresh, path, settings, semantics)
+    return fresh.join(unreadable.select("path"), "path", "left_anti").select(*fresh.columns), ok, bad

@@ -10,7 +10,7 @@ _SALT = "__salt"
 
 
 def salts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(SALTS_CONF, "16"))
+    return int(df.sparkSession.conf.get(SALTS_CONF, "1"))
 
 
 def spread_join(
@@ -22,15 +22,17 @@ def spread_join(
 ) -> DataFrame:
     """Equi-join of a large side with one that holds at most a few rows per key.
 
-    The rows of a key are dealt over ``salts`` buckets by a hash of the ``spread`` columns, and the
-    small side is repeated once per bucket, so a hot key becomes many shuffle partitions. The hash
-    makes a retried task deal the same way. Spark still broadcasts ``dim`` by itself when its
-    measured size is below the broadcast threshold; then the salt costs nothing but a column.
+    By default a plain join: adaptive execution splits the partitions of a hot key by their measured size
+    and repeats only the few rows of the other side that meet them. Where that is switched off, setting
+    ``harborwatch.skew.salts`` above 1 deals the rows of every key over so many buckets by a hash of the
+    ``spread`` columns, at the price of repeating the other side as often.
     Valid for joins that keep rows of the left side only (inner, left, left_semi, left_anti).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join cannot do a {how} join")
     n = salts(fact)
+    if n <= 1:
+        return fact.join(dim, on, how)
     left = fact.withColumn(_SALT, F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(n)).cast("int"))
     right = dim.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return left.join(right, [*on, _SALT], how).drop(_SALT)

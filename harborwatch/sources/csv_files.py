@@ -9,8 +9,14 @@ from harborwatch.functions.text import js_trim
 from harborwatch.plans.skew import spread_join
 from harborwatch.session import staged
 
-# A quoted cell or a plain one, with its comma; possessive loops keep long cells off the stack.
-_CELL = r'([^\S,]*+"[^"]*+(?:""[^"]*+)*+"[^\S,]*+|[^,]*+),'
+# Patterns over a line whose ``;`` are commas and that has one more comma at its end. A quote opens a cell only
+# at its start and closes it only before a comma; any other quote is a character. Possessive loops keep long
+# cells off the stack.
+_BODY = r'[^"]*+(?:"(?![^\S,]*+,)"?+[^"]*+)*+'
+_CLOSE = _BODY + r'"[^\S,]*+,'
+_QUOTED = r'[^\S,]*+"' + _BODY + r'"[^\S,]*+'
+_CELL = rf"({_QUOTED}|[^,]*+),"
+_WHOLE_CELLS = rf'\G(?:{_QUOTED}|(?![^\S,]*+")[^,]*+),'
 
 
 def fingerprint(files: DataFrame, as_of: Column, source_id: Column | None = None) -> DataFrame:
@@ -45,42 +51,86 @@ def _before(*by: str) -> Window:
     return Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _commas(line: Column) -> Column:
+    return F.concat(F.translate(line, ";", ","), F.lit(","))
+
+
+def _open_after(cells: Column) -> Column:
+    """Whether a line that begins a record ends inside a quoted cell: what its whole cells leave over."""
+    return F.length(F.regexp_replace(cells, _WHOLE_CELLS, "")) > 0
+
+
+def _with_quote_state(lines: DataFrame) -> DataFrame:
+    """``opens``: the line ends inside quotes if it begins outside; ``stays``: if it begins inside."""
+    cells = _commas(F.col("line"))
+    quote = F.col("line").contains('"')
+    closing = r"\A" + _CLOSE
+    return lines.withColumn("opens", quote & _open_after(cells)).withColumn(
+        "stays", ~quote | ~cells.rlike(closing) | _open_after(F.regexp_replace(cells, closing, ""))
+    )
+
+
 def number_records(lines: DataFrame) -> DataFrame:
     """``file, row_no, line``: non-blank records in file order from 0 (row 0 is the header).
 
-    ``lines`` comes straight from the scan: lines of one split follow each other in one task, so a running id orders them there, and only
-    counts per split are ordered across a file; a plain file's lines are neither sorted nor
+    ``lines`` comes straight from the scan: lines of one split follow each other in one task, so a running id orders
+    them there, and only counts per split are ordered across a file; a plain file's lines are neither sorted nor
     gathered. In a file with line breaks inside quotes, lines are sorted within their split to find
     open quotes, and only the lines of such a record are put together. A file that ends inside
-    quotes cannot be read and gives no rows.
+    quotes cannot be read and gives no rows; ``read_records`` names it.
     """
-    odd = F.length(F.regexp_replace("line", '[^"]', "")) % 2
-    every = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("odd", odd)
-    solid = lines.filter(js_trim(F.col("line")) != "").withColumn("at", F.monotonically_increasing_id())
+    return read_lines(lines)[0]
+
 
-    per_file = Window.partitionBy("file")
+def read_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered records, and ``file`` of every file that ends inside quotes."""
+    every = _with_quote_state(lines.withColumn("at", F.monotonically_increasing_id()))
+    solid = lines.filter(js_trim(F.col("line")) != "").withColumn("at", F.monotonically_increasing_id())
     # One row per split: a small table, written so that the lines are read for it only once.
-    quotes = staged(
-        every.groupBy("file", "block").agg(F.sum("odd").alias("odd_lines"))
-        .withColumn("file_odd", F.sum("odd_lines").over(per_file))
-        .withColumn("odd_before", F.coalesce(F.sum("odd_lines").over(_before("file", "block")), F.lit(0)))
-        .drop("odd_lines"),
-        "csv-quotes",
-    )
-    quoted = quotes.filter(F.col("file_odd") > 0)
+    quoted = staged(every.filter("opens").select("file").distinct(), "csv-quoted-files")
     if not quoted.take(1):
-        return _number(solid, dense=True)
-    plain = _number(solid.join(quoted.select("file").distinct(), "file", "left_anti"), dense=True)
-    broken = quoted.filter(F.col("file_odd") % 2 == 0)
-    joined = staged(_join_quoted(every.join(broken, ["file", "block"])), "csv-quoted")  # counted, then numbered
-    return plain.unionByName(_number(joined, dense=False))
+        return _number(solid, dense=True), quoted
+    plain = _number(solid.join(quoted, "file", "left_anti"), dense=True)
+    known = staged(every.join(quoted, "file", "left_semi"), "csv-quoted-lines")
+    states, unreadable = _states(known)
+    unreadable = staged(unreadable, "csv-unreadable")
+    joined = staged(_join_quoted(states.join(unreadable, "file", "left_anti")), "csv-quoted")  # counted, then numbered
+    return plain.unionByName(_number(joined, dense=False)), unreadable
 
 
-def _join_quoted(known: DataFrame) -> DataFrame:
-    """Put together the lines of every record that runs over line breaks inside quotes."""
+def _states(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines with ``open`` (begins inside quotes) and ``ends_open``, and the files that end inside quotes.
+
+    A line maps the state before it to the one after it: it sets it, turns it, or leaves it. So the state is what the
+    last setting line set, turned as often as lines have turned it since; splits are chained the same way.
+    """
+    upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     before = _before("file", "block", "at")
-    state = known.withColumn("open", (F.col("odd_before") + F.coalesce(F.sum("odd").over(before), F.lit(0))) % 2 == 1)
-    upto = before.rowsBetween(Window.unboundedPreceding, 0)
+    turn = (F.col("opens") & ~F.col("stays")).cast("int")
+    lines = known.withColumn("turns", F.sum(turn).over(upto))
+    sets = F.when(F.col("opens") == F.col("stays"), F.struct(F.col("opens").cast("int").alias("to"), "turns"))
+    lines = lines.withColumn("sets", sets)
+    per_split = lines.groupBy("file", "block").agg(
+        F.max_by("sets", F.when(F.col("sets").isNotNull(), F.col("at"))).alias("last"), F.max("turns").alias("all_turns")
+    ).withColumn("to", (F.col("last.to") + F.col("all_turns") - F.col("last.turns")) % 2)
+    along = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    per_split = per_split.withColumn("loose", F.sum(F.when(F.col("to").isNull(), F.col("all_turns")).otherwise(0)).over(along))
+    per_split = per_split.withColumn("anchor", F.last(F.when(F.col("to").isNotNull(), F.struct("to", "loose")), ignorenulls=True).over(along))
+    after = F.coalesce((F.col("anchor.to") + F.col("loose") - F.col("anchor.loose")) % 2, F.col("loose") % 2)
+    per_split = per_split.withColumn("after", after)
+    per_split = per_split.withColumn("start", F.coalesce(F.lag("after").over(Window.partitionBy("file").orderBy("block")), F.lit(0)))
+    unreadable = per_split.groupBy("file").agg(F.max_by("after", "block").alias("end")).filter("end = 1").select("file")
+    turned = F.coalesce(F.sum(turn).over(before), F.lit(0))
+    lines = lines.withColumn("turned", turned).withColumn("set", F.last("sets", ignorenulls=True).over(before))
+    lines = lines.join(per_split.select("file", "block", "start"), ["file", "block"])
+    inside = F.coalesce(F.col("set.to") + F.col("turned") - F.col("set.turns"), F.col("start") + F.col("turned")) % 2 == 1
+    lines = lines.withColumn("open", inside).withColumn("ends_open", F.when(inside, F.col("stays")).otherwise(F.col("opens")))
+    return lines.select("file", "block", "at", "line", "open", "ends_open"), unreadable
+
+
+def _join_quoted(state: DataFrame) -> DataFrame:
+    """Put together the lines of every record that runs over line breaks inside quotes."""
+    upto = _before("file", "block", "at").rowsBetween(Window.unboundedPreceding, 0)
     begin = F.when(~F.col("open"), F.struct("block", "at"))
     state = state.withColumn("started", F.last(begin, ignorenulls=True).over(upto))
     # A record may begin in an earlier split: carry the last begin over the splits of the file.
@@ -89,7 +139,7 @@ def _join_quoted(known: DataFrame) -> DataFrame:
     state = state.join(carried.select("file", "block", "from_before"), ["file", "block"]).withColumn(
         "started", F.coalesce("started", "from_before")
     )
-    alone = ~F.col("open") & (F.col("odd") == 0)
+    alone = ~F.col("open") & ~F.col("ends_open")
     parts = (
         state.filter(~alone)
         .groupBy("file", "started")
@@ -118,7 +168,7 @@ def _number(records: DataFrame, dense: bool) -> DataFrame:
 
 def split_cells(line: Column) -> Column:
     """Cells of a record: every ``;`` counts as a comma, quotes are taken off, cells are trimmed."""
-    cells = F.regexp_extract_all(F.concat(F.translate(line, ";", ","), F.lit(",")), F.lit(_CELL), F.lit(1))
+    cells = F.regexp_extract_all(_commas(line), F.lit(_CELL), F.lit(1))
 
     def plain(cell: Column) -> Column:
         c = js_trim(cell)
@@ -159,6 +209,12 @@ def parse_records(numbered: DataFrame, key: str = "file") -> DataFrame:
     )
 
 
+def read_records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """``file, row_no, cells`` of every CSV file of a folder or glob, and ``file`` of those that cannot be read."""
+    numbered, unreadable = read_lines(file_lines(spark, path))
+    return parse_records(numbered), unreadable
+
+
 def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, row_no, cells`` of every CSV file of a folder or glob."""
-    return parse_records(number_records(file_lines(spark, path)))
+    return read_records(spark, path)[0]

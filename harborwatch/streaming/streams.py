@@ -83,7 +83,8 @@ def stream_messages(
     """Messages above their origin's check point with a supported file, stored once by domain and id.
 
     Writes ``source`` and ``source_telegram``, and to ``progress`` the highest id seen per origin in
-    each batch, supported file or not.
+    each batch, supported file or not. A run begins where the runs before it have left their check points,
+    so an id at or below the highest seen is skipped, stored or not.
     """
     prepare(stream.sparkSession, out_dir, {
         "source": TABLES["source"], "source_telegram": TABLES["source_telegram"], "progress": PROGRESS_SCHEMA,
@@ -91,13 +92,15 @@ def stream_messages(
 
     def each(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        feed = feeds.message_feed(batch, origin)
+        # The check point as the batches before have moved it: ids above it cannot have been stored.
+        reached = advance_checkpoint(origin, stored(spark, out_dir, "progress", PROGRESS_SCHEMA, before=no))
+        write_batch(feeds.message_feed(batch, reached), out_dir, "feed", no)
+        feed = spark.read.parquet(f"{out_dir}/feed/batch={no}")  # read once, so that all tables agree
         top = feed.groupBy("_id_origin").agg(F.max("message_id").alias("message_id"))
         wanted = feeds.with_supported_file(feed, settings.filetypes).dropDuplicates(["domain", "message_id"])
         source, child = tables.split_messages(wanted, as_of)
-        known = stored(spark, out_dir, "source_telegram", TABLES["source_telegram"], before=no).select("_id_source")
-        write_batch(child.join(known, "_id_source", "left_anti"), out_dir, "source_telegram", no)
-        write_batch(source.join(known, "_id_source", "left_anti"), out_dir, "source", no)
+        write_batch(child, out_dir, "source_telegram", no)
+        write_batch(source, out_dir, "source", no)
         write_batch(top, out_dir, "progress", no)
 
     return _run(stream, checkpoint, each)
@@ -153,10 +156,10 @@ def stream_files(
             write_batch(fresh, out_dir, "database_metadata", no)
         # At most FILES_PER_BATCH names; signs that a path pattern would read are escaped.
         names = [re.sub(r"([\\[\]{}*?])", r"\\\1", r.path) for r in fresh.select("path").collect()]
-        ok, bad = load_files(session, fresh, names, settings, semantics)
+        ok, bad, unreadable = load_files(session, fresh, names, settings, semantics)
         write_batch(ok, out_dir, "data", no)
         write_batch(bad, out_dir, "rejected", no)
         if register == "after_load":
-            write_batch(fresh, out_dir, "database_metadata", no)
+            write_batch(fresh.join(unreadable.select("path"), "path", "left_anti").select(*fresh.columns), out_dir, "database_metadata", no)
 
     return _run(files, checkpoint, each)

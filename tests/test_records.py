@@ -59,6 +59,25 @@ def test_very_long_cells(dump):
     assert dump(a=f'h,i\n{long},"{quoted}"\n')["a"] == [(0, {"h": long, "i": 'y"' * 60_000})]
 
 
+@pytest.mark.parametrize("text", ['nick,size\nneo,5" disk\nmorpheus,y\n', 'nick,size\nneo,5" disk\ntrin"ity,3"\nmorpheus,y\n'])
+def test_quotes_inside_plain_cells_are_characters(dump, text):
+    rows = [line.split(",") for line in text.splitlines()[1:]]
+    assert dump(a=text)["a"] == [(k, {"nick": a, "size": b}) for k, (a, b) in enumerate(rows)]
+
+
+def test_stray_quotes_beside_quoted_line_breaks(dump):
+    got = dump(a='h,i\nx 5",1\n"two\nlines, and a "word" in",2\n"""q""",""\na"b,"c;d"\n')["a"]
+    assert got == [(0, {"h": 'x 5"', "i": "1"}), (1, {"h": 'two\nlines, and a "word" in', "i": "2"}), (2, {"h": '"q"', "i": ""}), (3, {"h": 'a"b', "i": "c,d"})]
+
+
+def test_unreadable_file_is_rejected_and_not_registered(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text('mail\n"open\n1\n')
+    (tmp_path / "good.csv").write_text("mail\na@example.com\n")
+    meta, ok, bad = ingest.ingest_directory(spark, str(tmp_path), spark.createDataFrame([], "_og_hashmd5 string"), as_of())
+    assert [r["og_filename"] for r in meta.collect()] == ["good.csv"] and ok.count() == 1
+    assert ["bad.csv" in r["misc"] for r in bad.collect()] == [True]
+
+
 def test_file_ending_inside_quotes_gives_nothing(dump):
     assert dump(a='h\n"open\n1\n', b="h\n1\n") == {"b": [(0, {"h": "1"})]}
 
