@@ -157,7 +157,9 @@ class Model:
     def ranged(self, name: str, numbers: np.ndarray, columns: int) -> np.ndarray:
         """Rows of the array by word number, read from its ranges. Numbers are sorted."""
         out = np.zeros((len(numbers), columns), dtype=np.int64)
-        edges = np.flatnonzero(np.append(True, numbers[1:] // RANGE != numbers[:-1] // RANGE)) if len(numbers) else []
+        if not len(numbers):
+            return out
+        edges = np.flatnonzero(np.append(True, numbers[1:] // RANGE != numbers[:-1] // RANGE))
         for a, b in zip(edges, [*edges[1:], len(numbers)], strict=True):
             r = int(numbers[a]) // RANGE
             have = mapped(f"{self.folder}/{name}-{r}", np.uint32).reshape(-1, columns)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +131,7 @@ def _feature_table(sample: DataFrame, max_features: int, least: int) -> np.ndarr
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     best = sums.withColumn("z", z).filter("z > 2").orderBy(F.desc("z"), "f").limit(max_features).select("f")
-    return np.sort(unsigned(np.array([r["f"] for r in best.collect()], dtype=np.int64)))
+    return np.sort(unsigned(best.toArrow().column("f").to_numpy().astype(np.int64)))
 
 
 def _hits(s: Sentences, table: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,19 +153,17 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def _train(bags: list[tuple[int, int, list[int], list[int]]], n_features: int, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the noisy-or likelihood. A bag: label, sentences, and its (sentence, feature) hits."""
-    label = np.array([b[0] for b in bags], dtype=float)
-    plain = np.zeros(len(bags))
-    row, feature, owner = [], [], []
-    for k, (_, sentences, at, numbers) in enumerate(bags):
-        some = sorted(set(at))
-        plain[k] = max(1, sentences) - len(some)
-        place = {s: len(owner) + j for j, s in enumerate(some)}
-        owner.extend([k] * len(some))
-        row.extend(place[a] for a in at)
-        feature.extend(numbers)
-    row, feature, owner = np.array(row, np.int64), np.array(feature, np.int64), np.array(owner, np.int64)
+def _train(bags: pa.Table, n_features: int, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the noisy-or likelihood. A bag: label, n sentences, and its (at, number) hits."""
+    label = bags.column("label").to_numpy().astype(float)
+    hits = bags.column("at").combine_chunks()
+    count = hits.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    feature = bags.column("number").combine_chunks().flatten().to_numpy().astype(np.int64)
+    bag = np.repeat(np.arange(len(label)), count)
+    wide = int(pc.max(pc.list_flatten(hits)).as_py() or 0) + 1 if len(feature) else 1
+    some, row = np.unique(bag * wide + hits.flatten().to_numpy().astype(np.int64), return_inverse=True)
+    owner = some // wide  # the bag of each sentence with hits
+    plain = np.maximum(1, bags.column("n").to_numpy()) - np.bincount(owner, minlength=len(label))
     w, bias = np.zeros(n_features), -4.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, rounds + 1):
@@ -182,7 +181,7 @@ def _train(bags: list[tuple[int, int, list[int], list[int]]], n_features: int, r
     return w, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, least: int = 4, rounds: int = 400, ridge: float = 0.005) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_features: int = 8_000, least: int = 4, rounds: int = 400, ridge: float = 0.005) -> Model:
     """A model from labelled documents. Only text and toxic are inputs."""
     sample = _sample(docs, labels, max_rows).filter("text is not null")
     table = _feature_table(sample, max_features, least)
@@ -200,13 +199,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
                 edges = np.searchsorted(s.sentence_doc[at] if len(at) else np.zeros(0, int), np.arange(end - row + 1))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(signed(whole)), pa.array(label[row:end], pa.int32()), pa.array(count, pa.int32()),
-                    pa.array([at[a:b].astype(np.int32) for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32())),
+                    pa.array([(at[a:b] - at[a]).astype(np.int32) if b > a else at[:0].astype(np.int32) for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32())),
                     pa.array([number[a:b].astype(np.int32) for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32())),
                 ], ["h", "label", "n", "at", "number"])
 
     bags = sample.mapInArrow(run, "h long, label int, n int, at array<int>, number array<int>")
     once = bags.groupBy("h").agg(F.max(F.struct("label", "n", "at", "number")).alias("b")).select("b.*")
-    weights, bias = _train([tuple(r) for r in once.collect()], len(table), rounds, ridge)
+    weights, bias = _train(once.toArrow(), len(table), rounds, ridge)
     return Model(table, weights, bias)
 
 
