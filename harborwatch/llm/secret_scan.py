@@ -56,15 +56,16 @@ def _matches(text: Column, n: int, kind: str, pattern: str) -> Column:
 
 
 def parts(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, kind, start, end): every candidate, base and weak; a row of null kind for documents without any."""
+    """(keys, kind, start, end): every candidate, base and weak; rows of null kind for documents without any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = F.concat(*[_matches(text, n, kind, pattern) for n, (kind, pattern, _) in enumerate(KINDS)])
     rows = docs.select(*keys, F.explode_outer(every).alias("m")).select(*keys, "m.*")
     w = Window.partitionBy(*keys, "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("length")).over(w)
-    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("length")).filter(
-        "kind is null or kept"
-    ).select(*keys, "kind", "start", "end")
+    # A match that fails becomes a row of null kind, so that its document keeps a row.
+    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("length")).select(
+        *keys, F.when(F.col("kept"), F.col("kind")).alias("kind"), "start", "end"
+    )
 
 
 def link(found: DataFrame, keys: list[str], scope: int = 300) -> DataFrame:
@@ -80,7 +81,8 @@ def link(found: DataFrame, keys: list[str], scope: int = 300) -> DataFrame:
     complete = F.when(F.col("kind") < BASE, True).when(F.col("role") == "name", near["secret"]).when(
         F.col("role") == "secret", near["name"] | near["endpoint"]
     ).otherwise(near["name"] & near["secret"])
-    return found.withColumn("role", role).withColumn("reported", F.coalesce(complete, F.lit(False))).drop("role")
+    reported = F.col("kind").isNotNull() & F.coalesce(complete, F.lit(False))
+    return found.withColumn("role", role).withColumn("reported", reported).drop("role")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300) -> DataFrame:

@@ -134,8 +134,7 @@ def plain_scores(rows):
     return out, sum(low(w) for w in uni) + spread / (v + 1)
 
 
-def test_scores_equal_a_plain_model(spark, monkeypatch):
-    monkeypatch.setattr(lm, "RANGE", 64)
+def test_scores_equal_a_plain_model(spark):
     rng = random.Random(8)
     vocab = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join(rng.choice(vocab[: rng.choice([5, 200])]) for _ in range(rng.randint(0, 60)))) for k in range(150)]
