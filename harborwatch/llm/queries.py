@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborwatch.llm import bpe, editsketch, lm, near, packing, secret_scan, substring, toxicity, vectors, wordpiece
+from harborwatch.llm import bpe, editsketch, lm, near, packing, secret_scan, sql, substring, toxicity, vectors, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_substrings": sql.SUBSTRINGS, "op9_near": sql.NEAR, "op10_vectors": sql.VECTORS}
 
 
 def vocabulary(name: str) -> str:
