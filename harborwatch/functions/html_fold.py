@@ -37,7 +37,9 @@ SPECIAL = CLOSES_P | TABLE_PARTS | SCOPE_WALL | VOID | set(
 )
 HEAD_ONLY = {"meta", "link", "base", "title"}
 # What cleaning drops.
-DROP_TAGS = set("style header footer option nav input select img script link noscript iframe".split())
+DROP_TAGS = {
+    "style", "header", "footer", "option", "nav", "input", "select", "img", "script", "link", "noscript", "iframe",
+}
 DROP_ATTRS = {"id", "on", "style"}
 
 SPACE_RUN = re.compile("[\t\n\x0b\x0c\r \u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
@@ -388,7 +390,7 @@ def fold_page(tokens: list[str], clean: bool, with_html: bool = False) -> tuple[
     cleaned = None
     root = tree.root
     if clean:
-        if "mobile" in tree.body.attrs.get("class", ""):
+        if any("mobile" in el.attrs.get("class", "") for el in (root, tree.body)):
             tree.body = Element("body", parent=root)
             cleaned = ""
         else:

@@ -69,6 +69,8 @@ def test_cleaning(cleaned, html, want):
 def test_head_is_dropped_and_body_class_mobile_empties_the_page(cleaned):
     assert cleaned("<head><meta charset=x><title>t</title></head><p>x") == "<body><p>x</p></body>"
     assert cleaned('<body class="mobile">x</body>') == ""
+    assert cleaned('<html class="no-mobile js"><body>x</body></html>') == ""
+    assert cleaned('<html class="js"><body>x</body></html>') == "<body>x</body>"
     assert cleaned("") == "<body></body>"
 
 
