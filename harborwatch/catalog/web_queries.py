@@ -535,6 +535,19 @@ def thread_extract(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("origin_id", "url", "title", "description", F.unix_seconds("published_time").alias("seconds"))
 
 
+@register("thread_dates", f"""
+    SELECT 'reference' AS semantics, url, seconds FROM ({_EXTRACT_SQL})
+    UNION ALL SELECT 'intended', url, seconds FROM ({_EXTRACT_SQL.replace(forum.DATE_SQL, 'ts')})""")
+def thread_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """12 AM as written is hour 12, as intended hour 0."""
+    def dated(semantics: str) -> DataFrame:
+        pages, paths = forum.thread_pages(spark, sf), forum.known_paths(spark, sf)
+        rows = extract.thread_extract(pages, paths, _known_threads(spark, sf), as_of(), semantics)
+        return rows.select(F.lit(semantics).alias("semantics"), "url", F.unix_seconds("published_time").alias("seconds"))
+
+    return dated("reference").unionByName(dated("intended"))
+
+
 @register("insert_source_thread", f"""
     SELECT origin_id AS _id_origin, url, title, left(description, 65535) AS description, seconds FROM ({_EXTRACT_SQL})""")
 def insert_source_thread(spark: SparkSession, sf: str) -> DataFrame:
@@ -576,3 +589,28 @@ def stream_pages(spark: SparkSession, sf: str) -> DataFrame:
     return source.join(thread, "_id_source").select(
         "_id_origin", "url", "title", "description", F.unix_seconds("published_time").alias("seconds")
     )
+
+
+@register("stream_list_pages", f"""WITH {THREADS}, {_LAST_SEEN}
+    SELECT 'link' AS kind, origin_id, page_no, link AS value FROM threads JOIN last_seen USING (origin_id)
+    WHERE place IS NULL OR page_no * 100 + pos < place
+    UNION ALL SELECT DISTINCT 'next', origin_id, page_no, 'https://forum' || origin_id || '.example/list?page=' || (page_no + 1) FROM threads
+    UNION ALL SELECT 'last_url', origin_id, 0, link FROM threads WHERE page_no = 0 AND pos = 5""")
+def stream_list_pages(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "list-pages")
+    out = f"{root}/out"
+    pages = forum.list_pages(spark, sf).withColumn("page_no", F.col("page_no").cast("bigint"))
+    pages.select(*streams.LIST_PAGE_SCHEMA.names).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(streams.LIST_PAGE_SCHEMA).parquet(f"{root}/in")
+    paths, seen = staged(forum.known_paths(spark, sf), "paths"), staged(_last_urls(spark, sf), "last-urls")
+    streams.stream_list_pages(stream, paths, seen, out, f"{root}/state").awaitTermination()
+    links = streams.stored(spark, out, "links", streams.LINK_SCHEMA)
+    forward = streams.stored(spark, out, "next_pages", streams.NEXT_SCHEMA)
+    last = streams.stored(spark, out, "last_urls", streams.LAST_URL_SCHEMA)
+    return (
+        links.select(F.lit("link").alias("kind"), "origin_id", "page_no", F.col("link").alias("value"))
+        .unionByName(forward.select(F.lit("next").alias("kind"), "origin_id", "page_no", F.col("next_url").alias("value")))
+        .unionByName(last.select(
+            F.lit("last_url").alias("kind"), "origin_id", F.lit(0).cast("bigint").alias("page_no"), F.col("last_url").alias("value")
+        ))
+    )

@@ -82,8 +82,11 @@ def thread_list_scrape(
     return links_until_seen(links, origin), forward, next_last_url(links, offset)
 
 
-def read_threads(pages: DataFrame, paths: DataFrame) -> DataFrame:
-    """Title, description and first readable date of every captured thread page."""
+def read_threads(pages: DataFrame, paths: DataFrame, semantics: str = "reference") -> DataFrame:
+    """Title, description and first readable date of every captured thread page.
+
+    ``semantics`` decides what 12 AM in a date of the named custom form is: hour 12 as written, 0 as intended.
+    """
     names = ["thread_title_path", "thread_description_path", "thread_pubblication_date_path"]
     with_paths = spread_join(pages, paths.select("origin_id", *names), ["origin_id"], ["url"])
     joined = dom.page_frame(with_paths, ["origin_id", "url", *names])
@@ -95,7 +98,7 @@ def read_threads(pages: DataFrame, paths: DataFrame) -> DataFrame:
         js_trim(dom.selected_text(_nodes(), _texts(), F.col("__d"))).alias("description"),
         dom.selected_own_texts(_nodes(), _texts(), F.col("__p")).alias("__dates"),
     )
-    return fence(rows.withColumn("published_time", first_date(F.col("__dates"))).drop("__dates"))
+    return fence(rows.withColumn("published_time", first_date(F.col("__dates"), semantics)).drop("__dates"))
 
 
 def non_empty_threads(threads: DataFrame) -> DataFrame:
@@ -107,14 +110,14 @@ def unseen_threads(threads: DataFrame, source_thread: DataFrame) -> DataFrame:
 
 
 def thread_extract(
-    pages: DataFrame, paths: DataFrame, source_thread: DataFrame, as_of: Column
+    pages: DataFrame, paths: DataFrame, source_thread: DataFrame, as_of: Column, semantics: str = "reference"
 ) -> DataFrame:
     """Thread rows that are complete, not stored yet, and one per address.
 
     Pages are parsed where they are read and only the extracted rows are shuffled, by address, once
     for the comparison with the stored addresses and the pick.
     """
-    found = unseen_threads(non_empty_threads(read_threads(pages, paths)), source_thread)
+    found = unseen_threads(non_empty_threads(read_threads(pages, paths, semantics)), source_thread)
     once = pick_top(found, ["url"], [F.col("origin_id"), F.xxhash64("title", "description")])
     return once.withColumn("crawled_time", as_of).withColumn("updated_time", as_of)
 

@@ -282,7 +282,7 @@ def field_scores(n: Column, title: Column, as_of: Column, settings: Settings, se
             (F.when(head, -BIG).when(tag == "span", -MID).when(body, MID).otherwise(0)
              + dom.let(about, lambda a: description_score(a, title, good, bad, semantics))).alias("description"),
             (F.when(head, -BIG).when(tag == "span", MID).when(tag == "abbr", BIG).otherwise(0) + t["short"]
-             + date_score(dom.own_text(_texts(), n), as_of)).alias("date"),
+             + date_score(dom.own_text(_texts(), n), as_of, semantics)).alias("date"),
         )
 
     text = js_trim(F.when(tag == "div", kids_text).otherwise(dom.node_text(_texts(), n)))

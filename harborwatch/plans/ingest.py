@@ -13,15 +13,6 @@ from harborwatch.session import staged
 from harborwatch.sources import csv_files
 
 
-def _no_scheme(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
-def _plain(path: Column) -> Column:
-    """A text scan gives the path percent-encoded, a binary scan as it is."""
-    return _no_scheme(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
-
-
 def load_files(
     spark: SparkSession, meta: DataFrame, files: str | list[str], settings: Settings = DEFAULTS,
     semantics: str = "reference",
@@ -37,9 +28,10 @@ def load_files(
         empty = spark.createDataFrame([], TABLES["data"])
         return empty, empty, meta.limit(0)
     rows, broken = csv_files.read_records(spark, files)
-    rows = rows.withColumn("file", _plain(F.col("file")))
-    unreadable = meta.join(broken.select(_plain(F.col("file")).alias("__file")), _no_scheme(F.col("path")) == F.col("__file"), "left_semi")
-    by_path = meta.select(_no_scheme(F.col("path")).alias("file"), "_og_hashmd5")
+    plain, bare = csv_files.plain_path(F.col("file")), csv_files.no_scheme(F.col("path"))
+    rows = rows.withColumn("file", plain)
+    unreadable = meta.join(broken.select(plain.alias("__file")), bare == F.col("__file"), "left_semi")
+    by_path = meta.select(bare.alias("file"), "_og_hashmd5")
     cells = staged(
         spread_join(rows, by_path, ["file"], ["row_no"]).select("_og_hashmd5", "row_no", "cells"), "cells"
     )

@@ -18,12 +18,19 @@ _QUOTED = r'[^\S,]*+"' + _BODY + r'"[^\S,]*+'
 _CELL = rf"({_QUOTED}|[^,]*+),"
 _WHOLE_CELLS = rf'\G(?:{_QUOTED}|(?![^\S,]*+")[^,]*+),'
 
+#: The longest file that fits into one binary cell, with room for the row around it.
+WHOLE_BYTES = 2**31 - 2**16
+
 
 def fingerprint(files: DataFrame, as_of: Column, source_id: Column | None = None) -> DataFrame:
     """Metadata rows of files given as ``path, content``: MD5 of the raw bytes, base name, breach time."""
+    return _metadata(files, F.md5("content"), as_of, source_id)
+
+
+def _metadata(files: DataFrame, digest: Column, as_of: Column, source_id: Column | None) -> DataFrame:
     return files.select(
         F.col("path"),
-        F.md5("content").alias("_og_hashmd5"),
+        digest.alias("_og_hashmd5"),
         F.lit(None).cast("string").alias("name"),
         as_of.alias("breach_time"),
         F.element_at(F.split("path", "/"), -1).alias("og_filename"),
@@ -33,20 +40,57 @@ def fingerprint(files: DataFrame, as_of: Column, source_id: Column | None = None
     )
 
 
-def file_fingerprint(spark: SparkSession, path: str, as_of: Column, source_id: Column | None = None) -> DataFrame:
-    """Metadata rows of every file of a folder or glob (files up to 2 GB)."""
-    return fingerprint(spark.read.format("binaryFile").load(path), as_of, source_id)
+def no_scheme(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
-def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of every file with the start of the file split each was read from."""
-    return spark.read.text(path).select(
+def plain_path(path: Column) -> Column:
+    """A text scan gives the path percent-encoded, a binary scan as it is."""
+    return no_scheme(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+
+
+def file_fingerprint(
+    spark: SparkSession, path: str | list[str], as_of: Column, source_id: Column | None = None
+) -> DataFrame:
+    """Metadata rows of every file of a folder, glob or list.
+
+    A file that is too long for one binary cell (2 GB) is never read whole: in place of the MD5 of its bytes it
+    gets one of the hashes of its numbered lines, which equal lines in equal order share.
+    """
+    limit = min(int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(WHOLE_BYTES))), WHOLE_BYTES)
+    files = spark.read.format("binaryFile").load(path)
+    small = fingerprint(files.filter(F.col("length") <= limit), as_of, source_id)
+    large = files.filter(F.col("length") > limit).select("path")
+    if large.isEmpty():  # names and lengths only, no file is opened
+        return small
+    by_file = large.withColumn("__file", no_scheme(F.col("path"))).join(_line_digests(spark, path, limit), "__file")
+    return small.unionByName(_metadata(by_file, F.col("__digest"), as_of, source_id))
+
+
+def _line_digests(spark: SparkSession, path: str | list[str], above: int) -> DataFrame:
+    """``__file, __digest`` of every file longer than ``above`` bytes; the scan skips the others by their length."""
+    scan = spark.read.text(path).filter(F.col("_metadata.file_size") > above)
+    numbered = _number(_lines(scan).withColumn("at", F.monotonically_increasing_id()), dense=True)
+    sums = numbered.groupBy("file").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_no", "line")).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit(1), "row_no", "line")).alias("b"),
+    )
+    return sums.select(plain_path(F.col("file")).alias("__file"), F.md5(F.concat_ws(":", "n", "a", "b")).alias("__digest"))
+
+
+def _lines(scan: DataFrame) -> DataFrame:
+    return scan.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
     )
 
 
+def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of every file with the start of the file split each was read from."""
+    return _lines(spark.read.text(path))
+
+
 def _before(*by: str) -> Window:
     return Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -37,7 +37,28 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("html", T.StringType()),
 ])
-PROGRESS_SCHEMA = T.StructType([
+LIST_PAGE_SCHEMA = T.StructType([
+    T.StructField("origin_id", T.LongType()),
+    T.StructField("page_no", T.LongType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("html", T.StringType()),
+])
+LINK_SCHEMA = T.StructType([
+    T.StructField("origin_id", T.LongType()),
+    T.StructField("page_no", T.LongType()),
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("link", T.StringType()),
+])
+NEXT_SCHEMA = T.StructType([
+    T.StructField("origin_id", T.LongType()),
+    T.StructField("page_no", T.LongType()),
+    T.StructField("next_url", T.StringType()),
+])
+LAST_URL_SCHEMA = T.StructType([
+    T.StructField("origin_id", T.LongType()),
+    T.StructField("last_url", T.StringType()),
+])
+PROGRESS_SCHEMA =T.StructType([
     T.StructField("_id_origin", T.LongType()),
     T.StructField("message_id", T.LongType()),
 ])
@@ -111,14 +132,16 @@ def published_checkpoint(spark: SparkSession, origin: DataFrame, out_dir: str) -
     return advance_checkpoint(origin, stored(spark, out_dir, "progress", PROGRESS_SCHEMA))
 
 
-def stream_pages(stream: DataFrame, paths: DataFrame, out_dir: str, checkpoint: str, as_of: Column) -> StreamingQuery:
+def stream_pages(
+    stream: DataFrame, paths: DataFrame, out_dir: str, checkpoint: str, as_of: Column, semantics: str = "reference"
+) -> StreamingQuery:
     """Captured thread pages to ``source`` and ``source_thread``, one row per address."""
     prepare(stream.sparkSession, out_dir, {"source": TABLES["source"], "source_thread": TABLES["source_thread"]})
 
     def each(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
         known = stored(spark, out_dir, "source_thread", TABLES["source_thread"], before=no)
-        found = extract.thread_extract(batch, paths, known, as_of)
+        found = extract.thread_extract(batch, paths, known, as_of, semantics)
         # Parse once: both tables come from the written rows.
         write_batch(found, out_dir, "extracted", no)
         rows = spark.read.schema(found.schema).parquet(f"{out_dir}/extracted/batch={no}")
@@ -129,6 +152,36 @@ def stream_pages(stream: DataFrame, paths: DataFrame, out_dir: str, checkpoint:
     return _run(stream, checkpoint, each)
 
 
+def stream_list_pages(
+    stream: DataFrame, paths: DataFrame, origin: DataFrame, out_dir: str, checkpoint: str, settings: Settings = DEFAULTS
+) -> StreamingQuery:
+    """Captured list pages to ``links``, ``next_pages`` and ``last_urls``; a link is stored once per origin.
+
+    Links end at any ``last_url`` that ``origin`` or an earlier batch knows, so the pages of one crawl of an origin
+    must land together. Each batch's rows of ``last_urls`` are the origin's new value.
+    """
+    prepare(stream.sparkSession, out_dir, {"links": LINK_SCHEMA, "next_pages": NEXT_SCHEMA, "last_urls": LAST_URL_SCHEMA})
+
+    def each(batch: DataFrame, no: int) -> None:
+        spark = batch.sparkSession
+        moved = stored(spark, out_dir, "last_urls", LAST_URL_SCHEMA, before=no)
+        known = origin.select("origin_id", "last_url").unionByName(moved)
+        links, forward, last = extract.thread_list_scrape(batch, paths, known, settings.link_offset)
+        once = links.groupBy("origin_id", "link").agg(F.min(F.struct("page_no", "pos")).alias("at"))
+        before = stored(spark, out_dir, "links", LINK_SCHEMA, before=no).select("origin_id", "link")
+        fresh = once.join(before, ["origin_id", "link"], "left_anti")
+        write_batch(fresh.select("origin_id", "at.page_no", "at.pos", "link"), out_dir, "links", no)
+        write_batch(forward.distinct(), out_dir, "next_pages", no)
+        write_batch(last.groupBy("origin_id").agg(F.min("last_url").alias("last_url")), out_dir, "last_urls", no)
+
+    return _run(stream, checkpoint, each)
+
+
+def _names(files: DataFrame) -> list[str]:
+    """The paths of at most FILES_PER_BATCH files; signs that a path pattern would read are escaped."""
+    return [re.sub(r"([\\[\]{}*?])", r"\\\1", r.path) for r in files.select("path").collect()]
+
+
 def stream_files(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, as_of: Column, settings: Settings = DEFAULTS,
     semantics: str = "reference", register: str = "after_load",
@@ -141,22 +194,20 @@ def stream_files(
         raise ValueError("register must be after_load or before_load")
     files = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
-        .option("maxFilesPerTrigger", FILES_PER_BATCH).load(in_dir)
+        .option("maxFilesPerTrigger", FILES_PER_BATCH).load(in_dir).select("path")
     )
     prepare(spark, out_dir, {"database_metadata": META_SCHEMA, "data": TABLES["data"], "rejected": TABLES["data"]})
 
     def each(batch: DataFrame, no: int) -> None:
         session = batch.sparkSession
-        wanted = batch.filter(supported_filetype(F.col("path"), settings.filetypes))
-        meta = csv_files.fingerprint(wanted, as_of)
+        wanted = _names(batch.filter(supported_filetype(F.col("path"), settings.filetypes)))
+        meta = csv_files.file_fingerprint(session, wanted, as_of) if wanted else session.createDataFrame([], META_SCHEMA)
         known = stored(session, out_dir, "database_metadata", META_SCHEMA, before=no)
         write_batch(records.new_files(meta, known), out_dir, "staged_files", no)
         fresh = session.read.schema(META_SCHEMA).parquet(f"{out_dir}/staged_files/batch={no}")
         if register == "before_load":
             write_batch(fresh, out_dir, "database_metadata", no)
-        # At most FILES_PER_BATCH names; signs that a path pattern would read are escaped.
-        names = [re.sub(r"([\\[\]{}*?])", r"\\\1", r.path) for r in fresh.select("path").collect()]
-        ok, bad, unreadable = load_files(session, fresh, names, settings, semantics)
+        ok, bad, unreadable = load_files(session, fresh, _names(fresh), settings, semantics)
         write_batch(ok, out_dir, "data", no)
         write_batch(bad, out_dir, "rejected", no)
         if register == "after_load":

@@ -132,6 +132,25 @@ def test_future_date_scores_low(spark):
     assert field_paths(spark, html)["date"] == ("html body span", 50 + 50 + 50 - 100 + 50)
 
 
+def test_midnight_in_the_date_score(spark):
+    df = spark.createDataFrame([(1, "t", "<body><span>1 January, 2024 - 12:05 AM</span></body>")], "origin_id long, link_title string, html string")
+    fr = dom.page_frame(df, ["origin_id", "link_title"])
+    morning = F.to_timestamp(F.lit("2024-01-01 06:00:00"))
+
+    def score(semantics):
+        rows = infer.thread_page_paths(fr, ["origin_id"], morning, semantics=semantics).filter("role = 'date'").collect()
+        return rows[0]["score"]
+
+    # As written it is noon, after the time of the capture: -100 in place of 50.
+    assert score("intended") - score("reference") == 150
+
+
+def test_midnight_in_an_extracted_thread(spark):
+    html = THREAD.format(title="One", date="14 March, 2023 - 12:05 AM", body="text")
+    got = {s: extract_all(spark, [("u1", html)], semantics=s).collect()[0]["published_time"].hour for s in ("reference", "intended")}
+    assert got == {"reference": 12, "intended": 0}
+
+
 def test_page_without_candidates(spark):
     assert field_paths(spark, "<body><i>x</i></body>")["title"][0] == ""
 
@@ -204,14 +223,14 @@ def test_links_do_not_depend_on_salting(spark):
 THREAD = '<h1> {title} </h1><abbr>{date}</abbr><div class="m"><p>{body}</p><p>more</p></div>'
 
 
-def extract_all(spark, pages, known=()):
+def extract_all(spark, pages, known=(), **kw):
     df = spark.createDataFrame([(1, u, h) for u, h in pages], "origin_id long, url string, html string")
     paths = spark.createDataFrame(
         [(1, "h1", "div.m p", "abbr")],
         "origin_id long, thread_title_path string, thread_description_path string, thread_pubblication_date_path string",
     )
     stored = spark.createDataFrame([(u,) for u in known], "url string")
-    return extract.thread_extract(df, paths, stored, as_of())
+    return extract.thread_extract(df, paths, stored, as_of(), **kw)
 
 
 def test_thread_extract(spark):

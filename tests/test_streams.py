@@ -38,7 +38,7 @@ def test_messages(spark, tmp_path):
           ("-1000000000001", 1, "x.csv"), ("unknown", 9, "x.csv")])
     assert run() == ([1, 3], {1: 5, 2: 1})
     assert run() == ([1, 3], {1: 5, 2: 1})
-    land([("ch", 3, "A.CSV"), ("ch", 6, "b.csv"), ("ch", 7, None)])
+    land([("ch", 3, "A.CSV"), ("ch", 4, "late.csv"), ("ch", 6, "b.csv"), ("ch", 7, None)])  # 4 isn't stored, but late
     assert run() == ([1, 3, 6], {1: 7, 2: 1})
 
 
@@ -85,6 +85,54 @@ def test_files(spark, tmp_path):
     assert run() == ([("a@example.com", "neo"), ("b@example.com", "trinity")], ["a.csv", "e [f]{1}.csv"])
 
 
+def test_files_longer_than_a_binary_cell(spark, tmp_path):
+    import hashlib
+
+    from harborwatch.sources import csv_files
+
+    src, out, state = (tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/state")
+    src.mkdir()
+    texts = {"a.csv": "m,u\na@example.com,neo\n", "b c+.csv": "m,u\n" + "".join(f"x{i}@example.com,ann{i}\n" for i in range(9))}
+    texts["turned.csv"] = texts["b c+.csv"].replace("x1@example.com,ann1\nx2@example.com,ann2", "x2@example.com,ann2\nx1@example.com,ann1")
+    texts["same.csv"] = texts["b c+.csv"]
+    for name, text in texts.items():
+        (src / name).write_text(text)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "60")
+    try:
+        got = {r["og_filename"]: r["_og_hashmd5"] for r in csv_files.file_fingerprint(spark, str(src), as_of()).collect()}
+        streams.stream_files(spark, str(src), out, state, as_of()).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert set(got) == set(texts)
+    assert got["a.csv"] == hashlib.md5(texts["a.csv"].encode()).hexdigest()
+    assert got["b c+.csv"] == got["same.csv"] != got["turned.csv"]
+    data = streams.stored(spark, out, "data", TABLES["data"])
+    assert data.count() == 1 + 9 + 9 and data.select("_id_data").distinct().count() == 19
+
+
+def test_list_pages(spark, tmp_path):
+    src, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    paths = spark.createDataFrame([(1, "ul", "a", "b.next")], "origin_id long, table_body_path string, thread_link_path string, next_page_path string")
+    origin = spark.createDataFrame([(1, None)], "origin_id long, last_url string")
+
+    def land(first):
+        items = "".join(f'<li><a href="https://f.example/t/{n}">thread {n}</a></li>' for n in range(first, 0, -1))
+        rows = [(1, 0, "https://f.example/list", f"<ul>{items}</ul>")]
+        spark.createDataFrame(rows, streams.LIST_PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(streams.LIST_PAGE_SCHEMA).parquet(src)
+        streams.stream_list_pages(stream, paths, origin, out, state).awaitTermination()
+        links = streams.stored(spark, out, "links", streams.LINK_SCHEMA)
+        last = streams.stored(spark, out, "last_urls", streams.LAST_URL_SCHEMA)
+        return sorted(int(r["link"].rsplit("/", 1)[1]) for r in links.collect()), sorted(r["last_url"][-2:] for r in last.collect())
+
+    land(8)
+    assert run() == ([1, 2, 3, 4, 5, 6, 7, 8], ["/3"])
+    land(10)  # up to thread 3, which was known; the stored ones aren't repeated
+    assert run() == ([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], ["/3", "/5"])
+
+
 def test_register_order_is_checked(spark, tmp_path):
     import pytest
 
