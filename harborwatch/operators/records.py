@@ -107,8 +107,11 @@ def data_rows(records: DataFrame, key: str = "_og_hashmd5") -> DataFrame:
     return records.select(F.xxhash64(key, "row_no").alias("_id_data"), *STANDARD_FIELDS, "misc", F.col(key).alias("_og_hashmd5"))
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """Append ``data`` rows as Parquet, in folders by the first two digits of the file hash."""
-    records.withColumn("hash_prefix", F.left("_og_hashmd5", F.lit(2))).write.mode("append").partitionBy(
-        "hash_prefix"
-    ).parquet(path)
+def append_records(records: DataFrame, path: str, load: str) -> None:
+    """Add ``data`` rows as Parquet in a folder of the named load, below it by the first two digits of the file hash.
+
+    A load that is run again replaces its own rows, so none is stored twice.
+    """
+    records.withColumn("hash_prefix", F.left("_og_hashmd5", F.lit(2))).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy("hash_prefix").parquet(f"{path}/load={load}")
