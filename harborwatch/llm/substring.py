@@ -8,7 +8,7 @@
    once are streamed against the index: a window is matched backwards, word by word, as long as its suffix-array interval
    holds two places, which is its matching statistic; windows whose statistic reaches the threshold are repeated.
    A key with very many segments (a passage in a third of all documents, in front of as many different sentences) isn't
-   dealt to one shard: its windows are, each by the hash of its first and last words.
+   dealt to one shard: its windows are counted by their own hash, so that no task gathers different windows of a key.
 3. Removal. The findings are a sorted hash array in the shared folder that tasks map, so every text is only read, cut
    into the same segments and looked up; texts are never shuffled.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.llm.store import HashStore, new_folder, write_store
-from harborwatch.llm.words import Prefix, Words, mix, signed, word_chunks
+from harborwatch.llm.words import Prefix, Words, signed, word_chunks
 
 U64 = np.uint64
 WINDOW = 35
@@ -40,7 +40,6 @@ LONGEST = 32
 #: Words of a shard's text, about, and segments of a key that are still dealt together.
 SHARD_WORDS = 300_000
 HOT_SEGMENTS = 200
-EDGE_WORDS = 4
 
 
 class Segments:
@@ -221,7 +220,9 @@ SEARCH, WINDOWS = 1 << 62, 1 << 61
 
 
 def _contested_rows(texts: DataFrame, store: HashStore, window: int) -> DataFrame:
-    """(deal, id, n, words): segments to be searched with the key they are dealt by, and windows of hot keys."""
+    """(deal, id, n, words): segments to be searched with the key they are dealt by, and windows of hot keys, which are
+    dealt by their own hash and need no words."""
+    names = ["deal", "id", "n", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,40 +232,23 @@ def _contested_rows(texts: DataFrame, store: HashStore, window: int) -> DataFram
                 state = np.zeros(len(order), dtype=np.int64)
                 state[order] = store.find(s.hash[order])
                 short = (words.hash >> U64(32)).astype(np.uint32)
-                deal, ids, n, starts, lengths = [], [], [], [], []
                 some = np.flatnonzero((state & SEARCH) > 0)
                 if len(some):
                     _, at, count = np.unique(s.hash[some], return_index=True, return_counts=True)
                     at = some[at]
-                    deal.append(s.key[at])
-                    ids.append(s.hash[at])
-                    n.append(count)
-                    starts.append(s.start[at])
-                    lengths.append(s.windows[at] + window - 1)
+                    ends = s.start[at] + s.windows[at] + window - 1
+                    pieces = [short[a:b].tobytes() for a, b in zip(s.start[at].tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(s.key[at])), pa.array(signed(s.hash[at])), pa.array(count), pa.array(pieces, pa.binary())], names)
                 hot = np.flatnonzero((state & WINDOWS) > 0)
                 if len(hot):
-                    owner, first, hashes = s.window_hashes(hot)
-                    some, at, count = np.unique(hashes, return_index=True, return_counts=True)
-                    first = first[at]
-                    ends = s.prefix.hash(first, first + EDGE_WORDS) + s.prefix.hash(first + window - EDGE_WORDS, first + window)
-                    deal.append(mix(s.key[owner[at]] ^ ends))
-                    ids.append(some)
-                    n.append(count)
-                    starts.append(first)
-                    lengths.append(np.full(len(at), window))
-                if deal:
-                    starts, lengths = np.concatenate(starts), np.concatenate(lengths)
-                    pieces = [short[a : a + k].tobytes() for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(np.concatenate(deal))), pa.array(signed(np.concatenate(ids))), pa.array(np.concatenate(n).astype(np.int64)), pa.array(pieces, pa.binary())],
-                        ["deal", "id", "n", "words"],
-                    )
+                    some, count = np.unique(s.window_hashes(hot)[2], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(some)), pa.array(signed(some)), pa.array(count), pa.nulls(len(some), pa.binary())], names)
 
     return texts.mapInArrow(run, "deal long, id long, n long, words binary")
 
 
 def _search_shards(rows: DataFrame, window: int, shards: int) -> DataFrame:
-    """(id, mask) of segments and windows that repeat, by the index of each shard."""
+    """(id, mask) of segments that repeat, by the index of each shard, and of windows (without words), by their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(ids: list, n: list, words: list) -> pa.RecordBatch:
@@ -273,6 +257,11 @@ def _search_shards(rows: DataFrame, window: int, shards: int) -> DataFrame:
 
         ids, n, words, size, now = [], [], [], 0, None
         for batch in batches:
+            windows = batch.column(3).is_null()
+            if windows.true_count:
+                hot = batch.filter(windows)
+                yield pa.RecordBatch.from_arrays([hot.column(1), pa.array(np.ones(len(hot), np.int64))], ["id", "mask"])
+                batch = batch.filter(batch.column(3).is_valid())
             for d, i, k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if size > 4 * SHARD_WORDS and d != now:  # keys stay whole
                     yield shard(ids, n, words)
@@ -285,7 +274,8 @@ def _search_shards(rows: DataFrame, window: int, shards: int) -> DataFrame:
         if ids:
             yield shard(ids, n, words)
 
-    dealt = rows.select("deal", "id", "n", "words").repartition(shards, "deal").sortWithinPartitions("deal")
+    # Equal windows have one id, so a window's count says all; those that stand once go before the shuffle.
+    dealt = rows.select("deal", "id", "n", "words").filter("words is not null or n > 1").repartition(shards, "deal").sortWithinPartitions("deal")
     return dealt.mapInArrow(run, "id long, mask long").filter("mask != 0")
 
 

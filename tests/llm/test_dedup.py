@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from harborwatch.llm import graph, near, substring, vectors
 
@@ -70,6 +71,25 @@ def test_removal_equals_a_plain_count(spark, monkeypatch, hot, window):
     assert sum(r[2] for r in got) > 0
 
 
+def test_no_deal_grows_with_a_template_of_one_varying_word(spark, monkeypatch):
+    rng = random.Random(5)
+    head, tail = ([f"{side}{k}" for k in range(17)] for side in "ht")
+    rows = [(k, " ".join([*head, f"id{k}", *tail, *(f"r{rng.randint(0, 10**9)}" for _ in range(6))])) for k in range(400)]
+    rows += [(400 + k, rows[k][1] + " end") for k in range(5)]
+    largest, search = [], substring._search_shards
+
+    def watched(dealt, window, shards):
+        sizes = dealt.groupBy("deal").agg(F.countDistinct("id").alias("ids"))
+        largest.append(sizes.agg(F.max("ids")).first()[0])
+        return search(dealt, window, shards)
+
+    monkeypatch.setattr(substring, "_search_shards", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, substring.removal_digests(docs, 35).collect()))
+    assert got == sorted(plain_removal(rows, 35)) and sum(r[2] > 0 for r in got) == 10
+    assert largest[0] <= substring.HOT_SEGMENTS
+
+
 def test_texts_without_repeats_stay_as_they_are(spark):
     passage = " ".join(f"p{k}" for k in range(20))
     rows = [(1, f"one  two\n{passage} tail", "x"), (2, f"{passage} other", "y"), (3, "clean  text\n", "z"), (4, None, "w")]
