@@ -5,7 +5,8 @@ words. Pairs are counted by (number before, number): tasks count a stretch of te
 shards by a hash of the pair, so a frequent word spreads over all shards and arrives as one row a run, not a row a
 token. A shard merges its runs into one sorted array of pairs with counts, and sends on, by ranges of word numbers,
 how many different words stand before each word (continuations) and how many pairs after it were seen once, twice and
-more. The driver gets a few sums a shard. Scoring maps the arrays and looks sorted keys up; nothing is broadcast.
+more. A range's rows are summed in two steps, first those of some shards at a time, and each is added to the range's
+arrays as it comes, so neither a task's work nor its memory grows with all pairs of a range. The driver gets a few sums a shard. Scoring maps the arrays and looks sorted keys up; nothing is broadcast.
 
 The order is two: the model's store grows with the distinct pairs of the corpus, and so does the work.
 
@@ -95,6 +96,27 @@ def _by_value(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield now, rows
 
 
+def _kind_type(r: int):
+    """Of the sums of a range (at most as many as there are words), and of the kinds of all pairs (range -1)."""
+    return np.int64 if r < 0 else np.uint32
+
+
+def _range_sums(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(range, sums by name) of rows (s, t, name, k, c) sorted by s and t, for each (s, t). A row is added as it comes."""
+    now, sums = None, {}
+    for batch in batches:
+        for r, t, name, k, c in zip(*batch.columns, strict=True):
+            r, t = r.as_py(), t.as_py()
+            if now != (r, t):
+                if now:
+                    yield now[0], sums
+                now, size = (r, t), min(RANGE, words + 1 - r * RANGE)
+                sums = {"pairs": np.zeros(6, np.int64)} if r < 0 else {"before": np.zeros(size, np.int64), "after": np.zeros(size * 3, np.int64)}
+            sums[name.as_py()][_unplanes(k.as_py(), np.uint32)] += _unplanes(c.as_py(), _kind_type(r))
+    if now:
+        yield now[0], sums
+
+
 class Numbering:
     """Word hashes to numbers and counts, by the sorted array of all word hashes."""
 
@@ -264,6 +286,7 @@ def train(docs: DataFrame) -> Model:
     firsts = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(1 << store.bits)])]).tolist()
     numbering = Numbering(store, firsts)
     bits = shard_bits(total, SHARD_TOKENS)
+    salts = 1 << (bits + 1) // 2  # of a range's rows: the first sums take some shards, the second these sums, about equally many
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -296,33 +319,43 @@ def train(docs: DataFrame) -> Model:
             keys, counts = merge_runs([(r["k"], r["c"]) for r in rows])
             put(f"{folder}/pairs/{shard}.records", [counts.astype(np.uint32).tobytes()])
             put(f"{folder}/pairs/{shard}.keys", [keys.tobytes()])
-            out = [(-1, "pairs", _planes(np.bincount(np.minimum(counts, 5), minlength=6).astype(np.int64)), b"")]
+            kinds = np.bincount(np.minimum(counts, 5), minlength=6)
+            out = [(-1, "pairs", np.arange(6, dtype=np.uint32), kinds.astype(np.int64))]
             after, word = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-            for r, ids, n in _ranges(word, np.ones(len(word), np.int64)):
-                out.append((r, "before", _planes(ids), _planes(n)))
-            kind = np.minimum(counts, 3) - 1
-            for r, ids, n in _ranges(after * 3 + kind, np.ones(len(after), np.int64), 3):
-                out.append((r, "after", _planes(ids), _planes(n)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [o[3] for o in out])], schema=pa.schema([("s", pa.int64()), ("name", pa.string()), ("k", pa.binary()), ("c", pa.binary())]))
+            out += [(r, "before", ids, n) for r, ids, n in _ranges(word)]
+            out += [(r, "after", ids, n) for r, ids, n in _ranges(after * 3 + np.minimum(counts, 3) - 1, 3)]
+            yield sums_batch(out, shard % salts)
+
+    def sums_batch(rows: list[tuple[int, str, np.ndarray, np.ndarray]], salt: int) -> pa.RecordBatch:
+        r, name, ids, n = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array(r, pa.int64()), pa.array([salt] * len(rows), pa.int32()), pa.array(name, pa.string()),
+            pa.array([_planes(x) for x in ids], pa.binary()), pa.array([_planes(x) for x in n], pa.binary()),
+        ], ["s", "t", "name", "k", "c"])
+
+    def sum_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, sums in _range_sums(batches, words):
+            for name, n in sums.items():
+                ids = np.flatnonzero(n)
+                if len(ids):
+                    yield sums_batch([(r, name, ids.astype(np.uint32), n[ids].astype(_kind_type(r)))], 0)
 
     def sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, rows in _by_value(batches):
+        for r, sums in _range_sums(batches, words):
             if r < 0:
-                total_kinds = sum(_unplanes(x["k"], np.int64) for x in rows)
-                yield pa.RecordBatch.from_arrays([pa.array(["pairs"]), pa.array([total_kinds.tolist()], pa.list_(pa.int64()))], ["name", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(["pairs"]), pa.array([sums["pairs"].tolist()], pa.list_(pa.int64()))], ["name", "n"])
                 continue
-            size = min(RANGE, words + 1 - r * RANGE)
-            seen, kinds = np.zeros(size, np.int64), np.zeros(size * 3, np.int64)
-            for x in rows:
-                (seen if x["name"] == "before" else kinds)[_unplanes(x["k"], np.uint32)] += _unplanes(x["c"], np.uint32)
+            seen = sums["before"]
             put(f"{folder}/before-{r}", [seen.astype(np.uint32).tobytes()])
-            put(f"{folder}/after-{r}", [kinds.astype(np.uint32).tobytes()])
+            put(f"{folder}/after-{r}", [sums["after"].astype(np.uint32).tobytes()])
             n = [*np.bincount(np.minimum(seen, 5), minlength=6).tolist(), int(seen.sum())]
             yield pa.RecordBatch.from_arrays([pa.array(["words"]), pa.array([n], pa.list_(pa.int64()))], ["name", "n"])
 
     runs = texts.mapInArrow(count_pairs, "s int, k binary, c binary").repartition(1 << bits, "s").sortWithinPartitions("s")
-    sums = runs.mapInArrow(merge_pairs, "s long, name string, k binary, c binary")
-    sums = sums.repartition(max(8, 2 * (words // RANGE + 1)), "s").sortWithinPartitions("s").mapInArrow(sum_ranges, "name string, n array<long>")
+    fields = "s long, t int, name string, k binary, c binary"
+    ranges = words // RANGE + 1
+    some = runs.mapInArrow(merge_pairs, fields).repartition(max(8, 2 * ranges * salts), "s", "t").sortWithinPartitions("s", "t").mapInArrow(sum_some, fields)
+    sums = some.repartition(max(8, 2 * ranges), "s").sortWithinPartitions("s", "t").mapInArrow(sum_ranges, "name string, n array<long>")
     kinds = {"pairs": np.zeros(7, np.int64), "words": np.zeros(7, np.int64)}
     for r in sums.collect():  # a row for each range of a million words
         kinds[r["name"]][: len(r["n"])] += np.array(r["n"])
@@ -333,8 +366,8 @@ def train(docs: DataFrame) -> Model:
     return Model(folder, numbering, bits, words, total, documents, pair_d, word_d, continuations, float(spread))
 
 
-def _ranges(keys: np.ndarray, weights: np.ndarray, per: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(range, keys from the range's beginning, sums) of keys that count ``per`` to a word number."""
+def _ranges(keys: np.ndarray, per: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, keys from the range's beginning, how often) of keys that count ``per`` to a word number."""
     keys = np.sort(keys)
     if not len(keys):
         return

@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,32 @@ def test_scores_equal_a_plain_model(spark):
     assert all(abs(g[k] - w[k]) < 1e-6 for g, w in zip(got, want, strict=True) for k in (5, 6))
 
 
+def test_a_range_of_words_is_summed_row_by_row():
+    words, entries = 1 << 16, np.arange(1 << 16, dtype=np.uint32)
+    ones = np.ones(len(entries), np.uint32)
+    size = entries.nbytes + ones.nbytes
+
+    def batches():
+        for k in range(100):
+            row = [[0], [k // 50], ["before"], [lm._planes(entries)], [lm._planes(ones)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["s", "t", "name", "k", "c"])
+
+    tracemalloc.start()
+    found = [(r, int(sums["before"].min()), int(sums["before"][:-1].max())) for r, sums in lm._range_sums(batches(), words - 1)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 50, 50), (0, 50, 50)]
+    assert peak < 20 * size  # all rows of a range are 100 * size
+
+
+def test_scores_do_not_depend_on_the_number_of_shards(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(60))) for k in range(80)], "doc_id long, text string")
+    few = sorted(map(tuple, lm.score_held_out(docs).collect()))
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 100)
+    assert sorted(map(tuple, lm.score_held_out(docs).collect())) == few
+
+
 def test_model_without_training_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_held_out(empty).count() == 0
