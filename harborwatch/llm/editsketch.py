@@ -25,7 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborwatch.llm.words import mix
+from harborwatch.llm.graph import Joined, components, group_pairs
+from harborwatch.llm.near import TILE, _whole_groups, group_starts
+from harborwatch.llm.store import BlobStore, new_folder, write_blobs
+from harborwatch.llm.words import mix, signed
+from harborwatch.session import staged
 
 U64 = np.uint64
 PERIOD = 4096
@@ -33,6 +37,8 @@ SLOTS = 128
 #: Characters that are walked at once; with fewer walks than FEW left, each goes on by itself.
 SLICE = 6_000_000
 FEW = 48
+#: Pairs that are compared at once.
+PAIRS = 50_000
 
 
 def _steps() -> np.ndarray:
@@ -262,15 +268,83 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _least_equal(least: float) -> int:
+    """Equal slots that a likeness of ``least`` takes; more than there are where no pair reaches it."""
+    if least <= 0:
+        raise ValueError("a likeness of 0 links everything")
+    reach = np.clip((np.arange(SLOTS + 1) / SLOTS - 1 / 256) / (1 - 1 / 256), 0.0, 1.0) >= least
+    return int(np.argmax(reach)) if reach.any() else SLOTS + 1
+
+
+def _print_links(tiles: DataFrame, prints: BlobStore, edges: np.ndarray, need: int) -> DataFrame:
+    """(u, v, likeness): classes with ``need`` equal slots or more, enough of them to join all that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = Joined()
+        keys = ["k", "value", "low", "high"]
+        for rows in _whole_groups(batches, keys):
+            classes, which = np.unique(rows["a"].view(np.uint64), return_inverse=True)
+            table = np.stack([prints.get(int(c), np.uint8) for c in classes])
+            u, v = [], []
+            for left, right in group_pairs(group_starts(rows, keys), len(which), PAIRS):
+                # In a pair of different tiles only what stands in different ones; the same tile is a task of its own.
+                apart = (rows["low"][left] == rows["high"][left]) | (rows["tile"][left] != rows["tile"][right])
+                left, right = left[apart], right[apart]
+                x, y = which[left], which[right]
+                equal = table[x] == table[y]
+                # The first band that two classes share is where they are compared.
+                first = np.argmax(np.logical_and.reduceat(equal, edges[:-1], axis=1), axis=1) if len(x) else x
+                matches = equal.sum(axis=1)
+                found = np.flatnonzero((first == rows["k"][left]) & (matches >= need))
+                found = found[np.argsort(-matches[found], kind="stable")]
+                one, two = classes[x[found]], classes[y[found]]
+                for c, d in zip(one.tolist(), two.tolist(), strict=True):
+                    if joined.join(c, d):
+                        u.append(c)
+                        v.append(d)
+            if u:
+                a = np.stack([prints.get(c, np.uint8) for c in u])
+                b = np.stack([prints.get(d, np.uint8) for d in v])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(u, U64))), pa.array(signed(np.array(v, U64))), pa.array(likeness(a, b))], ["u", "v", "likeness"])
+
+    return tiles.mapInArrow(run, "u long, v long, likeness double")
+
+
 def near_fingerprints(prints: DataFrame, least: float = 0.8, band: int = 8) -> DataFrame:
-    """(doc_id, near_id, likeness): bit-sampled banding and verification. Fingerprints that share ``band`` sampled
-    bytes meet in a bucket and are compared with the bucket's fingerprint of least id, so a bucket of any size gives
-    as many pairs as members; equal fingerprints are one class, by its least doc_id."""
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    bands = F.array(*[F.concat_ws(":", F.lit(k), *[F.substring("fingerprint", 1 + 2 * ((k * 37 + j * 29) % SLOTS), 2) for j in range(band)]) for k in range(16)])
-    rows = classes.withColumn("bucket", F.explode(bands))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = rows.join(heads, "bucket").filter(F.col("doc_id") != F.col("head.doc_id")).select("doc_id", "fingerprint", F.col("head.doc_id").alias("near_id"), F.col("head.fingerprint").alias("near")).distinct()
-    equal = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, k: n + (F.substr("fingerprint", 2 * k + 1, F.lit(2)) == F.substr("near", 2 * k + 1, F.lit(2))).cast("int"))
-    found = pairs.withColumn("likeness", F.greatest(F.lit(0.0), (equal / F.lit(SLOTS) - 1 / 256) / (1 - 1 / 256)))
-    return found.filter(F.col("likeness") >= least).select("doc_id", "near_id", "likeness")
+    """(doc_id, near_id, likeness): links of likeness ``least`` or more, enough of them to join all that are linked.
+
+    Equal fingerprints are one class, by its least doc_id; ``fingerprint_groups`` gives the members. The slots are cut
+    into one band more than a pair may differ in, of ``band`` bytes at most, so that a pair of likeness ``least`` shares
+    a whole band: none is missed. All pairs of a bucket are compared, tile by tile, each in the first band it shares.
+    Rows of null doc_id or fingerprint link with nothing. Which links join a group may depend on the partitions.
+    """
+    spark = prints.sparkSession
+    need = _least_equal(least)
+    edges = np.linspace(0, SLOTS, max(SLOTS - need + 1, -(-SLOTS // band)) + 1).astype(int)
+    classes = prints.filter("doc_id is not null and fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
+    classes = staged(classes.select(F.xxhash64("fingerprint").alias("a"), "id", "fingerprint"), "prints")
+    values = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.substring("fingerprint", int(2 * a) + 1, int(2 * (b - a)))).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    banded = classes.select("a", F.explode(F.array(*values)).alias("at")).select("a", "at.k", "at.value")
+    shared = banded.groupBy("k", "value").agg(F.count("*").alias("members")).filter("members > 1")
+    rows = staged(banded.join(shared, ["k", "value"]), "print-bands")
+    needed = classes.join(rows.select("a").distinct(), "a", "left_semi")
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), needed.count() // 5_000)
+    store = write_blobs(needed.select("a", F.unhex("fingerprint").alias("print")), new_folder(spark, "prints"), "a", "print", parts)
+    tiles = rows.withColumn("parts", F.ceil(F.col("members") / TILE).cast("int"))
+    tiles = tiles.withColumn("tile", F.pmod(F.xxhash64("a"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.select("k", "value", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "a")
+    tiles = tiles.repartition("k", "value", "low", "high").sortWithinPartitions("k", "value", "low", "high", "a")
+    links = staged(_print_links(tiles, store, edges, need), "print-links")
+    ids = classes.select("a", "id")
+    found = links.join(ids.select(F.col("a").alias("u"), F.col("id").alias("x")), "u").join(ids.select(F.col("a").alias("v"), F.col("id").alias("y")), "v")
+    return found.filter("x != y").select(F.greatest("x", "y").alias("doc_id"), F.least("x", "y").alias("near_id"), "likeness")
+
+
+def fingerprint_groups(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): every doc_id that isn't null, once, and the least doc_id that links of ``least`` reach."""
+    known = prints.filter("doc_id is not null").select("doc_id", "fingerprint").distinct()
+    classes = known.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("v"))
+    equal = known.join(classes, "fingerprint").select(F.col("doc_id").alias("u"), "v")
+    links = near_fingerprints(prints, least).select(F.col("doc_id").alias("u"), F.col("near_id").alias("v"))
+    roots = components(links.unionByName(equal))
+    return known.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

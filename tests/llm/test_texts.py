@@ -102,6 +102,53 @@ def test_near_fingerprints(spark):
     assert [(r.doc_id, r.near_id) for r in editsketch.near_fingerprints(prints).collect()] == [(3, 1)]
 
 
+def slots_changed(rng, base, at):
+    out = base.copy()
+    out[at] ^= rng.integers(1, 256, len(at)).astype(np.uint8)
+    return out
+
+
+def test_links_beside_an_unlike_bucket_head(spark):
+    rng = np.random.default_rng(4)
+    b = rng.integers(0, 256, editsketch.SLOTS).astype(np.uint8)
+    c = slots_changed(rng, b, rng.permutation(editsketch.SLOTS)[:25])  # as far as a likeness of 0.8 goes
+    rows = [(1000, b), (1001, c)]
+    for k in range(0, editsketch.SLOTS, 2):  # heads of lesser ids that share half of the slots with both
+        head = rng.integers(0, 256, editsketch.SLOTS).astype(np.uint8)
+        keep = np.flatnonzero(b == c)
+        keep = np.unique(np.append(keep[(keep - k) % editsketch.SLOTS < 64], keep[rng.random(len(keep)) < 0.3]))
+        head[keep] = b[keep]
+        rows.append((k, head))
+    for k in range(16):  # and what eight sampled bytes of either take
+        head = rng.integers(0, 256, editsketch.SLOTS).astype(np.uint8)
+        at = [(k * 37 + j * 29) % editsketch.SLOTS for j in range(8)]
+        head[at] = b[at]
+        rows.append((200 + k, head))
+    prints = spark.createDataFrame([(k, x.tobytes().hex()) for k, x in rows], "doc_id long, fingerprint string")
+    assert (1001, 1000) in [(r.doc_id, r.near_id) for r in editsketch.near_fingerprints(prints).collect()]
+
+
+@pytest.mark.parametrize(("least", "tile"), [(0.8, 128), (0.8, 3), (0.95, 128)])
+def test_fingerprint_groups_equal_all_pairs(spark, monkeypatch, least, tile):
+    monkeypatch.setattr(editsketch, "TILE", tile)
+    rng = np.random.default_rng(int(100 * least))
+    rows = []
+    for _ in range(12):
+        base = rng.integers(0, 256, editsketch.SLOTS).astype(np.uint8)
+        for _ in range(8):
+            rows.append((int(rng.integers(1, 200)), slots_changed(rng, base, rng.permutation(editsketch.SLOTS)[: rng.integers(0, 20)])))
+    rows += [(500, rows[0][1]), (500, rows[9][1]), (None, rows[20][1])]
+    up = {k: k for k, _ in rows if k is not None}
+    for k, x in rows:
+        for j, y in rows:
+            if None not in (k, j) and up[k] != up[j] and editsketch.likeness(x[None], y[None])[0] >= least:
+                low, high = sorted((up[k], up[j]))
+                up = {n: low if r == high else r for n, r in up.items()}
+    prints = spark.createDataFrame([(k, x.tobytes().hex()) for k, x in rows], "doc_id long, fingerprint string")
+    assert {r.doc_id: r.component_id for r in editsketch.fingerprint_groups(prints, least).collect()} == up
+    assert editsketch.fingerprint_groups(prints.limit(0), least).count() == 0
+
+
 # ---- n-gram model
 
 
