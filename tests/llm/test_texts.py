@@ -364,3 +364,7 @@ def test_toxicity_edge_tables(spark):
     odd = spark.createDataFrame([(1, 1), (1, None), (2, 0), (2, 1), (None, 1), (3, 0)], "doc_id long, toxic int")
     assert toxicity.score_held_out(docs, odd).count() == 6
     assert toxicity.score_held_out(docs.limit(0), odd).count() == 0
+
+
+def test_fit_bounds():
+    assert toxicity.fit.__defaults__[:2] == (20_000, 20_000)  # rows and features
