@@ -13,7 +13,7 @@ and of candidates. Equal vectors of one label are one class with a count. Which
 
 Defined results: rows with a null label, and null or zero vectors and vectors with null or non-finite components, have no
 links and are kept; vectors of different lengths aren't compared; equal rows are vectors of their own; rows of a null
-vec_id are counted as links of others but are kept; ties go to the smallest vec_id; other columns don't matter.
+vec_id link with nothing, as in the query's SQL, and are kept; ties go to the smallest vec_id; other columns don't matter.
 """
 
 from __future__ import annotations
