@@ -25,7 +25,7 @@ KINDS = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "secret"),
     ("access", r"AKIA[A-Z0-9]{16,}", "name"),
     ("hex", r"[0-9a-f]{24,}", "secret"),
-    ("ident", r"""(?i:(?:user(?:_?name)?|login|account|client_?id|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}""", "name"),
+    ("ident", r"""(?i:(?:user(?:_?name)?|login|account|client_?id|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", "name"),
     ("opaque", r"[A-Za-z0-9+/]{32,}={0,2}", "secret"),
     ("endpoint", r"""(?:https?|jdbc:[a-z]+|s3|ftp)://[A-Za-z0-9.-]+(?::[0-9]+)?|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b""", "endpoint"),
 ]

@@ -303,6 +303,13 @@ def test_redaction(spark):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_a_long_identifier_is_reported_whole(spark):
+    key, name = "Zx9" * 12, "client_id: " + "ab-1" * 25
+    assert spans(spark, f"{name} {key}") == f"ident:0:{len(name)},opaque:{len(name) + 1}:{len(name) + 1 + len(key)}"
+    docs = spark.createDataFrame([(1, f"{name} {key}")], "doc_id long, text string")
+    assert secret_scan.redact(docs).first().text == "[ident] [opaque]"
+
+
 def test_scan_runs_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = secret_scan.scan(docs)._jdf.queryExecution().toString() + secret_scan.redact(docs)._jdf.queryExecution().toString()
