@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harborwatch.llm import bpe, editsketch, lm, near, packing, secret_scan, sql, substring, toxicity, vectors, wordpiece
+from harborwatch.llm import bpe, editsketch, lm, near, packing, secret_scan, sql, substring, toxicity, vectors, whitening, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +81,9 @@ def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_vectors")
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))  # null where it fits no long
