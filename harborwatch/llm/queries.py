@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborwatch.llm import bpe, editsketch, lm, near, packing, secret_scan, sql, substring, toxicity, vectors, whitening, wordpiece
+from harborwatch.llm import bpe, editsketch, lm, near, negatives, packing, secret_scan, sql, substring, toxicity, vectors, whitening, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {"op8_substrings": sql.SUBSTRINGS, "op9_near": sql.NEAR, "op10_vectors": sql.VECTORS}
+SQL: dict[str, str] = {"op8_substrings": sql.SUBSTRINGS, "op9_near": sql.NEAR, "op10_vectors": sql.VECTORS, "op12_negatives": sql.NEGATIVES}
 
 
 def vocabulary(name: str) -> str:
@@ -87,3 +87,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
     return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))  # null where it fits no long
+
+
+@query("op12_negatives")
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table.withColumn("label", moved), anchors=F.col("i") % 100 == 0)

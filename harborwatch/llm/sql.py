@@ -66,3 +66,25 @@ pairs AS (
 counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN counts c ON c.x = vec_id LEFT JOIN least t ON t.x = vec_id"""
+
+NEGATIVES = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(CAST(embedding AS DOUBLE[]), lambda c: floor(256 * c)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+pairs AS (
+    SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS same,
+        CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT r, anchor_id, other, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+    n.other_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.r = p.r AND NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY rank <= 10"""
