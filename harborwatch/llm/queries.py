@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborwatch.llm import bpe, editsketch, lm, near, negatives, packing, secret_scan, sql, substring, toxicity, vectors, whitening, wordpiece
+from harborwatch.llm import bpe, editsketch, extraction, lm, near, negatives, packing, secret_scan, sql, substring, toxicity, vectors, whitening, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,8 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table.withColumn("label", moved), anchors=F.col("i") % 100 == 0)
+
+
+@query("op13_extraction")
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
