@@ -19,18 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of each cache of a worker; a full cache is emptied.
-CACHE = 400_000
+#: Entries of a generation of each cache of a worker.
+CACHE = 300_000
 #: Trees up to so many leaves are merged side by side.
 WIDE = 64
 SIDE_BY_SIDE = 4_000
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _EMPTY = np.iinfo(np.int32).max
 _MARKS = ".,!?;:"
+#: In place of the ids of a piece whose text must be cut by itself.
+_ODD = b"?"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -56,6 +59,8 @@ class Vocabulary:
             self.bytes[n] = bytes(letters[c] for c in token)
         for token, n in self.added.items():
             self.bytes[n] = token.encode()
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64, size)
         self.of_byte = np.zeros(256, dtype=np.int32)
         for letter, b in letters.items():
             self.of_byte[b] = vocab[letter]
@@ -64,40 +69,48 @@ class Vocabulary:
         self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
         self.size = size
         keys = left * size + right
-        order = np.argsort(keys)
-        self._keys, self._ranks = np.append(keys[order], -1), np.append(order, _EMPTY).astype(np.int32)
-        # Slots of an open table over the pairs: a few probes instead of a binary search.
+        # An open table of the pairs: a few probes instead of a binary search.
         self._bits = int(len(keys) * 4).bit_length()
-        self._slots = np.full(1 << self._bits, len(keys), dtype=np.int32)
+        self._slot_keys = np.full(1 << self._bits, -1, dtype=np.int64)
+        self._slot_ranks = np.full(1 << self._bits, _EMPTY, dtype=np.int32)
         todo, probe = np.arange(len(keys), dtype=np.int32), 0
-        self.probes = 0
         while len(todo):
-            at = self._slot(self._keys[todo], probe)
-            free = self._slots[at] == len(keys)
-            self._slots[at[free]] = todo[free]
-            todo, probe = todo[self._slots[at] != todo], probe + 1
+            at = self._slot(keys[todo], probe)
+            free = self._slot_keys[at] < 0
+            self._slot_keys[at[free]] = keys[todo[free]]
+            placed = self._slot_keys[at] == keys[todo]
+            self._slot_ranks[at[placed]] = todo[placed]
+            todo, probe = todo[~placed], probe + 1
         self.probes = probe
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        pairs = np.arange(1 << 16)
+        #: Rank of each pair of bytes.
+        self.byte_ranks = self.ranks(self.of_byte[pairs >> 8], self.of_byte[pairs & 255])
 
     def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
         mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        return ((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self._bits)).astype(np.int64) + probe) & ((1 << self._bits) - 1)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed >>= np.uint64(64 - self._bits)
+        return mixed.view(np.int64) if not probe else (mixed.view(np.int64) + probe) & ((1 << self._bits) - 1)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, _EMPTY where it doesn't merge."""
+        """Rank of each pair, _EMPTY where it doesn't merge or one of the two is negative (nothing)."""
         keys = left.astype(np.int64) * self.size + right
-        at = self._slots[self._slot(keys, 0)]
-        found = self._keys[at] == keys
-        out = np.where(found, self._ranks[at], np.int32(_EMPTY))
-        rest = np.flatnonzero(~found & (at < len(self._ranks) - 1))
+        keys[(left < 0) | (right < 0)] = -2
+        at = self._slot(keys, 0)
+        have = self._slot_keys.take(at)
+        found = have == keys
+        out = np.where(found, self._slot_ranks.take(at), np.int32(_EMPTY))
+        rest = np.flatnonzero(~found & (have >= 0) & (keys >= 0))
         for probe in range(1, self.probes):
             if not len(rest):
                 break
-            at = self._slots[self._slot(keys.ravel()[rest], probe)]
-            found = self._keys[at] == keys.ravel()[rest]
-            out.ravel()[rest[found]] = self._ranks[at[found]]
-            rest = rest[~found & (at < len(self._ranks) - 1)]
+            at = self._slot(keys[rest], probe)
+            have = self._slot_keys.take(at)
+            found = have == keys[rest]
+            out[rest[found]] = self._slot_ranks.take(at[found])
+            rest = rest[~found & (have >= 0)]
         return out
 
 
@@ -149,166 +162,266 @@ def merge_one(symbols: list[int], vocab: Vocabulary) -> list[int]:
 
 
 def merge_many(words: list[bytes], leaves: int, vocab: Vocabulary) -> list[bytes]:
-    """Ids (little-endian uint32) of pre-tokens of at most ``leaves`` bytes, one tree each, side by side."""
-    count = len(words)
+    """Ids (little-endian uint32) of pre-tokens of at most ``leaves`` bytes, one tree each, side by side.
+
+    All arrays are flat: word w has its symbols from w * (leaves + 1) on, where the last takes what falls off the end, and
+    its tree from w * 2 * leaves on.
+    """
+    count, wide, shift = len(words), leaves + 1, leaves.bit_length() - 1
     lengths = np.fromiter(map(len, words), np.int64, count)
-    symbol = np.full((count, leaves + 1), -1, dtype=np.int32)  # the last column takes what falls off the end
+    data = np.frombuffer(b"".join(words), np.uint8)
     inside = np.arange(leaves) < lengths[:, None]
-    symbol[:, :leaves][inside] = vocab.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-    after = np.full((count, leaves + 1), leaves, dtype=np.int32)
-    after[:, :leaves] = np.where(np.arange(1, leaves + 1) < lengths[:, None], np.arange(1, leaves + 1), leaves)
+    symbol = np.full((count, wide), -1, dtype=np.int32)
+    symbol[:, :leaves][inside] = vocab.of_byte[data]
+    place = np.arange(leaves, dtype=np.int32)
+    paired = np.arange(1, wide) < lengths[:, None]
+    after = np.full((count, wide), leaves, dtype=np.int32)
+    after[:, :leaves] = np.where(paired, place + 1, leaves)
     before = np.tile(np.arange(-1, leaves, dtype=np.int32), (count, 1))
-    place = np.arange(leaves, dtype=np.int64)
     tree = np.full((count, 2 * leaves), _EMPTY, dtype=np.int32)  # rank * leaves + place is under 2**31 for trees this wide
-    rank = vocab.ranks(symbol[:, :-1], symbol[:, 1:])
-    rank[(symbol[:, :-1] < 0) | (symbol[:, 1:] < 0)] = _EMPTY
-    tree[:, leaves:] = np.where(rank < _EMPTY, rank.astype(np.int64) * leaves + place, _EMPTY)
+    # A byte and the next one, but for the last byte of each word.
+    last = np.zeros(len(data), dtype=bool)
+    last[np.cumsum(lengths)[lengths > 0] - 1] = True
+    rank = vocab.byte_ranks[data.astype(np.int64)[:-1] << 8 | data[1:]][~last[:-1]] if len(data) else data
+    where = np.broadcast_to(place, paired.shape)[paired]
+    tree[:, leaves:][paired] = np.where(rank < _EMPTY, rank << shift | where, _EMPTY)
     for k in range(leaves - 1, 0, -1):
         np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
+    symbol, after, before, tree = symbol.ravel(), after.ravel(), before.ravel(), tree.ravel()
 
-    def put(rows: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-        ranks = vocab.ranks(left, right)
-        ranks[(left < 0) | (right < 0)] = _EMPTY
-        k = leaves + at
-        tree[rows, k] = np.where(ranks < _EMPTY, ranks.astype(np.int64) * leaves + at, _EMPTY)
-        climb(rows, k)
-
-    def climb(rows: np.ndarray, k: np.ndarray) -> None:
-        for _ in range(leaves.bit_length() - 1):
-            k = k >> 1
-            tree[rows, k] = np.minimum(tree[rows, 2 * k], tree[rows, 2 * k + 1])
-
-    rows = np.flatnonzero(tree[:, 1] < _EMPTY)
+    rows = np.flatnonzero(tree[1 :: 2 * leaves] < _EMPTY)
     while len(rows):
-        which, at = np.divmod(tree[rows, 1], leaves)
-        gone = after[rows, at]
-        then = after[rows, gone]
-        made = vocab.merged[which]
-        symbol[rows, at] = made
-        symbol[rows, gone] = -1
-        after[rows, at] = then
-        before[rows, then] = at
-        tree[rows, leaves + gone] = _EMPTY
-        climb(rows, leaves + gone)
-        put(rows, at, made, symbol[rows, then])
-        some = before[rows, at] >= 0
-        r, p = rows[some], before[rows, at][some]
-        put(r, p, symbol[r, p], made[some])
-        rows = rows[tree[rows, 1] < _EMPTY]
-    kept = symbol[:, :leaves] >= 0
-    ends = np.cumsum(kept.sum(axis=1)) * 4
-    data = symbol[:, :leaves][kept].astype("<u4").tobytes()
+        base, root = rows * wide, rows * (2 * leaves)
+        least = tree.take(root + 1)
+        at, made = least & (leaves - 1), vocab.merged.take(least >> shift)
+        here = base + at
+        gone = after.take(here)
+        then = after.take(base + gone)
+        prior = before.take(here)
+        symbol[here] = made
+        symbol[base + gone] = -1
+        after[here] = then
+        before[base + then] = at
+        right = vocab.ranks(made, symbol.take(base + then))
+        right = np.where(right < _EMPTY, right << shift | at, _EMPTY)
+        first = prior < 0
+        prior = np.where(first, at, prior)
+        left = vocab.ranks(symbol.take(base + prior), made)
+        left = np.where(first, right, np.where(left < _EMPTY, left << shift | prior, _EMPTY))
+        # Three leaves change: the merged pair's, the one that is gone, and the one before.
+        nodes = np.concatenate([root + leaves + at, root + leaves + gone, root + leaves + prior])
+        tree[nodes] = np.concatenate([right, np.full(len(rows), _EMPTY, np.int32), left])
+        roots = np.tile(root, 3)
+        nodes -= roots
+        for _ in range(shift):
+            nodes >>= 1
+            children = roots + 2 * nodes
+            tree[roots + nodes] = np.minimum(tree.take(children), tree.take(children + 1))
+        rows = rows[tree.take(root + 1) < _EMPTY]
+    kept = symbol.reshape(count, wide)[:, :leaves]
+    ends = np.cumsum((kept >= 0).sum(axis=1)) * 4
+    ids = kept[kept >= 0].astype("<u4").tobytes()
     starts = np.concatenate([[0], ends[:-1]]).tolist()
-    return [data[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
+    return [ids[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
+
+
+class Cache:
+    """What recurs, in two generations: a full one becomes the old one, and what is used again moves on."""
+
+    def __init__(self):
+        self.size, self.young, self.old = CACHE, {}, {}
+
+    def get(self, keys: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """The value of each key, and the places of unknown ones."""
+        out = list(map(self.young.get, keys))
+        places = [k for k, found in enumerate(out) if found is None] if None in out else []
+        if not places or not self.old:
+            return out, places
+        unknown = []
+        for k in places:
+            found = self.old.get(keys[k])
+            if found is None:
+                unknown.append(k)
+            else:
+                self.young[keys[k]] = out[k] = found
+        return out, unknown
+
+    def put(self, keys: list[str], values: list[bytes]) -> None:
+        if len(self.young) + len(keys) > self.size:
+            self.young, self.old = {}, self.young
+        self.young.update(zip(keys, values, strict=True))
 
 
 class Encoder:
-    """Encodes batches of texts; what recurs is looked up.
+    """Encodes columns of texts; equal pieces of a column are encoded once, and what recurs is looked up.
 
-    A token never spans a space that stands before a non-space, except as its first character, so a text is cut
-    there first and equal pieces are encoded once.
+    A token never spans a space that stands before a non-space, except as its first character, so texts are cut at
+    spaces, and the pieces are dictionary-encoded. A text with a space before white space or at its end, or with an
+    added token in it, is cut by itself.
     """
 
     def __init__(self, path: str):
         self.vocab = Vocabulary(path)
         self.split = regex.compile(_PATTERN)
-        self.odd = re.compile(r" (?:\s|\Z)")
         self.cut = re.compile(r"(?= \S)")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.vocab.added, key=len, reverse=True))) + ")") if self.vocab.added else None
         self.marks = list(self.vocab.added)
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # by the piece without its leading space
-        self.tokens: dict[str, bytes] = {}
-
-    def _encode_tokens(self, new: list[str]) -> None:
-        by_size: dict[int, list[str]] = {}
-        raw = {w: w.encode("utf-8", "surrogatepass") for w in new}
-        for w, b in raw.items():
-            by_size.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append(w)
-        for leaves, words in by_size.items():
-            if leaves <= WIDE and len(words) >= 16:
-                for k in range(0, len(words), SIDE_BY_SIDE):
-                    part = words[k : k + SIDE_BY_SIDE]
-                    self.tokens.update(zip(part, merge_many([raw[w] for w in part], leaves, self.vocab), strict=True))
+        self.spaced_marks = any(" " in m for m in self.marks)
+        self.pieces = Cache()  # ids by piece that begins a text
+        self.parts = Cache()  # ids by piece of a text that is cut by itself
+        self.spaced = Cache()  # ids of a space and the piece
+        self.tokens = Cache()  # ids by token of the pattern
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of different tokens of the pattern."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out: list[bytes] = [b""] * len(words)
+        by_size: dict[int, list[int]] = {}
+        for k, b in enumerate(raw):
+            by_size.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append(k)
+        for leaves, places in by_size.items():
+            if leaves <= WIDE and len(places) >= 16:
+                for k in range(0, len(places), SIDE_BY_SIDE):
+                    part = places[k : k + SIDE_BY_SIDE]
+                    for j, ids in zip(part, merge_many([raw[j] for j in part], leaves, self.vocab), strict=True):
+                        out[j] = ids
             else:
-                for w in words:
-                    ids = merge_one(self.vocab.of_byte[np.frombuffer(raw[w], np.uint8)].tolist(), self.vocab)
-                    self.tokens[w] = np.array(ids, dtype="<u4").tobytes()
-
-    def _fill(self, spaced: set[str], plain: set[str]) -> None:
-        """Encode the pieces that aren't cached."""
-        if len(self.spaced) + len(self.pieces) > CACHE:
-            self.spaced.clear()
-            self.pieces.clear()
-        if len(self.tokens) > CACHE:
-            self.tokens.clear()
-        whole = []  # pieces that are one token, and those with one closing mark: most of them, cut without the pattern
-        closed = []
-        cut = []
-        for p in spaced:
-            if p not in self.spaced:
-                if p.isalpha():
-                    whole.append(p)
-                elif p[:-1].isalpha() and p[-1] in _MARKS:
-                    closed.append(p)
-                else:
-                    cut.append((self.spaced, p, self.split.findall(" " + p)))
-        cut += [(self.pieces, p, self.split.findall(p)) for p in plain if p not in self.pieces]
-        need = {t for _, _, ts in cut for t in ts}
-        need.update([" " + p for p in whole], [" " + p[:-1] for p in closed], _MARKS)
-        self._encode_tokens([t for t in need if t not in self.tokens])
-        get = self.tokens.__getitem__
-        for p in whole:
-            self.spaced[p] = get(" " + p)
-        for p in closed:
-            self.spaced[p] = get(" " + p[:-1]) + get(p[-1])
-        for where, key, ts in cut:
-            where[key] = b"".join(map(get, ts))
+                for j in places:
+                    ids = merge_one(self.vocab.of_byte[np.frombuffer(raw[j], np.uint8)].tolist(), self.vocab)
+                    out[j] = np.array(ids, dtype="<u4").tobytes()
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
+    def _looked_up(self, cache: Cache, keys: list[str], make) -> list[bytes]:
+        """Values of different keys; ``make`` gives those of the unknown ones."""
+        out, places = cache.get(keys)
+        if places:
+            new = [keys[k] for k in places]
+            values = make(new)
+            cache.put(new, values)
+            for k, found in zip(places, values, strict=True):
+                out[k] = found
+        return out
+
+    def _by_pattern(self, texts: list[str]) -> list[bytes]:
+        cut = [self.split.findall(t) for t in texts]
+        tokens = list({t for ts in cut for t in ts})
+        ids = dict(zip(tokens, self._looked_up(self.tokens, tokens, self._merge), strict=True)).__getitem__
+        return [b"".join(map(ids, ts)) for ts in cut]
+
+    def _spaced_words(self, words: list[str]) -> list[bytes]:
+        return self._merge([" " + w for w in words])
+
+    def _first(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces that begin a text, or _ODD."""
+        return [_ODD if any(m in p for m in self.marks) else ids for p, ids in zip(new, self._by_pattern(new), strict=True)]
+
+    def _after_space(self, new: list[str]) -> list[bytes]:
+        """Ids of a space and each piece, or _ODD. Most are letters, or letters and one closing mark, which need no pattern."""
+        out: list[bytes] = [b""] * len(new)
+        whole = [k for k, p in enumerate(new) if p.isalpha()]
+        closed = [k for k, p in enumerate(new) if p and p[-1] in _MARKS and p[:-1].isalpha()]
+        known = set(whole)
+        known.update(closed)
+        rest = [k for k in range(len(new)) if k not in known]
+        for k, ids in zip(whole, self._spaced_words([new[k] for k in whole]), strict=True):
+            out[k] = ids
+        if closed:
+            mine = {new[k]: out[k] for k in whole}
+            stems = list({new[k][:-1] for k in closed} - mine.keys())
+            mine.update(zip(stems, self._looked_up(self.spaced, stems, self._spaced_words), strict=True))
+            marks = dict(zip(_MARKS, self._by_pattern(list(_MARKS)), strict=True))
+            for k in closed:
+                out[k] = mine[new[k][:-1]] + marks[new[k][-1]]
+        for k, ids in zip(rest, self._by_pattern([" " + new[k] for k in rest]), strict=True):
+            p = new[k]
+            out[k] = _ODD if not p or p[0].isspace() or any(m in p for m in self.marks) else ids
+        return out
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts of any kind: cut at added tokens, then before a space that stands before a non-space."""
         plans = []
-        spaced: set[str] = set()
-        plain: set[str] = set()
         for text in texts:
             parts = self.special.split(text) if any(m in text for m in self.marks) else [text]
-            plan = []
-            for k, part in enumerate(parts):
-                if k % 2:
-                    plan.append((part, None))
-                elif part:
-                    if self.odd.search(part):
-                        pieces = self.cut.split(part)
-                        plain.update(pieces)
-                        plan.append((None, pieces))
-                    else:
-                        first, *rest = part.split(" ")
-                        plain.add(first)
-                        spaced.update(rest)
-                        plan.append((first, rest))
-            plans.append(plan)
-        if len(spaced) + len(plain) > CACHE and len(texts) > 1:
-            middle = len(texts) // 2
-            return self.encode(texts[:middle]) + self.encode(texts[middle:])
-        self._fill(spaced, plain)
-        get, get_spaced, added = self.pieces.__getitem__, self.spaced.__getitem__, self.vocab.added
+            plans.append([part if k % 2 else self.cut.split(part) for k, part in enumerate(parts)])
+        different = list({p for plan in plans for part in plan if isinstance(part, list) for p in part})
+        ids = dict(zip(different, self._looked_up(self.parts, different, self._by_pattern), strict=True)).__getitem__
         out = []
         for plan in plans:
-            ids = []
-            for first, rest in plan:
-                if first is None:
-                    ids.extend(map(get, rest))
-                elif rest is None:
-                    ids.append(added[first].to_bytes(4, "little"))
+            blobs = []
+            for part in plan:
+                if isinstance(part, list):
+                    blobs += map(ids, part)
                 else:
-                    ids.append(get(first))
-                    ids.extend(map(get_spaced, rest))
-            out.append(b"".join(ids))
+                    blobs.append(self.vocab.added[part].to_bytes(4, "little"))
+            out.append(np.frombuffer(b"".join(blobs), "<u4"))
         return out
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's ids end and the next one's start: one more than texts)."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        found = cut.flatten().dictionary_encode()
+        which = found.indices.to_numpy().astype(np.int64)
+        count = len(found.dictionary)
+        # As one string, cut at the spaces, which no piece holds.
+        entries = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), found.dictionary), " ")[0].as_py().split(" ")
+        # The first piece of a text has no space before it.
+        plain, of_text = np.unique(which[first], return_inverse=True)
+        after = np.ones(len(which), dtype=bool)
+        after[first] = False
+        used = np.zeros(count, dtype=bool)
+        used[which[after]] = True
+        spaced = entries if used.all() else [entries[k] for k in np.flatnonzero(used).tolist()]
+        blobs = self._looked_up(self.spaced, spaced, self._after_space)
+        blobs += self._looked_up(self.pieces, [entries[k] for k in plain.tolist()], self._first)
+        moved = np.cumsum(used) - 1
+        which = moved[which]
+        which[first] = len(spaced) + of_text
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        odd = sizes == len(_ODD)
+        if odd.any():
+            blobs = [b"" if b == _ODD else b for b in blobs]
+        sizes = np.where(odd, 0, sizes // 4)
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        ids, ends = taken(flat, sizes, which)
+        bounds = np.append(ends[first], ends[-1])
+        alone = np.logical_or.reduceat(odd[which], first) if odd.any() else np.zeros(len(texts), dtype=bool)
+        if self.spaced_marks:
+            alone |= np.array([any(m in t for m in self.marks) for t in texts.to_pylist()])
+        if not alone.any():
+            return ids, bounds
+        parts = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        places = np.flatnonzero(alone)
+        for k, found in zip(places, self._alone(texts.take(pa.array(places)).to_pylist()), strict=True):
+            parts[k] = found
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32."""
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def decode_column(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of ids in a row; bytes that aren't UTF-8 become replacement characters."""
+        raw, ends = taken(self.vocab.flat, self.vocab.sizes, ids.astype(np.int64))
+        raw, ends = raw.tobytes(), ends[bounds].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+
     def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that aren't UTF-8 become replacement characters."""
-        return b"".join(map(self.vocab.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        """The text of ids."""
+        found = np.frombuffer(ids, "<u4")
+        return self.decode_column(found, np.array([0, len(found)]))[0]
+
+
+def taken(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``flat`` in the order ``which``; and where each starts, with the end of the last."""
+    counts = sizes[which]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    starts = (np.cumsum(sizes) - sizes)[which]
+    return flat[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])], ends
 
 
 _encoders: dict[str, Encoder] = {}
@@ -321,22 +434,33 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-#: Characters of text that are encoded at once.
-SLICE_CHARS = 2_000_000
+#: Bytes of text that are encoded at once.
+STRETCH = 8_000_000
+
 
+def stretches(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = STRETCH) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, cut and joined so that a batch has about ``size`` bytes in its column ``text``."""
+    held: list[pa.RecordBatch] = []
+    room = size
 
-def text_slices(texts: pa.Array, size: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of stretches of a column of about ``size`` characters; null is empty."""
-    row, part, chars = 0, [], 0
-    for k in range(len(texts)):
-        text = texts[k].as_py() or ""
-        part.append(text)
-        chars += len(text)
-        if chars >= size:
-            yield row, part
-            row, part, chars = k + 1, [], 0
-    if part:
-        yield row, part
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths.astype(np.int64))
+        row = 0
+        while row < len(batch):
+            before = int(ends[row - 1]) if row else 0
+            upto = min(len(batch), int(np.searchsorted(ends, before + room)) + 1)
+            held.append(batch.slice(row, upto - row))
+            room -= int(ends[upto - 1]) - before
+            row = upto
+            if room <= 0:
+                yield joined()
+                held, room = [], size
+    if held:
+        yield joined()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,15 +469,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for batch in batches:
-            for row, texts in text_slices(batch.column(1)):
-                ids = coder.encode(texts)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(texts)).cast(pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())),
-                    pa.array([coder.decode(x) for x in ids], pa.string()),
-                ], schema=schema)
+        for batch in stretches(batches):
+            ids, bounds = coder.encode_column(batch.column(1))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).cast(pa.int64()),
+                pa.array(np.diff(bounds), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4"))),
+                pa.array(coder.decode_column(ids, bounds), pa.string()),
+            ], schema=schema)
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
@@ -364,15 +487,14 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for batch in batches:
-            for row, texts in text_slices(batch.column(1)):
-                ids = coder.encode(texts)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(texts)).cast(pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in ids]),
-                ], names)
+        for batch in stretches(batches):
+            ids, bounds = coder.encode_column(batch.column(1))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).cast(pa.int64()),
+                pa.array(np.diff(bounds), pa.int64()),
+                pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in coder.decode_column(ids, bounds)]),
+            ], names)
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborwatch.llm.bpe import encoder, text_slices
+from harborwatch.llm.bpe import encoder, stretches
 from harborwatch.session import staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,30 +33,26 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """The token pieces of each document, ids with the end id last; ``with_ids`` adds them as ids array<int>."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for batch in batches:
-            for row, texts in text_slices(batch.column(1)):
-                owner, nth, start, length, check, parts = [], [], [], [], [], []
-                for k, ids in enumerate(coder.encode(texts)):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % max_tokens or max_tokens
-                    cuts = [0, *range(first, n + 1, max_tokens)]
-                    for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        owner.append(row + k)
-                        nth.append(j)
-                        start.append(a)
-                        length.append(b - a)
-                        check.append(zlib.crc32(ids[4 * a : 4 * b]))
-                        if with_ids:
-                            parts.append(np.frombuffer(ids[4 * a : 4 * b], "<i4"))
-                columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64())]
-                if with_ids:
-                    columns.append(pa.array(parts, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in stretches(batches):
+            ids, bounds = coder.encode_column(batch.column(1))
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            # Pieces of a document of n tokens: the first takes what is left over full ones.
+            sizes = np.diff(bounds)
+            count = -(-sizes // max_tokens)
+            owner = np.repeat(np.arange(len(sizes)), count)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.maximum(0, sizes[owner] - (count[owner] - nth) * max_tokens)
+            stop = sizes[owner] - (count[owner] - 1 - nth) * max_tokens
+            at = bounds[owner]
+            check = [zlib.crc32(ids[a:b]) for a, b in zip((at + start).tolist(), (at + stop).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(nth, pa.int32()), pa.array(start), pa.array(stop - start), pa.array(check, pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at + start, bounds[-1]), pa.int32()), pa.array(ids.view("<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
