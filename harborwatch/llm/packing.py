@@ -57,14 +57,24 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 1024, end_id: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
-def plan(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[float, float, float], choose: str = "dot") -> list[tuple[int, int, int, int]]:
-    """Best-fit decreasing over lengths with counts: rows (first bin, bins, length, offset), ``bins`` bins in a row
-    that each hold one piece of that length at that offset."""
+def plan(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[float, float, float], choose: str = "dot") -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing over lengths with counts: rows (first bin, pieces, length, offset, each). ``pieces`` pieces of
+    that length go to bins from ``first`` on, ``each`` to a bin (the last takes the rest), one after the other from ``offset``.
+
+    A bin that was the best for a piece is the best for the next equal one too, as its residual only shrinks, so it
+    takes as many as fit; that is what one piece after the other would give.
+    """
     cap = np.array(capacity, dtype=float)
     scale = np.array(weights) / cap**2
     # A state: residual vector -> runs of bins (first, count) in it.
     states: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     rows, made = [], 0
+
+    def keep(state: tuple[int, ...], size: tuple[int, ...], taken: int, first: int, bins: int) -> None:
+        after = tuple(a - taken * b for a, b in zip(state, size, strict=True))
+        if bins and after[0] and after[1]:
+            states.setdefault(after, []).append((first, bins))
+
     for length in sorted(counts, reverse=True):
         left = counts[length]
         size = (length, 1, length * length)
@@ -73,31 +83,30 @@ def plan(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[
         while left:
             open_ = [s for s in states if all(a <= b for a, b in zip(size, s, strict=True))]
             if open_:
-                residual = np.array(open_, dtype=float)
+                rest = np.array(open_, dtype=float) - np.array(size)
                 if choose == "dot":  # the fullest bin that lines up with the piece: least residual, by its dot with the size
-                    score = -((residual - np.array(size)) * scale * np.array(size)).sum(axis=1)
+                    score = (rest * scale * np.array(size)).sum(axis=1)
                 else:
-                    score = -(((residual - np.array(size)) ** 2) * scale).sum(axis=1)
-                best = max(range(len(open_)), key=lambda k: (score[k], -open_[k][0]))
-                state = open_[best]
+                    score = (rest**2 * scale).sum(axis=1)
+                state = open_[min(range(len(open_)), key=lambda k: (score[k], open_[k][0]))]
                 first, bins = states[state].pop()
                 if not states[state]:
                     del states[state]
-                if bins > left:
-                    states.setdefault(state, []).append((first + left, bins - left))
-                    bins = left
             else:
-                state, first, bins = capacity, made, left
-                # New bins take as many of this length as fit, before the next are opened.
-                fit = min(c // s for s, c in zip(size, capacity, strict=True))
-                bins = -(-left // fit)
-                made += bins
-            offset = capacity[0] - state[0]
-            rows.append((first, bins, length, offset))
-            after = (state[0] - size[0], state[1] - size[1], state[2] - size[2])
-            if after[0] and after[1]:
-                states.setdefault(after, []).append((first, bins))
-            left -= bins
+                state, first = capacity, made
+            each = min(c // s for s, c in zip(size, state, strict=True))
+            need = -(-left // each)
+            if not open_:
+                bins, made = need, made + need
+            elif need < bins:
+                states.setdefault(state, []).append((first + need, bins - need))
+                bins = need
+            pieces = min(left, bins * each)
+            rows.append((first, pieces, length, capacity[0] - state[0], each))
+            full, last = divmod(pieces, each)
+            keep(state, size, each, first, full)
+            keep(state, size, last, first + full, 1 if last else 0)
+            left -= pieces
     return rows
 
 
@@ -107,16 +116,16 @@ def pack(found: DataFrame, max_tokens: int = 1024, max_documents: int | None = N
     capacity = (max_tokens, max_documents or max_tokens, max_attention or max_tokens**2)
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
     rows, place = [], {}
-    for first, bins, length, offset in plan(counts, capacity, weights, choose):
+    for first, n, length, offset, each in plan(counts, capacity, weights, choose):
         at = place.get(length, 0)
-        rows.append((length, at, first, offset))
-        place[length] = at + bins
+        rows.append((length, at, first, offset, each))
+        place[length] = at + n
     if not counts:
         return found.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     # About sqrt(n) buckets of sqrt(n) pieces: neither a bucket nor the list of buckets of a length grows large.
     buckets = spark.createDataFrame([(k, math.isqrt(n) + 1) for k, n in counts.items()], "length long, buckets long")
     ranks = spark.createDataFrame(
-        [(k, [(a, f, o) for n, a, f, o in rows if n == k]) for k in counts], "length long, runs array<struct<at:long,first:long,offset:long>>"
+        [(k, [r[1:] for r in rows if r[0] == k]) for k in counts], "length long, runs array<struct<at:long,first:long,offset:long,each:long>>"
     )
     # Rank by length: hash buckets of a bounded size, ranked each by itself, moved on by the buckets before.
     order = ["doc_id", "piece", "start", "ids_crc32"]
@@ -128,8 +137,8 @@ def pack(found: DataFrame, max_tokens: int = 1024, max_documents: int | None = N
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     run = F.expr("filter(runs, r -> r.at <= rank)")
     placed = ranked.join(F.broadcast(ranks), "length").withColumn("run", F.element_at(run, -1))
-    return placed.withColumn("sequence_id", F.col("run.first") + F.col("rank") - F.col("run.at")).withColumn(
-        "offset", F.col("run.offset")
+    return placed.withColumn("sequence_id", F.expr("run.first + (rank - run.at) div run.each")).withColumn(
+        "offset", F.expr("run.offset + (rank - run.at) % run.each * length")
     ).select(*found.columns, "sequence_id", "offset")
 
 

@@ -126,6 +126,47 @@ def test_packing_keeps_every_capacity(spark):
         packing.pack(found, max_tokens=64, max_attention=100)
 
 
+def plain_best_fit(lengths, capacity, weights, choose):
+    """One piece after the other, longest first, into the best open bin."""
+    scale = [w / c**2 for w, c in zip(weights, capacity, strict=True)]
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        size, best = (n, 1, n * n), None
+        for residual, held in bins:
+            if all(a <= b for a, b in zip(size, residual, strict=True)):
+                rest = [b - a for a, b in zip(size, residual, strict=True)]
+                score = sum(r * s * (a if choose == "dot" else r) for r, s, a in zip(rest, scale, size, strict=True))
+                if best is None or (score, residual[0]) < best[0]:
+                    best = (score, residual[0]), residual, held
+        if best is None:
+            bins.append([list(capacity), []])
+            best = None, *bins[-1]
+        for k, a in enumerate(size):
+            best[1][k] -= a
+        best[2].append(n)
+    return sorted(residual for residual, _ in bins)
+
+
+@pytest.mark.parametrize("choose", ["dot", "norm"])
+@pytest.mark.parametrize(("capacity", "weights"), [((64, 64, 4096), (1.0, 0.05, 0.05)), ((64, 3, 2200), (1.0, 0.4, 0.7)), ((50, 50, 1300), (0.2, 0.1, 1.0))])
+def test_plan_is_plain_best_fit(capacity, weights, choose):
+    rng = random.Random(repr((capacity, choose)))
+    for _ in range(20):
+        most = min(capacity[0], int(capacity[2] ** 0.5))
+        lengths = [rng.choice([rng.randint(1, most), rng.randint(1, 9), most]) for _ in range(rng.randint(0, 150))]
+        bins, places = {}, {}
+        for first, pieces, length, offset, each in packing.plan(dict(Counter(lengths)), capacity, weights, choose):
+            for k in range(pieces):
+                residual = bins.setdefault(first + k // each, list(capacity))
+                assert offset + k % each * length == capacity[0] - residual[0]
+                for j, a in enumerate((length, 1, length * length)):
+                    residual[j] -= a
+                places[length] = places.get(length, 0) + 1
+        assert places == dict(Counter(lengths)) and all(min(r) >= 0 for r in bins.values())
+        # Bins with the same residual can stand in for each other.
+        assert sorted(bins.values()) == plain_best_fit(lengths, capacity, weights, choose)
+
+
 def test_packing_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     out = packing.pack_documents(docs, BYTE_BPE)
