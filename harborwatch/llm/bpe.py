@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harborwatch.llm.words import small_batches
+
 #: Entries of a generation of each cache of a worker.
 CACHE = 300_000
 #: Trees up to so many leaves are merged side by side.
@@ -478,7 +480,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 pa.array(coder.decode_column(ids, bounds), pa.string()),
             ], schema=schema)
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -496,7 +498,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in coder.decode_column(ids, bounds)]),
             ], names)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(ids: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

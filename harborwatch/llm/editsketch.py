@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from harborwatch.llm.graph import Joined, components, group_pairs
 from harborwatch.llm.near import TILE, _whole_groups, group_starts
 from harborwatch.llm.store import BlobStore, new_folder, write_blobs
-from harborwatch.llm.words import mix, signed
+from harborwatch.llm.words import mix, signed, small_batches
 from harborwatch.session import staged
 
 U64 = np.uint64
@@ -252,7 +252,7 @@ def fingerprint_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 texts.append(t)
                 chars += len(t)
 
-    return _ordered(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _ordered(small_batches(docs), id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,7 +265,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 prints, _ = fingerprints(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 2_000), pa.array([x.tobytes().hex() for x in prints])], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fingerprint string")
+    return small_batches(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def _least_equal(least: float) -> int:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harborwatch.llm.words import small_batches
+
 #: Role words of class and id attributes, at the start of a word; a stem that ends in $ is the whole word.
 STEMS = {
     "menu": "nav menu breadcrumb pagination pager$ toolbar tabs$ skip$ toc$",
@@ -461,7 +463,7 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = 2000) -> np.ndar
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b & shape for b in named], pa.int64()), pa.array([int(not b & BAD) for b in named], pa.int32())], ["f", "y"])
 
-    hashed = pages.filter(F.length(html_col) > 0).select(F.col(html_col).alias("t"), F.xxhash64(html_col).alias("h"))
+    hashed = small_batches(pages).filter(F.length(html_col) > 0).select(F.col(html_col).alias("t"), F.xxhash64(html_col).alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).collect()[0][0]
     if last is None:
         return WEIGHTS.copy()

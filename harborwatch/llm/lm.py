@@ -17,6 +17,7 @@ not held out; words are numbered in 32 bits, over 4.2e9 distinct words are an er
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.llm.store import HashStore, gathered, mapped, new_folder, put, shard_bits, write_store
-from harborwatch.llm.words import Words, buffers, chunks, mix, signed, unsigned
+from harborwatch.llm.words import Words, buffers, chunks, mix, signed, small_batches, unsigned
 
 U64 = np.uint64
 END = U64(0x5BD1E9955BD1E995)
@@ -175,6 +176,7 @@ class Model:
     word_discounts: tuple[float, float, float]
     continuations: int
     spread: float  # what the words' discounts leave to the uniform distribution
+    pair_sizes: np.ndarray  # entries of each shard of pairs
 
     def ranged(self, name: str, numbers: np.ndarray, columns: int) -> np.ndarray:
         """Rows of the array by word number, read from its ranges. Numbers are sorted."""
@@ -185,13 +187,14 @@ class Model:
         for a, b in zip(edges, [*edges[1:], len(numbers)], strict=True):
             r = int(numbers[a]) // RANGE
             have = mapped(f"{self.folder}/{name}-{r}", np.uint32).reshape(-1, columns)
-            if len(have):
-                out[a:b] = have[numbers[a:b] - r * RANGE]
+            if not len(have):
+                raise OSError(f"{self.folder}/{name}-{r} is missing or empty")
+            out[a:b] = have[numbers[a:b] - r * RANGE]
         return out
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted pair keys."""
-        store = HashStore(f"{self.folder}/pairs", self.pair_bits, "u4")
+        store = HashStore(f"{self.folder}/pairs", self.pair_bits, "u4", self.pair_sizes)
         shard = (mix(keys) >> U64(64 - self.pair_bits)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         out = np.zeros(len(keys), dtype=np.int64)
@@ -253,7 +256,7 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Count the texts of ``docs`` into arrays in the shared folder."""
     spark = docs.sparkSession
-    texts = docs.select("text")
+    texts = small_batches(docs).select("text")
     folder = new_folder(spark, "ngrams")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +320,7 @@ def train(docs: DataFrame) -> Model:
     def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_value(batches):
             keys, counts = merge_runs([(r["k"], r["c"]) for r in rows])
-            put(f"{folder}/pairs/{shard}.records", [counts.astype(np.uint32).tobytes()])
+            put(f"{folder}/pairs/{shard}.records", [np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()])
             put(f"{folder}/pairs/{shard}.keys", [keys.tobytes()])
             kinds = np.bincount(np.minimum(counts, 5), minlength=6)
             out = [(-1, "pairs", np.arange(6, dtype=np.uint32), kinds.astype(np.int64))]
@@ -363,7 +366,11 @@ def train(docs: DataFrame) -> Model:
     continuations = int(kinds["words"][6])
     by_kind = kinds["words"]
     spread = (word_d[0] * by_kind[1] + word_d[1] * by_kind[2] + word_d[2] * by_kind[3:6].sum()) / continuations if continuations else 1.0
-    return Model(folder, numbering, bits, words, total, documents, pair_d, word_d, continuations, float(spread))
+    files = [f"{folder}/pairs/{n}.records" for n in range(1 << bits)]
+    pair_sizes = np.array([os.path.getsize(f) // 4 if os.path.exists(f) else 0 for f in files])
+    if pair_sizes.sum() != kinds["pairs"].sum():
+        raise OSError(f"{folder}/pairs holds {pair_sizes.sum()} of {kinds['pairs'].sum()} pairs")
+    return Model(folder, numbering, bits, words, total, documents, pair_d, word_d, continuations, float(spread), pair_sizes)
 
 
 def _ranges(keys: np.ndarray, per: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -392,7 +399,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(base), pa.array(score), pa.array(10.0 ** np.minimum(-score / n, 300.0)),
                 ], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.llm.graph import Joined, components, group_pairs
 from harborwatch.llm.store import BlobStore, new_folder, write_blobs, write_store
-from harborwatch.llm.words import Prefix, mix, signed, unsigned, word_chunks
+from harborwatch.llm.words import Prefix, mix, signed, small_batches, unsigned, word_chunks
 from harborwatch.session import staged
 
 U64, U32 = np.uint64, np.uint32
@@ -116,7 +116,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
                     pa.array(list(signed(bands)), pa.list_(pa.int64())),
                 ], ["doc_id", "a", "b", "n", "record", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, a long, b long, n long, record binary, bands array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, a long, b long, n long, record binary, bands array<long>")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -273,4 +273,4 @@ def deduplicate(docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFra
             keep = store.find(mix(unsigned(ids.cast(pa.int64()).fill_null(0).to_numpy()))) == 0
             yield batch.filter(pa.array(keep | ~known))
 
-    return docs.mapInArrow(stay, docs.schema)
+    return small_batches(docs).mapInArrow(stay, docs.schema)

@@ -44,11 +44,15 @@ def put(path: str, parts: list) -> None:
     os.replace(own, path)
 
 
-def mapped(path: str, dtype) -> np.ndarray:
-    """A file as a read-only array; pages are read when touched."""
-    if not os.path.exists(path) or os.path.getsize(path) == 0:
+def mapped(path: str, dtype, n: int | None = None) -> np.ndarray:
+    """A file as a read-only array; pages are read when touched. ``n`` is the known number of entries: a missing or
+    shorter file is an error then, and not an empty array."""
+    if n == 0 or n is None and (not os.path.exists(path) or os.path.getsize(path) == 0):
         return np.zeros(0, dtype=dtype)
-    return np.memmap(path, dtype=dtype, mode="r")
+    out = np.memmap(path, dtype=dtype, mode="r")
+    if n is not None and len(out) != n:
+        raise OSError(f"{path} holds {len(out)} of {n} entries")
+    return out
 
 
 def gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
@@ -72,7 +76,7 @@ def shard_of(key: Column, bits: int) -> Column:
 def write_store(df: DataFrame, folder: str, key: str, record: str, dtype: str, rows: int) -> "HashStore":
     """Sort rows of distinct long ``key`` and numeric ``record`` into a store. ``rows`` sizes the shards.
 
-    The driver only gets a count from each partition.
+    The driver gets the size of each shard, one number for about SHARD_KEYS rows.
     """
     bits = shard_bits(rows)
 
@@ -82,30 +86,43 @@ def write_store(df: DataFrame, folder: str, key: str, record: str, dtype: str, r
         order = np.argsort(keys, kind="stable")
         keys, records = keys[order], records[order].astype(dtype)
         shards = (keys >> U64(64 - bits)).astype(np.int64)
-        for shard in np.unique(shards):
-            lo, hi = np.searchsorted(shards, [shard, shard + 1])
+        some = np.unique(shards)
+        cuts = np.searchsorted(shards, [*some, 1 << bits])
+        for shard, lo, hi in zip(some, cuts, cuts[1:], strict=False):
             put(f"{folder}/{shard}.records", [records[lo:hi].tobytes()])
             put(f"{folder}/{shard}.keys", [keys[lo:hi].tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], ["n"])
+        yield sizes_batch(some, np.diff(cuts))
 
     wide = df.select(F.col(key).alias("k"), F.col(record).alias("r"), shard_of(F.col(key), bits).alias("s"))
-    wide.repartition(1 << bits, "s").select("k", "r").mapInArrow(write, "n long").agg(F.sum("n")).collect()
-    return HashStore(folder, bits, dtype)
+    written = wide.repartition(1 << bits, "s").select("k", "r").mapInArrow(write, "s long, n long").collect()
+    return HashStore(folder, bits, dtype, sizes_of(written, bits))
+
+
+def sizes_batch(shards, sizes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(sizes, pa.int64())], ["s", "n"])
+
+
+def sizes_of(written: list, bits: int) -> np.ndarray:
+    """Entries of each shard, 0 where none was written."""
+    sizes = np.zeros(1 << bits, dtype=np.int64)
+    for r in written:
+        sizes[r["s"]] += r["n"]
+    return sizes
 
 
 class HashStore:
-    """Look keys up in a store; usable in tasks."""
+    """Look keys up in a store; usable in tasks. A shard that isn't there as it was written is an error."""
 
-    def __init__(self, folder: str, bits: int, dtype: str):
-        self.folder, self.bits, self.dtype, self._open = folder, bits, dtype, {}
+    def __init__(self, folder: str, bits: int, dtype: str, sizes: np.ndarray):
+        self.folder, self.bits, self.dtype, self.sizes, self._open = folder, bits, dtype, sizes, {}
 
     def __getstate__(self):
-        return {"folder": self.folder, "bits": self.bits, "dtype": self.dtype, "_open": {}}
+        return {**self.__dict__, "_open": {}}
 
     def shard(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n not in self._open:
-            at = f"{self.folder}/{n}"
-            self._open[n] = mapped(f"{at}.keys", U64), mapped(f"{at}.records", self.dtype)
+            at, size = f"{self.folder}/{n}", int(self.sizes[n])
+            self._open[n] = mapped(f"{at}.keys", U64, size), mapped(f"{at}.records", self.dtype, size)
         return self._open[n]
 
     def find(self, keys: np.ndarray, default=0) -> np.ndarray:
@@ -137,39 +154,38 @@ def write_blobs(df: DataFrame, folder: str, key: str, blob: str, shards: int) ->
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[tuple[int, bytes]]] = {}
-        n = 0
         for batch in batches:
             for s, k, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.setdefault(s, []).append((k % (1 << 64), b))
-                n += 1
         for s, part in rows.items():
             part.sort()
             ends = np.cumsum([0, *(len(b) for _, b in part)]).astype("<i8")
             put(f"{folder}/{s}.data", [b for _, b in part])
             put(f"{folder}/{s}.ends", [ends.tobytes()])
             put(f"{folder}/{s}.keys", [np.array([k for k, _ in part], dtype=U64).tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+        yield sizes_batch(list(rows), [len(part) for part in rows.values()])
 
     wide = df.select(shard_of(F.col(key), bits).alias("s"), F.col(key).alias("k"), F.col(blob).alias("b"))
-    wide.repartition(1 << bits, "s").mapInArrow(write, "n long").agg(F.sum("n")).collect()
-    return BlobStore(folder, bits)
+    written = wide.repartition(1 << bits, "s").mapInArrow(write, "s long, n long").collect()
+    return BlobStore(folder, bits, sizes_of(written, bits))
 
 
 class BlobStore:
-    """Look the bytes of keys up."""
+    """Look the bytes of keys up. A shard that isn't there as it was written is an error."""
 
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.bits, self._open = folder, bits, {}
+    def __init__(self, folder: str, bits: int, sizes: np.ndarray):
+        self.folder, self.bits, self.sizes, self._open = folder, bits, sizes, {}
 
     def __getstate__(self):
-        return {"folder": self.folder, "bits": self.bits, "_open": {}}
+        return {**self.__dict__, "_open": {}}
 
     def get(self, key: int, dtype) -> np.ndarray | None:
         """The bytes of an unsigned key as an array, mapped."""
         n = key >> (64 - self.bits)
         if n not in self._open:
-            at = f"{self.folder}/{n}"
-            self._open[n] = mapped(f"{at}.keys", U64), mapped(f"{at}.ends", "<i8"), mapped(f"{at}.data", np.uint8)
+            at, size = f"{self.folder}/{n}", int(self.sizes[n])
+            ends = mapped(f"{at}.ends", "<i8", size + 1 if size else 0)
+            self._open[n] = mapped(f"{at}.keys", U64, size), ends, mapped(f"{at}.data", np.uint8, int(ends[-1]) if size else 0)
         keys, ends, data = self._open[n]
         at = int(np.searchsorted(keys, U64(key)))
         if at == len(keys) or int(keys[at]) != key:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.llm.store import HashStore, new_folder, write_store
-from harborwatch.llm.words import Prefix, Words, signed, word_chunks
+from harborwatch.llm.words import Prefix, Words, signed, small_batches, word_chunks
 
 U64 = np.uint64
 WINDOW = 35
@@ -283,7 +283,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text")
     """The sorted array of what repeats: segment hash to the mask of its repeated windows (or WINDOWS, and then window
     hash to 1)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(text_col).alias("text"))
     path = new_folder(spark, "segments")
     _count_segments(texts, window).write.parquet(path)
     segments = spark.read.parquet(path)

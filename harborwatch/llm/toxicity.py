@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborwatch.llm.words import _LOWER_BYTE, Prefix, buffers, chunks, signed, unsigned
+from harborwatch.llm.words import _LOWER_BYTE, Prefix, buffers, chunks, signed, small_batches, unsigned
 
 U64 = np.uint64
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
@@ -245,7 +245,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, offen
                     names.append("offending")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -259,7 +259,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataF
                 keep.append(_scores(s, end - row, model)[0] < threshold)
             yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.llm.bpe import _byte_letters
-from harborwatch.llm.words import buffers, chunks
+from harborwatch.llm.words import buffers, chunks, small_batches
 
 END = 256
 CACHE = 500_000
@@ -140,4 +140,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     ["doc_id", "n_words", "n_tokens", "longest"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long, longest long")
+    return small_batches(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long, longest long")

@@ -10,8 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
+#: Bytes of a batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that are worked on at once; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
@@ -35,6 +38,22 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; from now on its session sends batches of BATCH_BYTES to Python, where it sent larger ones.
+
+    By default a batch is 10 000 rows or 64 MB, which a task holds twice beside its arrays: too much of an executor's memory
+    where rows are whole texts.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        large = int(conf.get(name).rstrip("bB")) > BATCH_BYTES
+    except ValueError:
+        large = False  # somebody's own setting, with a unit
+    if large:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 _INVERSE = pow(_BASE, -1, 2**64)
 
 

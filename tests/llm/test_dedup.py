@@ -245,3 +245,28 @@ def test_bound_is_calibrated():
     d = vectors.directions(size)[:, : vectors.DIRECTIONS]
     hits = (np.abs((x - z) @ d) <= vectors.NARROW * np.sqrt(2 - 2 * cosine)).sum(axis=1)
     assert (hits >= vectors.bound()).mean() > 0.9
+
+
+# ---- stores
+
+
+def test_a_missing_or_cut_shard_is_an_error(spark):
+    import os
+
+    from harborwatch.llm.store import new_folder, write_blobs, write_store
+
+    rows = spark.createDataFrame([(k << 58, k, b"x" * 8) for k in range(-20, 20)], "k long, n long, b binary")
+    numbers = write_store(rows, new_folder(spark, "store-test"), "k", "n", "i8", 40)
+    blobs = write_blobs(rows, new_folder(spark, "store-test"), "k", "b", 8)
+    key = np.array([3 << 58], dtype=np.uint64)
+    assert numbers.find(key).tolist() == [3] and len(blobs.get(3 << 58, np.uint8)) == 8
+    assert numbers.find(np.array([5], dtype=np.uint64), default=-1).tolist() == [-1]
+    again, blobs_again = (type(s)(**{k: v for k, v in s.__getstate__().items() if k != "_open"}) for s in (numbers, blobs))
+    for s in (again, blobs_again):
+        for name in os.listdir(s.folder):
+            if name.endswith(".keys"):
+                os.truncate(f"{s.folder}/{name}", 0)
+    with pytest.raises((OSError, ValueError)):
+        again.find(key)
+    with pytest.raises((OSError, ValueError)):
+        blobs_again.get(3 << 58, np.uint8)
