@@ -187,9 +187,10 @@ class Model:
         for a, b in zip(edges, [*edges[1:], len(numbers)], strict=True):
             r = int(numbers[a]) // RANGE
             have = mapped(f"{self.folder}/{name}-{r}", np.uint32).reshape(-1, columns)
-            if not len(have):
+            if len(have):
+                out[a:b] = have[numbers[a:b] - r * RANGE]
+            elif self.total:  # a model that has learned from no text has no arrays
                 raise OSError(f"{self.folder}/{name}-{r} is missing or empty")
-            out[a:b] = have[numbers[a:b] - r * RANGE]
         return out
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
