@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.llm.words import _LOWER_BYTE, Prefix, buffers, chunks, signed, small_batches, unsigned
+from harborwatch.session import staged
 
 U64 = np.uint64
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
@@ -153,28 +153,34 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def _train(bags: pa.Table, n_features: int, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the noisy-or likelihood. A bag: label, n sentences, and its (at, number) hits."""
-    label = bags.column("label").to_numpy().astype(float)
-    hits = bags.column("at").combine_chunks()
-    count = hits.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    feature = bags.column("number").combine_chunks().flatten().to_numpy().astype(np.int64)
-    bag = np.repeat(np.arange(len(label)), count)
-    wide = int(pc.max(pc.list_flatten(hits)).as_py() or 0) + 1 if len(feature) else 1
-    some, row = np.unique(bag * wide + hits.flatten().to_numpy().astype(np.int64), return_inverse=True)
-    owner = some // wide  # the bag of each sentence with hits
-    plain = np.maximum(1, bags.column("n").to_numpy()) - np.bincount(owner, minlength=len(label))
+#: Hits that a step of the fit works on at once.
+BLOCK = 1 << 20
+
+
+def _train(label: np.ndarray, sentences: np.ndarray, owner: np.ndarray, sizes: np.ndarray, feature: np.ndarray, n_features: int, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the noisy-or likelihood. ``label`` and ``sentences`` are by bag, ``owner`` (the bag) and
+    ``sizes`` (of its features, one or more) by sentence with features, ``feature`` holds those one after the other."""
+    plain = np.maximum(1, sentences) - np.bincount(owner, minlength=len(label))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    # Blocks of whole sentences, so that no float array has an entry for every hit.
+    cuts = [0, *(np.flatnonzero(np.diff((ends - 1) // BLOCK)) + 1).tolist(), len(ends)]
+    blocks = [(a, b, int(ends[a] - sizes[a]), int(ends[b - 1])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
     w, bias = np.zeros(n_features), -4.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    z, slopes = np.zeros(len(owner)), np.zeros(n_features)
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(row, w[feature], len(owner))
+        for a, b, lo, hi in blocks:
+            z[a:b] = np.add.reduceat(w[feature[lo:hi]], ends[a:b] - sizes[a:b] - lo)
+        z += bias
         rest = plain * _softplus(np.array(bias)) + np.bincount(owner, _softplus(z), len(label))  # -log P(harmless)
         p = -np.expm1(-rest)
         # d loss / d rest: 1 for harmless documents, -(1 - p) / p for toxic ones
         slope = np.where(label > 0, -(1 - p) / np.maximum(p, 1e-12), 1.0)
-        hot, base = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        by_sentence = slope[owner] * hot if len(owner) else np.zeros(0)
-        g = np.append(np.bincount(feature, by_sentence[row], n_features) + ridge * w, by_sentence.sum() + (slope * plain * base).sum())
+        by_sentence, base = slope[owner] / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
+        slopes[:] = ridge * w
+        for a, b, lo, hi in blocks:
+            slopes += np.bincount(feature[lo:hi], np.repeat(by_sentence[a:b], sizes[a:b]), n_features)
+        g = np.append(slopes, by_sentence.sum() + (slope * plain * base).sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
@@ -183,11 +189,12 @@ def _train(bags: pa.Table, n_features: int, rounds: int, ridge: float) -> tuple[
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, least: int = 4, rounds: int = 400, ridge: float = 0.005) -> Model:
     """A model from labelled documents. Only text and toxic are inputs."""
-    sample = _sample(docs, labels, max_rows).filter("text is not null")
+    sample = staged(_sample(small_batches(docs), labels, max_rows).filter("text is not null"), "toxicity-sample")
     table = _feature_table(sample, max_features, least)
     if not len(table):
         return Model(table, np.zeros(0), -np.inf)
     maybe = Model(table, np.zeros(0), 0.0).maybe
+    short = np.dtype("<u2" if len(table) <= 1 << 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,16 +203,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
                 at, number = _hits(s, table, maybe)
                 whole = Prefix(_LOWER_BYTE[part]).hash(own[:-1], own[1:])
                 count = np.bincount(s.sentence_doc, minlength=end - row)
-                edges = np.searchsorted(s.sentence_doc[at] if len(at) else np.zeros(0, int), np.arange(end - row + 1))
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+                sizes = np.diff(np.append(first, len(at))).astype("<u4")
+                docs_of = np.arange(end - row + 1)
+                owner = s.sentence_doc[at] if len(at) else np.zeros(0, np.int64)
+                by_hit, by_sentence = np.searchsorted(owner, docs_of), np.searchsorted(owner[first], docs_of)
+                number = number.astype(short)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(signed(whole)), pa.array(label[row:end], pa.int32()), pa.array(count, pa.int32()),
-                    pa.array([(at[a:b] - at[a]).astype(np.int32) if b > a else at[:0].astype(np.int32) for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32())),
-                    pa.array([number[a:b].astype(np.int32) for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32())),
-                ], ["h", "label", "n", "at", "number"])
-
-    bags = sample.mapInArrow(run, "h long, label int, n int, at array<int>, number array<int>")
-    once = bags.groupBy("h").agg(F.max(F.struct("label", "n", "at", "number")).alias("b")).select("b.*")
-    weights, bias = _train(once.toArrow(), len(table), rounds, ridge)
+                    pa.array([sizes[a:b].tobytes() for a, b in zip(by_sentence, by_sentence[1:], strict=False)], pa.binary()),
+                    pa.array([number[a:b].tobytes() for a, b in zip(by_hit, by_hit[1:], strict=False)], pa.binary()),
+                ], ["h", "label", "n", "sizes", "number"])
+
+    bags = sample.mapInArrow(run, "h long, label int, n int, sizes binary, number binary")
+    once = bags.groupBy("h").agg(F.max(F.struct("label", "n", "sizes", "number")).alias("b")).select("b.*").toArrow()
+    blobs = once.column("sizes").to_pylist()
+    owner = np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs])
+    sizes = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
+    feature = np.frombuffer(b"".join(once.column("number").to_pylist()), short)
+    label, sentences = (once.column(c).to_numpy().astype(np.int64) for c in ("label", "n"))
+    del once, blobs
+    weights, bias = _train(label, sentences, owner, sizes, feature, len(table), rounds, ridge)
     return Model(table, weights, bias)
 
 

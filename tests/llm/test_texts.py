@@ -375,3 +375,49 @@ def test_toxicity_edge_tables(spark):
 
 def test_fit_bounds():
     assert toxicity.fit.__defaults__[:2] == (20_000, 20_000)  # rows and features
+
+
+# ---- noisy-or
+
+
+def test_a_document_is_the_noisy_or_of_its_sentences(spark):
+    rng = np.random.default_rng(3)
+    words = ["harbour", "idiots", "lantern", "stupid", "quiet", "vermin", "boat", "grey"]
+    sentences = [" ".join(rng.choice(words, rng.integers(1, 6))).capitalize() + "." for _ in range(60)]
+    docs = [(k, " ".join(rng.choice(sentences, rng.integers(1, 8)))) for k in range(80)]
+    labels = spark.createDataFrame([(k, int("stupid" in t.lower() or "vermin" in t.lower())) for k, t in docs], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels, least=1)
+    assert len(model.features)
+    ones = spark.createDataFrame(list(enumerate(sentences)), "doc_id long, text string")
+    alone = {sentences[r["doc_id"]]: r["score"] for r in toxicity.score_documents(ones, model).collect()}
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for k, text in docs:
+        harmless = 1.0
+        for s in re.findall(r"[^.]+\.", text):
+            harmless *= 1 - alone[s.strip()]
+        assert abs(found[k] - (1 - harmless)) < 1e-9
+
+
+def test_training_follows_plain_gradients(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 7)  # several blocks
+    rng = np.random.default_rng(4)
+    bags = [(int(rng.integers(0, 2)), [sorted(set(rng.integers(0, 6, rng.integers(0, 4)).tolist())) for _ in range(rng.integers(1, 6))]) for _ in range(30)]
+    hits = [(k, s) for k, (_, ss) in enumerate(bags) for s in ss if s]
+    got = toxicity._train(
+        np.array([b for b, _ in bags]), np.array([len(ss) for _, ss in bags]), np.array([k for k, _ in hits]),
+        np.array([len(s) for _, s in hits]), np.array([f for _, s in hits for f in s], dtype="<u2"), 6, 25, 0.01)
+    w, bias, m, v = np.zeros(6), -4.0, np.zeros(7), np.zeros(7)
+    for t in range(1, 26):
+        g = np.append(0.01 * w, 0.0)
+        for label, sentences in bags:
+            p = [1 / (1 + np.exp(-(bias + sum(w[f] for f in s)))) for s in sentences]
+            harmless = np.prod([1 - x for x in p])
+            slope = -harmless / (1 - harmless) if label else 1.0
+            for x, s in zip(p, sentences, strict=True):
+                g[6] += slope * x
+                for f in s:
+                    g[f] += slope * x
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        w, bias = w - step[:6], bias - step[6]
+    assert np.allclose(got[0], w, atol=1e-9) and abs(got[1] - bias) < 1e-9
