@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborwatch.llm.words import small_batches
+from harborwatch.llm.words import lean, small_batches
 
 #: Entries of a generation of each cache of a worker.
 CACHE = 300_000
@@ -437,7 +437,7 @@ def encoder(path: str) -> Encoder:
 
 
 #: Bytes of text that are encoded at once.
-STRETCH = 8_000_000
+STRETCH = 4_000_000
 
 
 def stretches(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = STRETCH) -> Iterator[pa.RecordBatch]:
@@ -480,7 +480,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 pa.array(coder.decode_column(ids, bounds), pa.string()),
             ], schema=schema)
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -498,7 +498,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in coder.decode_column(ids, bounds)]),
             ], names)
 
-    return small_batches(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(ids: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -510,4 +510,4 @@ def decode_documents(ids: DataFrame, vocabulary: str, id_col: str = "doc_id", id
             texts = [coder.decode(np.array(x.as_py() or [], dtype="<u4").tobytes()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return ids.select(F.col(id_col).cast("long"), ids_col).mapInArrow(run, "doc_id long, text string")
+    return ids.select(F.col(id_col).cast("long"), ids_col).mapInArrow(lean(run), "doc_id long, text string")

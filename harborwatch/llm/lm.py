@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.llm.store import HashStore, gathered, mapped, new_folder, put, shard_bits, write_store
-from harborwatch.llm.words import Words, buffers, chunks, mix, signed, small_batches, unsigned
+from harborwatch.llm.words import Words, buffers, chunks, lean, mix, signed, small_batches, unsigned
 
 U64 = np.uint64
 END = U64(0x5BD1E9955BD1E995)
@@ -277,7 +277,7 @@ def train(docs: DataFrame) -> Model:
         if parts:
             yield run()
 
-    counted = texts.mapInArrow(count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(lean(count_words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     spark_counts = new_folder(spark, "words")
     counted.write.parquet(spark_counts)
     counted = spark.read.parquet(spark_counts)
@@ -355,11 +355,11 @@ def train(docs: DataFrame) -> Model:
             n = [*np.bincount(np.minimum(seen, 5), minlength=6).tolist(), int(seen.sum())]
             yield pa.RecordBatch.from_arrays([pa.array(["words"]), pa.array([n], pa.list_(pa.int64()))], ["name", "n"])
 
-    runs = texts.mapInArrow(count_pairs, "s int, k binary, c binary").repartition(1 << bits, "s").sortWithinPartitions("s")
+    runs = texts.mapInArrow(lean(count_pairs), "s int, k binary, c binary").repartition(1 << bits, "s").sortWithinPartitions("s")
     fields = "s long, t int, name string, k binary, c binary"
     ranges = words // RANGE + 1
-    some = runs.mapInArrow(merge_pairs, fields).repartition(max(8, 2 * ranges * salts), "s", "t").sortWithinPartitions("s", "t").mapInArrow(sum_some, fields)
-    sums = some.repartition(max(8, 2 * ranges), "s").sortWithinPartitions("s", "t").mapInArrow(sum_ranges, "name string, n array<long>")
+    some = runs.mapInArrow(lean(merge_pairs), fields).repartition(max(8, 2 * ranges * salts), "s", "t").sortWithinPartitions("s", "t").mapInArrow(lean(sum_some), fields)
+    sums = some.repartition(max(8, 2 * ranges), "s").sortWithinPartitions("s", "t").mapInArrow(lean(sum_ranges), "name string, n array<long>")
     kinds = {"pairs": np.zeros(7, np.int64), "words": np.zeros(7, np.int64)}
     for r in sums.collect():  # a row for each range of a million words
         kinds[r["name"]][: len(r["n"])] += np.array(r["n"])
@@ -400,7 +400,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(base), pa.array(score), pa.array(10.0 ** np.minimum(-score / n, 300.0)),
                 ], names)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from harborwatch.llm.graph import Joined, components, group_pairs
 from harborwatch.llm.store import BlobStore, new_folder, write_blobs, write_store
-from harborwatch.llm.words import Prefix, mix, signed, small_batches, unsigned, word_chunks
+from harborwatch.llm.words import Prefix, lean, mix, signed, small_batches, unsigned, word_chunks
 from harborwatch.session import staged
 
 U64, U32 = np.uint64, np.uint32
@@ -116,7 +116,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
                     pa.array(list(signed(bands)), pa.list_(pa.int64())),
                 ], ["doc_id", "a", "b", "n", "record", "bands"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, a long, b long, n long, record binary, bands array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, a long, b long, n long, record binary, bands array<long>")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -194,7 +194,7 @@ def _links(tiles: DataFrame, profiles: BlobStore, sets: BlobStore, percent: int,
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(u, U64))), pa.array(signed(np.array(v, U64)))], ["u", "v"])
 
-    return tiles.mapInArrow(run, "u long, v long")
+    return tiles.mapInArrow(lean(run), "u long, v long")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, size: int = SIZE, miss: float = 1e-6) -> DataFrame:
@@ -227,7 +227,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = SIZE, miss: floa
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), n // 5_000)
-    sets = write_blobs(texts.mapInArrow(wanted_sets, "a long, set binary").dropDuplicates(["a"]), new_folder(spark, "sets"), "a", "set", parts)
+    sets = write_blobs(texts.mapInArrow(lean(wanted_sets), "a long, set binary").dropDuplicates(["a"]), new_folder(spark, "sets"), "a", "set", parts)
     records = usable.join(needed.select("a", "b"), ["a", "b"], "left_semi").groupBy("a").agg(F.first("record").alias("record"))
     profiles = write_blobs(records, new_folder(spark, "records"), "a", "record", parts)
     tiles = rows.withColumn("parts", F.ceil(F.col("members") / TILE).cast("int"))
@@ -262,7 +262,7 @@ def deduplicate(docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFra
             keys = mix(unsigned(batch.column(0).to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.ones(len(keys), np.int64))], ["k", "one"])
 
-    gone = staged(groups.filter(~F.col("kept")).select("doc_id").distinct().mapInArrow(hashed, "k long, one long"), "gone")
+    gone = staged(groups.filter(~F.col("kept")).select("doc_id").distinct().mapInArrow(lean(hashed), "k long, one long"), "gone")
     store = write_store(gone, new_folder(spark, "gone-ids"), "k", "one", "i1", gone.count())
     at = docs.columns.index("doc_id")
 
@@ -273,4 +273,4 @@ def deduplicate(docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFra
             keep = store.find(mix(unsigned(ids.cast(pa.int64()).fill_null(0).to_numpy()))) == 0
             yield batch.filter(pa.array(keep | ~known))
 
-    return small_batches(docs).mapInArrow(stay, docs.schema)
+    return small_batches(docs).mapInArrow(lean(stay), docs.schema)

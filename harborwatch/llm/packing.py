@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborwatch.llm.bpe import encoder, stretches
-from harborwatch.llm.words import small_batches
+from harborwatch.llm.words import lean, small_batches
 from harborwatch.session import staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 1024, end_id: int
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(at + start, bounds[-1]), pa.int32()), pa.array(ids.view("<i4"))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), PIECES + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[float, float, float], choose: str = "dot") -> list[tuple[int, int, int, int, int]]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborwatch.llm.store import HashStore, new_folder, write_store
-from harborwatch.llm.words import Prefix, Words, signed, small_batches, word_chunks
+from harborwatch.llm.words import Prefix, Words, lean, signed, small_batches, word_chunks
 
 U64 = np.uint64
 WINDOW = 35
@@ -211,7 +211,7 @@ def _count_segments(texts: DataFrame, window: int) -> DataFrame:
                 some, at, n = np.unique(hashes, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at])), pa.array(signed(some)), pa.array(n)], ["key", "segment", "n"])
 
-    found = texts.mapInArrow(run, "key long, segment long, n long")
+    found = texts.mapInArrow(lean(run), "key long, segment long, n long")
     return found.groupBy("key", "segment").agg(F.sum("n").alias("n"))
 
 
@@ -244,7 +244,7 @@ def _contested_rows(texts: DataFrame, store: HashStore, window: int) -> DataFram
                     some, count = np.unique(s.window_hashes(hot)[2], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(some)), pa.array(signed(some)), pa.array(count), pa.nulls(len(some), pa.binary())], names)
 
-    return texts.mapInArrow(run, "deal long, id long, n long, words binary")
+    return texts.mapInArrow(lean(run), "deal long, id long, n long, words binary")
 
 
 def _search_shards(rows: DataFrame, window: int, shards: int) -> DataFrame:
@@ -276,7 +276,7 @@ def _search_shards(rows: DataFrame, window: int, shards: int) -> DataFrame:
 
     # Equal windows have one id, so a window's count says all; those that stand once go before the shuffle.
     dealt = rows.select("deal", "id", "n", "words").filter("words is not null or n > 1").repartition(shards, "deal").sortWithinPartitions("deal")
-    return dealt.mapInArrow(run, "id long, mask long").filter("mask != 0")
+    return dealt.mapInArrow(lean(run), "id long, mask long").filter("mask != 0")
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> HashStore:
@@ -352,7 +352,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     ["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _kept(data: np.ndarray, words: Words, keep: np.ndarray) -> Iterator[bytes]:
@@ -385,4 +385,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     part = part.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborwatch.llm.words import _LOWER_BYTE, Prefix, buffers, chunks, signed, small_batches, unsigned
+from harborwatch.llm.words import Prefix, _LOWER_BYTE, buffers, chunks, lean, signed, small_batches, unsigned
 from harborwatch.session import staged
 
 U64 = np.uint64
@@ -123,7 +123,7 @@ def _feature_table(sample: DataFrame, max_features: int, least: int) -> np.ndarr
                     ["f", "pos", "neg"],
                 )
 
-    sums = sample.mapInArrow(run, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") >= least)
+    sums = sample.mapInArrow(lean(run), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") >= least)
     n = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos or not neg:
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
                     pa.array([number[a:b].tobytes() for a, b in zip(by_hit, by_hit[1:], strict=False)], pa.binary()),
                 ], ["h", "label", "n", "sizes", "number"])
 
-    bags = sample.mapInArrow(run, "h long, label int, n int, sizes binary, number binary")
+    bags = sample.mapInArrow(lean(run), "h long, label int, n int, sizes binary, number binary")
     once = bags.groupBy("h").agg(F.max(F.struct("label", "n", "sizes", "number")).alias("b")).select("b.*").toArrow()
     blobs = once.column("sizes").to_pylist()
     owner = np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs])
@@ -263,7 +263,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, offen
                     names.append("offending")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), fields)
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -277,7 +277,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataF
                 keep.append(_scores(s, end - row, model)[0] < threshold)
             yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(lean(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
