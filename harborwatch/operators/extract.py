@@ -56,14 +56,8 @@ def next_page_urls(frame: DataFrame) -> DataFrame:
     return fence(found).filter(F.col("next_url").isNotNull())
 
 
-def thread_list_scrape(
-    pages: DataFrame, paths: DataFrame, origin: DataFrame, offset: int = DEFAULTS.link_offset
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New thread links, next-page addresses and new ``last_url`` values of captured list pages.
-
-    The pages are parsed once; their links, a small part of them, are written to the shared folder
-    and read for the three answers.
-    """
+def list_rows(pages: DataFrame, paths: DataFrame) -> DataFrame:
+    """(origin_id, page_no, url, links, next_url) of captured list pages, a stream or a table."""
     frame = list_frame(pages, paths, ["origin_id"])
     link_steps = dom.selector_steps(F.concat_ws(" ", "table_body_path", F.coalesce("thread_link_path", F.lit(""))))
     marked = frame.withColumn("__steps", link_steps).withColumn(
@@ -74,9 +68,18 @@ def thread_list_scrape(
         return resolve_url(F.try_element_at(n["attrs"], F.lit("href")), F.col("url"))
 
     found = F.transform(dom.select_nodes(_nodes(), F.col("__steps")), address)
-    rows = staged(
-        marked.select("origin_id", "page_no", found.alias("links"), next_page_url().alias("next_url")), "list-links"
-    )
+    return marked.select("origin_id", "page_no", "url", found.alias("links"), next_page_url().alias("next_url"))
+
+
+def thread_list_scrape(
+    pages: DataFrame, paths: DataFrame, origin: DataFrame, offset: int = DEFAULTS.link_offset
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New thread links, next-page addresses and new ``last_url`` values of captured list pages.
+
+    The pages are parsed once; their links, a small part of them, are written to the shared folder
+    and read for the three answers.
+    """
+    rows = staged(list_rows(pages, paths).drop("url"), "list-links")
     links = rows.select("origin_id", "page_no", F.posexplode("links").alias("pos", "link"))
     forward = rows.filter(F.col("next_url").isNotNull()).select("origin_id", "page_no", "next_url")
     return links_until_seen(links, origin), forward, next_last_url(links, offset)

@@ -22,6 +22,7 @@ from harborwatch.operators.origins import advance_checkpoint
 from harborwatch.plans.ingest import load_files
 from harborwatch.schemas import TABLES
 from harborwatch.sources import csv_files, feeds
+from harborwatch.streaming import crawl
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("domain", T.StringType()),
@@ -153,28 +154,40 @@ def stream_pages(
 
 
 def stream_list_pages(
-    stream: DataFrame, paths: DataFrame, origin: DataFrame, out_dir: str, checkpoint: str, settings: Settings = DEFAULTS
+    stream: DataFrame, paths: DataFrame, origin: DataFrame, out_dir: str, checkpoint: str, settings: Settings = DEFAULTS,
+    idle_ms: int = 3_600_000,
 ) -> StreamingQuery:
     """Captured list pages to ``links``, ``next_pages`` and ``last_urls``; a link is stored once per origin.
 
-    Links end at any ``last_url`` that ``origin`` or an earlier batch knows, so the pages of one crawl of an origin
-    must land together. Each batch's rows of ``last_urls`` are the origin's new value.
+    The pages of a crawl may land in any number of batches, see ``crawl``: each origin's state is kept by the query, so no
+    batch reads what was stored before. ``origin`` gives the last url of origins that the stream hasn't met. Rows of
+    ``last_urls`` are the origin's new value. A crawl that has had no page for ``idle_ms`` ends with the next batch of any
+    origin. The state is kept in RocksDB, which the session is set to while the query starts.
     """
-    prepare(stream.sparkSession, out_dir, {"links": LINK_SCHEMA, "next_pages": NEXT_SCHEMA, "last_urls": LAST_URL_SCHEMA})
+    spark = stream.sparkSession
+    prepare(spark, out_dir, {"links": LINK_SCHEMA, "next_pages": NEXT_SCHEMA, "last_urls": LAST_URL_SCHEMA})
+    found = crawl.found_on_pages(extract.list_rows(stream, paths), origin, settings.link_offset, idle_ms)
 
     def each(batch: DataFrame, no: int) -> None:
-        spark = batch.sparkSession
-        moved = stored(spark, out_dir, "last_urls", LAST_URL_SCHEMA, before=no)
-        known = origin.select("origin_id", "last_url").unionByName(moved)
-        links, forward, last = extract.thread_list_scrape(batch, paths, known, settings.link_offset)
-        once = links.groupBy("origin_id", "link").agg(F.min(F.struct("page_no", "pos")).alias("at"))
-        before = stored(spark, out_dir, "links", LINK_SCHEMA, before=no).select("origin_id", "link")
-        fresh = once.join(before, ["origin_id", "link"], "left_anti")
-        write_batch(fresh.select("origin_id", "at.page_no", "at.pos", "link"), out_dir, "links", no)
-        write_batch(forward.distinct(), out_dir, "next_pages", no)
-        write_batch(last.groupBy("origin_id").agg(F.min("last_url").alias("last_url")), out_dir, "last_urls", no)
-
-    return _run(stream, checkpoint, each)
+        write_batch(batch, out_dir, "found", no)  # once, so that all tables agree
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{out_dir}/found/batch={no}")
+        link, forward, last = (rows.filter(F.col("kind") == kind) for kind in ("link", "next", "last_url"))
+        write_batch(link.select("origin_id", "page_no", "pos", F.col("value").alias("link")), out_dir, "links", no)
+        write_batch(forward.select("origin_id", "page_no", F.col("value").alias("next_url")), out_dir, "next_pages", no)
+        # Several crawls may begin in one batch; the last one's value holds.
+        newest = last.groupBy("origin_id").agg(F.max_by("value", F.col("key").cast("long")).alias("last_url"))
+        write_batch(newest, out_dir, "last_urls", no)
+
+    # Timers would call for one more batch without pages after each, without end; they go off with the next pages.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": crawl.ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        return _run(found, checkpoint, each)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _names(files: DataFrame) -> list[str]:

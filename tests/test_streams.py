@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from harborwatch.schemas import TABLES
@@ -110,7 +111,7 @@ def test_files_longer_than_a_binary_cell(spark, tmp_path):
     assert data.count() == 1 + 9 + 9 and data.select("_id_data").distinct().count() == 19
 
 
-def test_list_pages(spark, tmp_path):
+def test_list_pages(spark, tmp_path, one_partition):
     src, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
     paths = spark.createDataFrame([(1, "ul", "a", "b.next")], "origin_id long, table_body_path string, thread_link_path string, next_page_path string")
     origin = spark.createDataFrame([(1, None)], "origin_id long, last_url string")
@@ -133,8 +134,84 @@ def test_list_pages(spark, tmp_path):
     assert run() == ([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], ["/3", "/5"])
 
 
-def test_register_order_is_checked(spark, tmp_path):
-    import pytest
+@pytest.fixture()
+def one_partition(spark):
+    """One state store a query: opening one takes far longer than what these tests put in it."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _landing(spark, tmp_path, last_url=None):
+    """Functions that land pages (number, threads on it) of origin 1 and run the stream; its links and last urls."""
+    src, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    paths = spark.createDataFrame([(1, "ul", "a", "b.next")], "origin_id long, table_body_path string, thread_link_path string, next_page_path string")
+    origin = spark.createDataFrame([(1, last_url)], "origin_id long, last_url string")
 
+    def land(*pages, at=1):
+        rows = [(at, no, f"https://f.example/list?{no}", "<ul>" + "".join(f'<li><a href="https://f.example/t/{n}">t</a></li>' for n in on) + "</ul>")
+                for no, on in pages]
+        spark.createDataFrame(rows, streams.LIST_PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+
+    def run(idle_ms=3_600_000):
+        stream = spark.readStream.schema(streams.LIST_PAGE_SCHEMA).parquet(src)
+        streams.stream_list_pages(stream, paths, origin, out, state, idle_ms=idle_ms).awaitTermination()
+        links = streams.stored(spark, out, "links", streams.LINK_SCHEMA).filter("origin_id = 1").collect()
+        last = spark.read.parquet(f"{out}/last_urls").filter("origin_id = 1").orderBy("batch").collect()
+        return sorted((r["page_no"], r["pos"], int(r["link"].rsplit("/", 1)[1])) for r in links), [r["last_url"].rsplit("/", 1)[1] for r in last]
+
+    return land, run
+
+
+PAGES = [(0, range(40, 30, -1)), (1, range(30, 20, -1)), (2, range(20, 10, -1)), (3, range(10, 0, -1))]
+
+
+def test_a_crawl_in_three_batches_gives_what_one_gives(spark, tmp_path, one_partition):
+    known = "https://f.example/t/17"
+    land, run = _landing(spark, tmp_path / "one", known)
+    land(*PAGES)
+    want = run()
+    assert [n for _, _, n in want[0]] == list(range(40, 17, -1)) and want[1] == ["35"]
+    for k, parts in enumerate([[PAGES[:1], PAGES[1:2], PAGES[2:]], [PAGES[3:], PAGES[:2], PAGES[2:3]]]):
+        land, run = _landing(spark, tmp_path / f"parts{k}", known)
+        for part in parts:
+            land(*part)
+            got = run()
+        assert got == want
+
+
+def test_the_next_crawl_ends_where_the_one_before_began(spark, tmp_path, one_partition):
+    land, run = _landing(spark, tmp_path)
+    land(*PAGES[:2])
+    assert len(run()[0]) == 20
+    # Thread 35 is known; its page lands before the first one of the new crawl, and later pages don't bring old links.
+    land((1, [37, 36, 35, 34, 33, 5]))
+    assert len(run()[0]) == 20
+    land((0, [46, 45, 44, 43, 42, 41, 40, 39, 38]), (2, [4, 3]))
+    links, last = run()
+    assert sorted(n for _, _, n in links) == list(range(21, 47)) and last == ["35", "41"]
+    land(*PAGES)  # a first page whose sixth link is older moves the mark all the same, and nothing is stored twice
+    links, last = run()
+    assert len(links) == len({n for _, _, n in links}) and last[-1] == "35"
+
+
+def test_pages_behind_a_missing_one_come_when_the_crawl_ends(spark, tmp_path, one_partition):
+    land, run = _landing(spark, tmp_path)
+    land(PAGES[0], PAGES[2])
+    assert len(run()[0]) == 10  # page 1 is missing
+    land((0, [50, 49, 48, 47, 46, 45, 44]))
+    assert sorted(n for _, _, n in run()[0]) == [*range(11, 21), *range(31, 41), *range(44, 51)]
+
+
+def test_an_idle_crawl_ends(spark, tmp_path, one_partition):
+    land, run = _landing(spark, tmp_path)
+    land(PAGES[0], PAGES[2])
+    assert len(run(idle_ms=1)[0]) == 10
+    land((0, [1]), at=2)  # any batch lets the timer go off
+    assert len(run(idle_ms=1)[0]) == 20
+
+
+def test_register_order_is_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         streams.stream_files(spark, str(tmp_path), "o", "s", as_of(), register="never")
