@@ -10,7 +10,7 @@ from harborwatch.catalog.registry import register, table
 from harborwatch.config import DEFAULTS
 from harborwatch.functions import text as tx
 from harborwatch.functions import urls
-from harborwatch.operators import audit, origins, tables
+from harborwatch.operators import audit, origins, replay, tables
 from harborwatch.schemas import PATH_COLUMNS, TABLES
 from harborwatch.session import scratch_path, staged
 from harborwatch.sources import feeds
@@ -250,6 +250,44 @@ def refresh_history_channel(spark: SparkSession, sf: str) -> DataFrame:
     return _refresh(spark, sf, channel=True)
 
 
+def _replay_sql(changed: str) -> str:
+    return f"""WITH RECURSIVE history AS ({d.CTES['history']}),
+    log AS (SELECT user_id AS o, ts + INTERVAL 20 DAY AS ts, min(event_type) AS infos FROM events GROUP BY 1, 2),
+    newest AS (SELECT _id_origin AS o, updated_time AS t0, additional_infos AS old FROM history
+        QUALIFY row_number() OVER (PARTITION BY _id_origin ORDER BY updated_time DESC, _id_origin_history DESC) = 1),
+    due AS (
+        SELECT n.o, min(l.ts) AS ts FROM newest n JOIN log l ON l.o = n.o AND l.ts > n.t0 + INTERVAL 12 HOUR GROUP BY n.o
+        UNION ALL SELECT a.o, min(l.ts) FROM due a JOIN log l ON l.o = a.o AND l.ts > a.ts + INTERVAL 12 HOUR GROUP BY a.o
+    ),
+    told AS (SELECT o, ts, infos, old, t0, lag(infos) OVER (PARTITION BY o ORDER BY ts) AS prior,
+        row_number() OVER (PARTITION BY o ORDER BY ts) AS k FROM due JOIN log USING (o, ts) JOIN newest USING (o)),
+    runs AS (SELECT *, sum(CASE WHEN {changed} THEN 1 ELSE 0 END) OVER (PARTITION BY o ORDER BY ts) AS run FROM told),
+    ends AS (SELECT o, run, any_value(t0) AS t0, any_value(infos) AS infos, max(ts) AS last FROM runs GROUP BY o, run)
+    SELECT h.additional_infos, {stamp_sql('coalesce(e.last, h.updated_time)')} AS updated_time, h._id_origin
+    FROM history h LEFT JOIN ends e ON e.run = 0 AND e.o = h._id_origin AND e.t0 = h.updated_time
+    UNION ALL SELECT infos, {stamp_sql('last')}, o FROM ends WHERE run > 0"""
+
+
+def _replay(spark: SparkSession, sf: str, channel: bool) -> DataFrame:
+    """Every event once more, twenty days later, as a check of its user's origin."""
+    log = table(spark, sf, "events").select(
+        F.col("user_id").alias("_id_origin"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 20 DAYS")).alias("ts"),
+        F.col("event_type").alias("additional_infos"),
+    )
+    after = replay.replay_checks(d.history(spark, sf), log, channel=channel)
+    return after.select("additional_infos", stamp("updated_time").alias("updated_time"), "_id_origin")
+
+
+@register("replay_checks", _replay_sql("infos <> CASE WHEN k = 1 THEN old ELSE prior END"))
+def replay_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return _replay(spark, sf, channel=False)
+
+
+@register("replay_checks_channel", _replay_sql("TRUE"))
+def replay_checks_channel(spark: SparkSession, sf: str) -> DataFrame:
+    return _replay(spark, sf, channel=True)
+
+
 _RESET_SQL = """
     , resets AS (SELECT _id_origin, max(ts) AS last_reset FROM checks WHERE reachable AND stale GROUP BY 1),
     up AS (SELECT c._id_origin, count(*) AS n FROM checks c LEFT JOIN resets r USING (_id_origin)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from harborwatch.operators import audit, origins, tables
+from harborwatch.operators import audit, origins, replay, tables
 from harborwatch.plans.skew import SALTS_CONF, pick_top, spread_join
 from harborwatch.schemas import PATH_COLUMNS, TABLES
 
@@ -182,3 +182,53 @@ def test_audits(spark):
         "origin.domain:length": 1, "origin.category:null": 1,
         "source.crawled_time:null": 2, "source.updated_time:null": 2,
     }
+
+
+def plain_replay(rows, log, age, channel):
+    """One check after the other."""
+    rows = [list(r) for r in rows]  # origin, time, infos, in the order of their ids
+    fixed = len(rows)
+    for o in sorted({r[0] for r in rows}):
+        for ts in sorted({t for p, t, _ in log if p == o and t is not None}):
+            infos = min((x for p, t, x in log if p == o and t == ts), key=lambda x: (x is not None, x or ""))
+            newest = max(r[1] for r in rows if r[0] == o)
+            tied = [r for k, r in enumerate(rows) if r[0] == o and r[1] == newest]
+            if ts <= newest + age:
+                continue
+            if not channel and tied[-1][2] == infos:
+                for r in tied:
+                    r[1] = ts
+            else:
+                rows.append([o, ts, infos])
+    assert len(rows) >= fixed
+    return sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("channel", [False, True])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_replay_is_one_check_after_the_other(spark, seed, channel):
+    import random
+
+    rng = random.Random(seed)
+    start = datetime(1969, 12, 28)  # times before and after the epoch
+    minutes = [0, 1, 719, 720, 721, 1440, 3000]
+    rows = [(o, start + timedelta(minutes=rng.choice(minutes)), rng.choice(["a", "b", None])) for o in (0, 0, 0, 1, 2, 3)]
+    rows += [(0, max(t for o, t, _ in rows if o == 0), "a")]  # a tie
+    log = []
+    for _ in range(400):  # origin 0 has most of them, with gaps, ties and exact twelve hours
+        o = rng.choice([0, 0, 0, 0, 1, 2, 9])
+        log.append((o, start + timedelta(minutes=rng.choice([720 * rng.randint(0, 30), rng.randint(0, 9000), 30_000 + rng.randint(0, 2000)])), rng.choice(["a", "b", "b", None])))
+    log += log[:20] + [(0, None, "a"), (1, None, None)]
+    df = spark.createDataFrame(log, "_id_origin long, ts timestamp, additional_infos string").withColumn("run", F.lit("x"))
+    out = replay.replay_checks(history(spark, rows), df, channel=channel)
+    got = sorted(([r["_id_origin"], r["updated_time"], r["additional_infos"]] for r in out.collect()), key=repr)
+    assert got == plain_replay(rows, log, H12, channel)
+    assert out.select("_id_origin_history").distinct().count() == len(got)
+
+
+def test_replay_of_empty_tables(spark):
+    rows = [(0, NOW, "a")]
+    none = spark.createDataFrame([], "_id_origin long, ts timestamp, additional_infos string")
+    assert replay.replay_checks(history(spark, rows), none).count() == 1
+    log = spark.createDataFrame([(0, NOW, "a")], none.schema)
+    assert replay.replay_checks(history(spark, []), log).count() == 0
