@@ -3,8 +3,9 @@
 Base kinds (assign, access, hex) are reported wherever they stand. Weak candidates (ident, opaque, endpoint) are common
 in clean text; one is reported only where the parts that complete it co-occur within ``scope`` characters in the same
 document: a name needs a secret, an opaque string a name or an endpoint, an endpoint a name and a secret. The interval
-join between parts is by the nearest part of each role on either side, so a document with many parts yields a row a
-part, never a row a pair.
+join between parts is by the nearest part of each role on either side that doesn't overlap, so a document with many parts
+yields a row a part, never a row a pair, and no match completes itself. An opaque string inside an address, or one cut
+into many parts by slashes as a path is, is no candidate: clean links stay as they are.
 
 Positions are code points: ``split`` gives the text between matches, whose lengths add up to the places.
 
@@ -26,20 +27,24 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]{16,}", "name"),
     ("hex", r"[0-9a-f]{24,}", "secret"),
     ("ident", r"""(?i:(?:user(?:_?name)?|login|account|client_?id|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", "name"),
-    ("opaque", r"[A-Za-z0-9+/]{32,}={0,2}", "secret"),
+    ("opaque", r"(?:https?|jdbc:[a-z]+|s3|ftp)://[^\s\"'<>]*|[A-Za-z0-9+/]{32,}={0,2}", "secret"),  # an address hides what it covers
     ("endpoint", r"""(?:https?|jdbc:[a-z]+|s3|ftp)://[A-Za-z0-9.-]+(?::[0-9]+)?|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b""", "endpoint"),
 ]
 BASE = 3
 #: What a text must hold for the pattern to match; a cheap look before the costly one.
 ASSIGN_VALUE = 6
+#: A string with more slashes than one for so many characters is a path.
+PATH_STEP = 16
 
 
 def _kept(kind: str, match: Column) -> Column:
     if kind == "assign":
         value = F.regexp_extract(match, "^" + KINDS[0][1], 2)
         return F.length(value) >= ASSIGN_VALUE
-    if kind == "opaque":  # mixed characters; a word or a number alone is none
-        return match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
+    if kind == "opaque":  # mixed characters; a word, a number, an address or a path is none
+        slashes = F.length(match) - F.length(F.replace(match, F.lit("/"), F.lit("")))
+        mixed = match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
+        return mixed & ~match.contains("://") & (slashes * PATH_STEP <= F.length(match))
     return F.lit(True)
 
 
@@ -71,18 +76,26 @@ def parts(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame
 def link(found: DataFrame, keys: list[str], scope: int = 300) -> DataFrame:
     """``found`` with ``reported``: base kinds, and weak ones whose complementary parts stand within ``scope``."""
     role = F.element_at(F.array(*[F.lit(r) for _, _, r in KINDS]), F.col("kind") + 1)
-    before = Window.partitionBy(*keys).orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy("start", "end", "kind").rowsBetween(1, Window.unboundedFollowing)
-    near = {}
-    for r in ("name", "secret", "endpoint"):
-        left = F.max(F.when(F.col("role") == r, F.col("end"))).over(before)
-        right = F.min(F.when(F.col("role") == r, F.col("start"))).over(after)
-        near[r] = F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
+    # Matches of one kind don't overlap each other, so of each kind only the nearest on a side can overlap a match, and
+    # the one beyond it is clear: by start to the left, by end to the right.
+    own = Window.partitionBy(*keys, "kind").orderBy("start")
+    by_start = Window.partitionBy(*keys).orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    by_end = Window.partitionBy(*keys).orderBy("end", "start", "kind").rowsBetween(1, Window.unboundedFollowing)
+    beside = found.withColumn("beyond_left", F.lag("end").over(own)).withColumn("beyond_right", F.lead("start").over(own))
+    near: dict[str, Column] = {}
+    for k, (_, _, r) in enumerate(KINDS):
+        mine = F.col("kind") == k
+        left = F.last(F.when(mine, F.struct("end", "beyond_left")), ignorenulls=True).over(by_start)
+        right = F.first(F.when(mine, F.struct("start", "beyond_right")), ignorenulls=True).over(by_end)
+        left = F.when(left["end"] <= F.col("start"), left["end"]).otherwise(left["beyond_left"])
+        right = F.when(right["start"] >= F.col("end"), right["start"]).otherwise(right["beyond_right"])
+        close = F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
+        near[r] = near[r] | close if r in near else close
     complete = F.when(F.col("kind") < BASE, True).when(F.col("role") == "name", near["secret"]).when(
         F.col("role") == "secret", near["name"] | near["endpoint"]
     ).otherwise(near["name"] & near["secret"])
     reported = F.col("kind").isNotNull() & F.coalesce(complete, F.lit(False))
-    return found.withColumn("role", role).withColumn("reported", reported).drop("role")
+    return beside.withColumn("role", role).withColumn("reported", reported).drop("role", "beyond_left", "beyond_right")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300) -> DataFrame:
@@ -108,21 +121,25 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = 300) -> DataFra
     Only documents with a candidate are joined with their spans, by a hash of the text; equal texts share them.
     """
     text = F.col(text_col)
+    own = "__"  # begins names that the documents don't have
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    a, b, t, s = (f"{own}{c}" for c in "abts")
     any_part = F.coalesce(F.lit(False) if not KINDS else _any(text), F.lit(False))
-    hit = docs.filter(any_part).withColumn("__a", F.xxhash64(text)).withColumn("__b", F.xxhash64(F.lit(1), text))
-    keys = ["__a", "__b"]
-    found = link(parts(hit.select(*keys, text.alias("__t")).dropDuplicates(keys), keys, "__t"), keys, scope).filter("reported")
+    hit = docs.filter(any_part).withColumn(a, F.xxhash64(text)).withColumn(b, F.xxhash64(F.lit(1), text))
+    keys = [a, b]
+    found = link(parts(hit.select(*keys, text.alias(t)).dropDuplicates(keys), keys, t), keys, scope).filter("reported")
     # Spans that overlap or touch one another are one island, named by its first.
     w = Window.partitionBy(*keys).orderBy("start", "end", "kind")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(w))
     islands = islands.groupBy(*keys, "island").agg(F.min(F.struct("start", "kind")).alias("first"), F.max("end").alias("end"))
-    spans = islands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias("__s"))
+    spans = islands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias(s))
     name = lambda k: F.element_at(F.array(*[F.lit(f"[{k}]") for k, _, _ in KINDS]), k + 1)
-    edge = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("__s", i)["end"])
-    kept = F.transform("__s", lambda s, i: F.concat(F.substring(text, (edge(i) + 1).cast("int"), (s["start"] - edge(i)).cast("int")), name(s["kind"])))
-    tail = F.substring(text, (F.element_at("__s", -1)["end"] + 1).cast("int"), F.length(text))
-    clean = F.when(F.col("__s").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail))
+    edge = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(s, i)["end"])
+    kept = F.transform(s, lambda span, i: F.concat(F.substring(text, (edge(i) + 1).cast("int"), (span["start"] - edge(i)).cast("int")), name(span["kind"])))
+    tail = F.substring(text, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(text))
+    clean = F.when(F.col(s).isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail))
     changed = hit.join(spans, keys, "left").withColumn(text_col, clean).select(*docs.columns)
     return docs.filter(~any_part).unionByName(changed)
 

@@ -377,6 +377,47 @@ def test_fit_bounds():
     assert toxicity.fit.__defaults__[:2] == (20_000, 20_000)  # rows and features
 
 
+
+CLEAN = [
+    "see https://example.com/wiki/Abc123/Some/Long/Path/To/Page for more",
+    "user=anna visited https://news.example.org/2024/05/Some-Long-Title/AndMore1/AndMore2/AndMore3 today",
+    "login=Abc123Def456Ghi789Jkl012Mno345Pqr678",
+    "account: harbour, see /usr/share/Lib1/python3/Site/Packages/harbour/Main on 10.0.0.1",
+    "https://example.org/?q=Abcdefghijklmnop1234567890ABCDEFGHIJ and user=anna",
+]
+
+
+def test_clean_texts_stay(spark):
+    docs = spark.createDataFrame(list(enumerate(CLEAN)), "doc_id long, text string")
+    assert [r["spans"] for r in secret_scan.scan(docs).orderBy("doc_id").collect()] == [""] * len(CLEAN)
+    assert [r["text"] for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == CLEAN
+
+
+def test_parts_that_complete_each_other_do_not_overlap(spark):
+    """Against all pairs of parts."""
+    rng = random.Random(12)
+    key = "Abc1Def2Ghi3Jkl4Mno5Pqr6Stu7Vwx8"
+    bits = ["user=anna ", f"login={key} ", f"{key}{key} ", "https://a.example.com/x ", "10.1.2.3:80 ", "AKIA" + "B" * 16 + " ", "deadbeef" * 3 + " ", "token=abcdefg ", "word " * 9, "x " * 30]
+    docs = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))) for k in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = secret_scan.link(secret_scan.parts(frame, ["doc_id"]), ["doc_id"], 40).filter("kind is not null").collect()
+    roles = [r for _, _, r in secret_scan.KINDS]
+    by_doc = collections.defaultdict(list)
+    for r in found:
+        by_doc[r["doc_id"]].append(r)
+    for r in found:
+        near = {roles[o["kind"]] for o in by_doc[r["doc_id"]]
+                if (o["end"] <= r["start"] and r["start"] - o["end"] <= 40) or (o["start"] >= r["end"] and o["start"] - r["end"] <= 40)}
+        want = {"name": "secret" in near, "secret": bool(near & {"name", "endpoint"}), "endpoint": {"name", "secret"} <= near}[roles[r["kind"]]]
+        assert r["reported"] == (want or r["kind"] < secret_scan.BASE)
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = [(1, "password = hunter22", "keepme", "b", "s", "t")]
+    out = secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, __a string, __B string, __s string, __t string"))
+    assert [tuple(r) for r in out.collect()] == [(1, "[assign]", "keepme", "b", "s", "t")]
+
+
 # ---- noisy-or
 
 
