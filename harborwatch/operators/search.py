@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborwatch.plans.skew import spread_join
+from harborwatch.plans.skew import fence, spread_join
 from harborwatch.session import staged
 
 DATA_FIELDS = ["email_address", "phone_number", "ip_address", "username", "misc"]
@@ -74,50 +74,69 @@ def search_counts(hits: DataFrame) -> DataFrame:
 # ---- watch-list ----------------------------------------------------------------------------
 
 _GRAM = 4
+#: Bits of the sieve of wanted runs, in words of 64: half a megabyte for a list of any length.
+_SIEVE_WORDS = 1 << 16
 
 
 def _grams(text: Column, size: int) -> Column:
-    """Distinct character runs of one length."""
-    ch = F.split(text, "")
-    parts = [F.slice(ch, F.lit(i + 1), F.greatest(F.size(ch) - size + 1, F.lit(0))) for i in range(size)]
-    if size == 1:
-        return F.array_distinct(parts[0])
-    joined = F.transform(F.arrays_zip(*parts), lambda z: F.concat(*[z[str(i)] for i in range(size)]))
-    return F.array_distinct(joined)
+    """Distinct character runs of one length: what a look-ahead sees from every place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _slot(run: Column) -> tuple[Column, Column]:
+    """Word and bit of a run in the sieve."""
+    at = F.pmod(F.xxhash64(run), F.lit(_SIEVE_WORDS * 64)).cast("int")
+    return F.call_function("div", at, F.lit(64)).cast("int"), F.pmod(at, F.lit(64))
+
+
+def _sieve(runs: DataFrame) -> Column:
+    """One array of ``_SIEVE_WORDS`` words with the bits of all ``run`` set; its size doesn't depend on their number."""
+    word, bit = _slot(F.col("run"))
+    words = runs.groupBy(word.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    full = runs.sparkSession.range(_SIEVE_WORDS).join(words, "id", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return full.agg(pairs.getField("bits").alias("words")).scalar()
+
+
+def _sifted(df: DataFrame, runs: Column, sieve: Column) -> DataFrame:
+    """``df`` with ``__runs``: the runs that the sieve holds, and a few that share their bit."""
+    def held(run: Column) -> Column:
+        word, bit = _slot(run)
+        return F.call_function("shiftright", F.get(F.col("__sieve"), word), bit).bitwiseAND(F.lit(1)) == 1
+
+    return df.withColumn("__sieve", sieve).withColumn("__runs", F.filter(runs, held)).drop("__sieve")
 
 
 def search_batch(df: DataFrame, key: list[str], text: str, terms: DataFrame, term: str = "term") -> DataFrame:
     """``(*key, term)`` once for every row whose text holds the term, in any case.
 
     One way for a list of any size: every term is tied to one character run of its own (four long, or the
-    term itself when shorter), the rarest one in the texts. Texts meet terms on that run by an equi-join,
-    and the pairs are then checked in full; runs that tie no term go before any shuffle. Rows are numbered
-    in a written table, so rows of equal key stay rows of their own.
+    term itself when shorter), the rarest one in the texts. A row keeps those of its runs that a sieve of
+    fixed size lets through and is written with them, or dropped where none is left; so no run is exploded
+    or shuffled that ties no term, but for the sieve's few errors. Texts meet terms by an equi-join on the
+    run, and the pairs are then checked in full. Rows are numbered in the written table, so rows of equal
+    key stay rows of their own.
     """
     listed = terms.select(F.col(term).alias("term"), F.lower(term).alias("low")).filter(F.col("low") != "").distinct()
-    lengths = listed.select(F.least(F.length("low"), F.lit(_GRAM)).alias("n")).distinct()
+    run = F.when(F.length("low") >= _GRAM, _grams(F.col("low"), _GRAM)).otherwise(F.array("low"))
+    term_runs = staged(listed.select("term", "low", F.explode(run).alias("run")), "term-runs")
+    lengths = term_runs.select(F.length("run").alias("n")).distinct()
     sizes = sorted(r.n for r in lengths.collect())  # at most _GRAM numbers
     if not sizes:
         return df.select(*key, F.lit(None).cast("string").alias("term")).limit(0)
-    run = F.when(F.length("low") >= _GRAM, _grams(F.col("low"), _GRAM)).otherwise(F.array("low"))
-    term_runs = listed.select("term", "low", F.explode(run).alias("run"))
 
-    texts = staged(
-        df.select(*key, F.lower(F.col(text)).alias("__text")).withColumn("__row", F.monotonically_increasing_id()), "texts"
-    )
-    text_runs = staged(
-        texts.select("__row", F.explode(F.concat(*[_grams(F.col("__text"), n) for n in sizes])).alias("run")).join(
-            term_runs.select("run").distinct(), "run", "left_semi"
-        ),
-        "text-runs",
-    )
-    weight = text_runs.groupBy("run").agg(F.count("*").alias("texts"))
-    tied = (
-        term_runs.join(weight, "run", "left")  # a term with a run in no text cannot be found
+    low = df.select(*key, F.lower(F.col(text)).alias("__text"))
+    runs = F.concat(*[_grams(F.col("__text"), n) for n in sizes])
+    sifted = fence(_sifted(low, runs, _sieve(term_runs)))
+    texts = staged(sifted.filter(F.size("__runs") > 0).withColumn("__row", F.monotonically_increasing_id()), "texts")
+    weight = texts.select(F.explode("__runs").alias("run")).groupBy("run").agg(F.count("*").alias("texts"))
+    tied = staged(
+        term_runs.join(weight, "run")  # a run in no text has no weight; the term cannot be found
         .groupBy("term", "low")
-        .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "run")).alias("rarest"))
-        .filter(F.col("rarest.texts") > 0)
-        .select("term", "low", F.col("rarest.run").alias("run"))
+        .agg(F.min(F.struct("texts", "run")).alias("rarest"))
+        .select("term", "low", F.col("rarest.run").alias("run")),
+        "tied",
     )
+    text_runs = _sifted(texts.select("__row", "__runs"), F.col("__runs"), _sieve(tied)).select("__row", F.explode("__runs").alias("run"))
     pairs = spread_join(text_runs, tied, ["run"], ["__row"]).select("__row", "term", "low")
-    return texts.join(pairs, "__row").filter(F.col("__text").contains(F.col("low"))).select(*key, "term")
+    return texts.drop("__runs").join(pairs, "__row").filter(F.col("__text").contains(F.col("low"))).select(*key, "term")

@@ -77,3 +77,30 @@ def test_pattern_keeps_escapes():
     assert search.like_pattern("a%b", literal=True) == r"%a\%b%"
     assert search.like_pattern(r"\a") == "%a%"
     assert re.search(r"\\%\Z", search.like_pattern("a\\"))
+
+
+@pytest.mark.parametrize("words", [1, 1 << 16])
+def test_watch_list_with_a_crowded_sieve_and_astral_letters(spark, monkeypatch, words):
+    """A sieve of 64 bits lets nearly every run through; the result stays the same."""
+    monkeypatch.setattr(search, "_SIEVE_WORDS", words)
+    texts = ["a😀b😀", "😀😀😀😀😀", "b😀", "x" * 5000 + "😀needle", "line\nbreak", "plain"] + [f"row {k:04d}" for k in range(200)]
+    terms = ["😀b", "😀😀😀😀", "😀", "x😀need", "ne\nbr", "0007", "ow 01", "nothing like it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    listed = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = sorted((r["id"], r["term"]) for r in search.search_batch(docs, ["id"], "text", listed).collect())
+    assert got == sorted((i, t) for i, x in enumerate(texts) for t in terms if t in x)
+
+
+def test_only_runs_that_may_tie_a_term_are_written(spark, monkeypatch):
+    written = {}
+    staged = search.staged
+
+    def keep(df, label):
+        written[label] = staged(df, label)
+        return written[label]
+
+    monkeypatch.setattr(search, "staged", keep)
+    docs = spark.createDataFrame([(k, f"text {k} of many runs") for k in range(300)] + [(300, "a needle")], "id long, text string")
+    search.search_batch(docs, ["id"], "text", spark.createDataFrame([("needle",)], "term string"))
+    rows = written["texts"].collect()
+    assert [r["id"] for r in rows] == [300] and set(rows[0]["__runs"]) == {"need", "eedl", "edle"}
