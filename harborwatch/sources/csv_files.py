@@ -55,27 +55,33 @@ def file_fingerprint(
     """Metadata rows of every file of a folder, glob or list.
 
     A file that is too long for one binary cell (2 GB) is never read whole: in place of the MD5 of its bytes it
-    gets one of the hashes of its numbered lines, which equal lines in equal order share.
+    gets one of its length and of the hashes of its numbered stretches between line feeds, split by split. Those and
+    the length say every byte, line ends and a last line feed included, so only equal files share it.
     """
     limit = min(int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(WHOLE_BYTES))), WHOLE_BYTES)
     files = spark.read.format("binaryFile").load(path)
     small = fingerprint(files.filter(F.col("length") <= limit), as_of, source_id)
-    large = files.filter(F.col("length") > limit).select("path")
+    large = files.filter(F.col("length") > limit).select("path", "length")
     if large.isEmpty():  # names and lengths only, no file is opened
         return small
-    by_file = large.withColumn("__file", no_scheme(F.col("path"))).join(_line_digests(spark, path, limit), "__file")
-    return small.unionByName(_metadata(by_file, F.col("__digest"), as_of, source_id))
+    by_file = large.withColumn("__file", no_scheme(F.col("path"))).join(_stretch_sums(spark, path, limit), "__file")
+    digest = F.md5(F.concat_ws(":", "length", "n", "a", "b"))
+    return small.unionByName(_metadata(by_file, digest, as_of, source_id))
 
 
-def _line_digests(spark: SparkSession, path: str | list[str], above: int) -> DataFrame:
-    """``__file, __digest`` of every file longer than ``above`` bytes; the scan skips the others by their length."""
-    scan = spark.read.text(path).filter(F.col("_metadata.file_size") > above)
+def _stretch_sums(spark: SparkSession, path: str | list[str], above: int) -> DataFrame:
+    """``__file, n, a, b`` of every file longer than ``above`` bytes; the scan skips the others by their length.
+
+    Only line feeds cut the scan, so a carriage return is a byte like any other. The scan takes a byte order mark
+    off a file's start; the length tells of it.
+    """
+    scan = spark.read.option("lineSep", "\n").text(path).filter(F.col("_metadata.file_size") > above)
     numbered = _number(_lines(scan).withColumn("at", F.monotonically_increasing_id()), dense=True)
     sums = numbered.groupBy("file").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_no", "line")).alias("a"),
         F.bit_xor(F.xxhash64(F.lit(1), "row_no", "line")).alias("b"),
     )
-    return sums.select(plain_path(F.col("file")).alias("__file"), F.md5(F.concat_ws(":", "n", "a", "b")).alias("__digest"))
+    return sums.select(plain_path(F.col("file")).alias("__file"), "n", "a", "b")
 
 
 def _lines(scan: DataFrame) -> DataFrame:
