@@ -76,7 +76,9 @@ def _stretch_sums(spark: SparkSession, path: str | list[str], above: int) -> Dat
     off a file's start; the length tells of it.
     """
     scan = spark.read.option("lineSep", "\n").text(path).filter(F.col("_metadata.file_size") > above)
-    numbered = _number(_lines(scan).withColumn("at", F.monotonically_increasing_id()), dense=True)
+    lines = _lines(scan).withColumn("at", F.monotonically_increasing_id())
+    splits = staged(lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first_at")), "csv-stretches")
+    numbered = _number_dense(lines, splits)
     sums = numbered.groupBy("file").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_no", "line")).alias("a"),
         F.bit_xor(F.xxhash64(F.lit(1), "row_no", "line")).alias("b"),
@@ -133,19 +135,31 @@ def number_records(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbered records, and ``file`` of every file that ends inside quotes."""
-    every = _with_quote_state(lines.withColumn("at", F.monotonically_increasing_id()))
+    """Numbered records, and ``file`` of every file that ends inside quotes.
+
+    One pass over the text leaves a row per split: its lines, its first running id, and whether quotes hold line
+    breaks. From these few rows a plain file's lines get their numbers as they are read the next time.
+    """
     solid = lines.filter(js_trim(F.col("line")) != "").withColumn("at", F.monotonically_increasing_id())
-    # One row per split: a small table, written so that the lines are read for it only once.
-    quoted = staged(every.filter("opens").select("file").distinct(), "csv-quoted-files")
+    splits = staged(
+        _with_quote_state(solid).groupBy("file", "block").agg(
+            F.count("*").alias("n"), F.min("at").alias("first_at"), F.bool_or("opens").alias("opens")
+        ),
+        "csv-splits",
+    )
+    quoted = splits.filter("opens").select("file").distinct()
     if not quoted.take(1):
-        return _number(solid, dense=True), quoted
-    plain = _number(solid.join(quoted, "file", "left_anti"), dense=True)
+        return _number_dense(solid, splits), quoted
+    every = _with_quote_state(lines.withColumn("at", F.monotonically_increasing_id()))
     known = staged(every.join(quoted, "file", "left_semi"), "csv-quoted-lines")
     states, unreadable = _states(known)
     unreadable = staged(unreadable, "csv-unreadable")
     joined = staged(_join_quoted(states.join(unreadable, "file", "left_anti")), "csv-quoted")  # counted, then numbered
-    return plain.unionByName(_number(joined, dense=False)), unreadable
+    numbered = _number(joined)
+    if splits.join(quoted, "file", "left_anti").take(1):
+        plain = solid.join(quoted, "file", "left_anti")
+        numbered = _number_dense(plain, splits).unionByName(numbered)
+    return numbered, unreadable
 
 
 def _states(known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,17 +217,28 @@ def _join_quoted(state: DataFrame) -> DataFrame:
     return whole.unionByName(parts)
 
 
-def _number(records: DataFrame, dense: bool) -> DataFrame:
-    """Row numbers per file from counts per split; ``dense`` ids need no ranking within the split."""
-    counts = records.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(_before("file", "block")), F.lit(0)))
-    if dense:
-        rank = F.col("at") - F.col("first_at")
-    else:
-        rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    return records.join(offsets.drop("n"), ["file", "block"]).select(
-        "file", (F.col("offset") + rank).alias("row_no"), "line"
-    )
+def _offsets(counts: DataFrame) -> DataFrame:
+    """``n`` lines of each split, and ``offset``, those of the file's splits before it."""
+    return counts.withColumn("offset", F.coalesce(F.sum("n").over(_before("file", "block")), F.lit(0)))
+
+
+def _number_dense(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """Row numbers of lines whose ids are dense within a split, from ``n, first_at`` of every split.
+
+    Where the session cuts the files otherwise than when the splits were counted (its cores changed, say), the ids
+    don't fit the counts: that is an error, since numbers would be wrong.
+    """
+    rank = F.col("at") - F.col("first_at")
+    cut_anew = F.raise_error(F.lit("files were cut into other splits than counted; run the read again"))
+    row_no = F.when((rank >= 0) & (rank < F.col("n")), F.col("offset") + rank).otherwise(cut_anew)
+    return lines.join(_offsets(splits), ["file", "block"], "left").select("file", row_no.alias("row_no"), "line")
+
+
+def _number(records: DataFrame) -> DataFrame:
+    """Row numbers per file from counts per split and the rank within it."""
+    offsets = _offsets(records.groupBy("file", "block").agg(F.count("*").alias("n"))).drop("n")
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    return records.join(offsets, ["file", "block"]).select("file", (F.col("offset") + rank).alias("row_no"), "line")
 
 
 def split_cells(line: Column) -> Column:

@@ -177,3 +177,25 @@ def test_names_with_signs_are_joined(spark, tmp_path):
     (tmp_path / "z+1 %41.csv").write_text("nick\nneo\n")
     _, ok, _ = ingest.ingest_directory(spark, str(tmp_path), spark.createDataFrame([], "_og_hashmd5 string"), as_of())
     assert [r["username"] for r in ok.collect()] == ["neo"]
+
+
+def test_plain_files_are_numbered_in_the_pass_that_parses_them(spark, tmp_path):
+    """The count of lines per split is a written table; what is left is the parse and the header."""
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("m,u\n\n" + "".join(f"x{i}@example.com,ann{i}\n  \n" for i in range(k * 5)))
+    rows = csv_files.csv_records(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" text") == 2, plan
+    got = {(r["file"][-5], r["row_no"]): r["cells"]["u"] for r in rows.collect()}
+    assert got == {(str(k), i): f"ann{i}" for k in range(3) for i in range(k * 5)}
+
+
+def test_splits_cut_anew_are_an_error(spark, tmp_path):
+    """Ids that don't fit the counts raise; they never give wrong numbers."""
+    lines = spark.createDataFrame([("f", 0, 1, "a"), ("f", 0, 2, "b")], "file string, block long, at long, line string")
+    counted = spark.createDataFrame([("f", 0, 1, 2)], "file string, block long, first_at long, n long")
+    assert [r["row_no"] for r in csv_files._number_dense(lines, counted).orderBy("row_no").collect()] == [0, 1]
+    for wrong in [("f", 0, 0, 2), ("f", 5, 1, 2), ("f", 0, 2, 2)]:
+        other = spark.createDataFrame([wrong], counted.schema)
+        with pytest.raises(Exception, match="other splits than counted"):
+            csv_files._number_dense(lines, other).collect()
