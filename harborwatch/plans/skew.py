@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 SALTS_CONF = "harborwatch.skew.salts"
 _SALT = "__salt"
+#: Rows that one task groups or sorts where the tasks are dealt by ``buckets``.
+ROWS_PER_TASK = 1 << 19
 
 
 def salts(df: DataFrame) -> int:
@@ -38,6 +40,26 @@ def spread_join(
     return left.join(right, [*on, _SALT], how).drop(_SALT)
 
 
+def buckets(rows: int) -> int:
+    """Tasks for so many rows. Sizes in bytes don't bound a task's memory: packed keys take a few bits each."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
+def key_counts(df: DataFrame, keys: list[str], tasks: int = 1) -> DataFrame:
+    """Rows per key: ``(*keys, n)``.
+
+    With one task's worth of distinct keys, a plain count, summed up inside each input partition. With more,
+    ``tasks`` says over how many the rows are dealt before any is counted, so no task holds the keys of a whole
+    input partition; the input partition is part of the deal, so a hot key goes to many tasks, and its counts
+    are added up by a second one.
+    """
+    if tasks <= 1:
+        return df.groupBy(*keys).agg(F.count("*").alias("n"))
+    dealt = df.select(*keys, F.spark_partition_id().alias(_SALT)).repartition(tasks, *keys, _SALT)
+    parts = dealt.groupBy(*keys, _SALT).agg(F.count("*").alias("n"))
+    return parts.repartition(tasks, *keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def pick_top(df: DataFrame, by: list[str], order: list[Column], n: int = 1, ties: bool = False) -> DataFrame:
     """The first ``n`` rows of every group (all ties of them with ``ties``).
 

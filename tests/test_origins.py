@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborwatch.operators import audit, origins, replay, tables
+from harborwatch.plans import skew
 from harborwatch.plans.skew import SALTS_CONF, pick_top, spread_join
 from harborwatch.schemas import PATH_COLUMNS, TABLES
 
@@ -184,6 +185,22 @@ def test_audits(spark):
     }
 
 
+def test_orphans_of_many_keys_are_dealt_by_rows(spark, monkeypatch):
+    """So many tasks as the rows need, whatever the session says; hot keys and few keys count the same."""
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
+    keys = [*range(1000), *[7] * 400, *[2000] * 300, *[None] * 100]
+    every = {
+        "source_telegram": table(spark, "source_telegram", [{"_id_source_telegram": i, "_id_source": k} for i, k in enumerate(keys)]),
+        "source": table(spark, "source", [{"_id_source": k} for k in range(0, 1000, 2)]),
+        "database_metadata": table(spark, "database_metadata", [{"_og_hashmd5": "x", "_id_source": k} for k in (4, 5, 5)]),
+    }
+    found = audit.orphan_rows(every)
+    got = {(r["rule"], r["key"]): r["n"] for r in found.collect()}
+    want = {("source_telegram._id_source", str(k)): 401 if k == 7 else 1 for k in range(1, 1000, 2)}
+    assert got == {**want, ("source_telegram._id_source", "2000"): 300, ("database_metadata._id_source", "5"): 2}
+    assert found.rdd.getNumPartitions() >= len(keys) // 50
+
+
 def plain_replay(rows, log, age, channel):
     """One check after the other."""
     rows = [list(r) for r in rows]  # origin, time, infos, in the order of their ids
