@@ -34,20 +34,19 @@ def _tasks(rows: int, distinct: int) -> int:
     return buckets(rows) if buckets(distinct) > 1 else 1
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], rule: str, nulls_distinct: bool = False) -> DataFrame:
-    """Keys held by more than one row: ``(rule, key, n)``."""
+def duplicate_keys(df: DataFrame, keys: list[str], rule: str, nulls_distinct: bool = False, tasks: int = 1) -> DataFrame:
+    """Keys held by more than one row: ``(rule, key, n)``; ``tasks`` as in :func:`key_counts`."""
     rows = df.dropna(subset=keys) if nulls_distinct else df
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys])
-    return (
-        rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        .select(F.lit(rule).alias("rule"), text.alias("key"), "n")
-    )
+    return key_counts(rows, keys, tasks).filter(F.col("n") > 1).select(F.lit(rule).alias("rule"), text.alias("key"), "n")
 
 
 def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    rules = [(t, keys, distinct) for t, keys, distinct in UNIQUE_RULES if t in tables]
+    size = _measured(tables, [(t, ",".join(keys)) for t, keys, _ in rules])
     return _union([
-        duplicate_keys(tables[t], keys, f"{t}({','.join(keys)})", distinct)
-        for t, keys, distinct in UNIQUE_RULES if t in tables
+        duplicate_keys(tables[t], keys, f"{t}({','.join(keys)})", distinct, _tasks(*size[t, ",".join(keys)]))
+        for t, keys, distinct in rules
     ])
 
 

@@ -1,5 +1,6 @@
 """Histories, deadness, check points, look-ups, table maintenance and audits."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -201,6 +202,16 @@ def test_orphans_of_many_keys_are_dealt_by_rows(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= len(keys) // 50
 
 
+def test_unique_keys_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
+    keys = [*range(1000), *range(0, 1000, 9), *[7] * 400, *[None] * 100]
+    every = {"source": table(spark, "source", [{"_id_source": k} for k in keys])}
+    found = audit.unique_violations(every)
+    want = {("<null>" if k is None else str(k)): n for k, n in Counter(keys).items() if n > 1}
+    assert {r["key"]: r["n"] for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() >= len(keys) // 50
+
+
 def plain_replay(rows, log, age, channel):
     """One check after the other."""
     rows = [list(r) for r in rows]  # origin, time, infos, in the order of their ids
