@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from harborwatch.operators import search
@@ -104,3 +105,30 @@ def test_only_runs_that_may_tie_a_term_are_written(spark, monkeypatch):
     search.search_batch(docs, ["id"], "text", spark.createDataFrame([("needle",)], "term string"))
     rows = written["texts"].collect()
     assert [r["id"] for r in rows] == [300] and set(rows[0]["__runs"]) == {"need", "eedl", "edle"}
+
+
+def test_held_runs_equal_a_loop_over_all_places(monkeypatch):
+    """Runs of mixed lengths, cut into slices, with astral characters, nulls and empty texts at any place."""
+    texts = ["", None, "abcabc", "a😀b😀a😀b", "ab", "", "é" * 9 + "￿\U0010ffff", None] * 3
+    sieve = np.zeros(256, bool)
+    sieve[::3] = True
+    want = [
+        sorted({t[i:i + n] for t in [x or ""] for n in (1, 2, 4) for i in range(len(t) - n + 1)
+                if sieve[search._slots(search._codes([t[i:i + n]])[0], n, 256)[0]]})
+        for x in texts
+    ]
+    assert sum(map(len, want)) > 20
+    got = search._held_runs(texts, [1, 2, 4], sieve).to_pylist()
+    assert [sorted(x) for x in got] == want
+
+
+def test_held_runs_of_many_letters():
+    """Too many letters for a row and a run to fit one number."""
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 20000))) + "\U00020000\U0010ffff"
+    got = search._held_runs([text, "", text + text], [4], np.ones(64, bool)).to_pylist()
+    assert [len(x) for x in got] == [len(text) - 3, 0, len(text)]
+    assert got[0] == sorted({text[i:i + 4] for i in range(len(text) - 3)}) and set(got[0]) < set(got[2])
+    many = [text[:9000]] * 40_000
+    assert len(many) * 9000**4 > 1 << 63
+    rows, heads, last = search._distinct(np.array([3, 1, 1]), [np.array([5, 8999, 8999])] * 4, len(many), 9000)
+    assert rows.tolist() == [1, 3] and last.tolist() == [8999, 5] and [h.tolist() for h in heads] == [[8999, 5]] * 3
