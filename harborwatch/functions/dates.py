@@ -122,8 +122,10 @@ def custom_date(text: Column, semantics: str = "reference") -> Column:
         return rolled_timestamp(_number(p[2]), month, _number(p[0]), hour24.otherwise(hour), _number(p[4]), F.lit(0))
 
     def found(pattern: str, template: str) -> Column:
+        # The search for the bare form goes once over a text, a lazy match of what precedes it takes many times as long.
         whole = r"(?s)^.*?" + pattern + r".*\z"
-        return let(_parts(text, [(whole, template)]), stamp)
+        line = F.when(text.rlike(pattern), F.regexp_replace(text, whole, template))
+        return let(F.split(line, r"\|", -1), stamp)
 
     return F.coalesce(found(_CUSTOM_NAMED, "$1|$2|$3|$4|$5|$6"), found(_CUSTOM_SLASH, "$1|$2|$3|$4|$5|"))
 

@@ -136,7 +136,7 @@ def description_score(
 
 
 def digit_share_points(text: Column) -> Column:
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
+    digits = F.length(F.regexp_replace(text, "[^0-9]+", ""))  # a match for each run, not for each character
     return F.when(digits > F.length(text) - digits, MID).otherwise(-MID)
 
 

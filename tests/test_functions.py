@@ -1,11 +1,12 @@
 """Text, URL and date expressions on hand-worked cases."""
 
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from harborwatch.functions import dates, text, urls
+from harborwatch.functions import dates, html_fold, text, urls
 
 
 @pytest.mark.parametrize("name,cell,want", [
@@ -185,3 +186,21 @@ def test_first_date_takes_the_first_that_parses(value):
 ])
 def test_date_score(value, s, want):
     assert value(dates.date_score(F.col("s"), F.to_timestamp(F.lit("2024-01-01"))), s=("string", s)) == want
+
+
+def test_long_texts_are_scanned_once_for_dates_and_digits(value):
+    long = "no date, 12 lines of words 3/4 and more\n" * 2000
+    stamp = F.date_format(dates.custom_date(F.col("s")), "yyyy-MM-dd HH:mm")
+    assert value(stamp, s=("string", long)) is None
+    assert value(stamp, s=("string", f"{long} 14 March, 2023 - 11:05 PM, then 1/2/2020 3:04 {long}")) == "2023-03-14 23:05"
+    assert value(text.digit_share_points(F.col("s")), s=("string", long)) == -50
+    assert value(text.digit_share_points(F.col("s")), s=("string", long + "7" * (len(long) + 1))) == 50
+    seen = str(dates.custom_date(F.col("s"))) + str(text.digit_share_points(F.col("s")))
+    assert "rlike(s, '(?s)^.*?" not in seen and "[^0-9]+" in seen
+
+
+def test_white_space_runs_become_one_space():
+    """Single spaces aren't matched at all; whatever else is white space reads as one."""
+    for s in ("a b", " a", "a ", "a  b", " \n ", "\t", "a\u2003 b", "a \ufeffb", "x\u00a0y", "a\n\nb  c d", ""):
+        assert html_fold.SPACE_RUN.sub(" ", s) == re.sub("[\t\n\x0b\x0c\r \u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", " ", s)
+    assert not html_fold.SPACE_RUN.search("a b c")
